@@ -53,13 +53,28 @@ def run_hook(spark: SparkSession, sql: str | None) -> str:
     return "SUCCESS"
 
 
-def _hook(control: ControlTables, run_id: str, which: str, sql: str | None) -> None:
+class RunLog:
+    """Entries of one run: one is appended at the start, one at the end with
+    all that was learned in between."""
+
+    def __init__(self, control: ControlTables, run_id: str):
+        self.control, self.run_id, self._fields = control, run_id, {}
+
+    def set(self, **fields) -> None:
+        self._fields.update(fields)
+
+    def flush(self, **fields) -> None:
+        self.control.log_run(self.run_id, **{**self._fields, **fields})
+        self._fields = {}
+
+
+def _hook(log: RunLog, which: str, sql: str | None) -> None:
     try:
-        status = run_hook(control.spark, sql)
+        status = run_hook(log.control.spark, sql)
     except Exception as e:
-        control.log_run(run_id, **{f"{which}_hook_status": f"FAILED: {e}"})
+        log.set(**{f"{which}_hook_status": f"FAILED: {str(e)[:4000]}"})
         raise
-    control.log_run(run_id, **{f"{which}_hook_status": status})
+    log.set(**{f"{which}_hook_status": status})
 
 
 def _observed(df: DataFrame, cfg: PipelineConfig, flags: list[str], write) -> dict:
@@ -93,35 +108,41 @@ def run_pipeline(
 ) -> RunResult:
     """Run once. Raises what went wrong after logging it; a missed threshold
     raises ``QualityError`` with the run logged as QUALITY_FAIL."""
-    clock = str(now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
+    clock = _clock(now)
     stamp = "".join(ch for ch in clock if ch.isdigit()).ljust(17, "0")[:17]
     run_id = f"RUN_{cfg.pipeline_id}_{stamp[:8]}_{stamp[8:14]}_{stamp[14:]}"
-    control.log_run(
-        run_id, pipeline_id=cfg.pipeline_id, task_name=cfg.pipeline_name,
+    log = RunLog(control, run_id)
+    log.flush(
+        pipeline_id=cfg.pipeline_id, task_name=cfg.pipeline_name,
         load_strategy=cfg.strategy, run_start_at=clock, status="RUNNING",
     )
     try:
-        return _run(spark, cfg, target_schema, target, control, clock, run_id,
+        return _run(spark, cfg, target_schema, target, log, clock,
                     source if source is not None else read(spark, cfg.source_table),
                     gate_order, check_casts, skip_unchanged)
     except QualityError as e:
-        _close(control, cfg, run_id, clock, "QUALITY_FAIL", error_message=str(e))
+        _close(log, cfg, now, "QUALITY_FAIL", error_message=str(e))
         raise
     except Exception as e:
-        _close(control, cfg, run_id, clock, "FAILED", error_message=str(e)[:4000])
+        _close(log, cfg, now, "FAILED", error_message=str(e)[:4000])
         raise
 
 
-def _close(control: ControlTables, cfg: PipelineConfig, run_id: str, clock: str, status: str,
-           **fields) -> None:
-    control.log_run(run_id, status=status, run_end_at=clock, **fields)
+def _clock(now: dt.datetime | str | None) -> str:
+    return str(now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
+
+
+def _close(log: RunLog, cfg: PipelineConfig, now, status: str, **fields) -> None:
+    control, clock = log.control, _clock(now)
+    log.flush(status=status, run_end_at=clock, **fields)
     if status != "SUCCESS" and cfg.strategy == "INCREMENTAL":
         control.append("marks", M.fail_mark(control.marks(), cfg.pipeline_id, clock, control.next_seq()))
 
 
-def _run(spark, cfg, target_schema, target, control, clock, run_id, source, gate_order,
+def _run(spark, cfg, target_schema, target, log: RunLog, clock, source, gate_order,
          check_casts, skip_unchanged) -> RunResult:
-    _hook(control, run_id, "pre", cfg.pre_load_sql)
+    control = log.control
+    _hook(log, "pre", cfg.pre_load_sql)
     mark_from = mark_to = None
     kind = None
     if cfg.strategy == "INCREMENTAL":
@@ -129,7 +150,7 @@ def _run(spark, cfg, target_schema, target, control, clock, run_id, source, gate
         mark_from = M.read_mark(
             control.marks(), cfg.pipeline_id, cfg.watermark_initial, kind.column
         ).first()["mark"]
-        control.log_run(run_id, watermark_from=mark_from)
+        log.set(watermark_from=mark_from)
         mark_to = M.next_mark(source, cfg.watermark_col, mark_from).first()["mark"]
         batch = load_incremental(cfg, source, target_schema, mark_from,
                                  mark_from if mark_to is None else mark_to, clock,
@@ -142,22 +163,22 @@ def _run(spark, cfg, target_schema, target, control, clock, run_id, source, gate
     key = AppendTarget.load_key(cfg.pipeline_id, mark_from) if kind else None
     nothing_new = kind is not None and mark_to is None
     rows, status, detail = _load(spark, cfg, batch, target, key, gate_order, check_casts,
-                                 nothing_new, control, run_id, skip_unchanged)
+                                 nothing_new, log, skip_unchanged)
 
     if kind is not None:
         control.append("marks", M.advance_mark(
             control.marks(), cfg.pipeline_id, cfg.watermark_col, mark_to, rows, clock,
             control.next_seq(), kind.numeric, None if nothing_new else key,
         ))
-    _hook(control, run_id, "post", cfg.post_load_sql)
-    control.log_run(run_id, watermark_to=mark_to)
+    _hook(log, "post", cfg.post_load_sql)
+    log.set(watermark_to=mark_to)
     gate(status, detail)
-    _close(control, cfg, run_id, clock, "SUCCESS")
-    return RunResult(run_id, "SUCCESS", rows, detail, mark_from, mark_to, tuple(batch.warnings))
+    log.flush(status="SUCCESS", run_end_at=clock)
+    return RunResult(log.run_id, "SUCCESS", rows, detail, mark_from, mark_to, tuple(batch.warnings))
 
 
 def _load(spark, cfg, batch: Prepared, target: Target, key, gate_order, check_casts, nothing_new,
-          control, run_id, skip_unchanged) -> tuple[int, str, str]:
+          log: RunLog, skip_unchanged) -> tuple[int, str, str]:
     """Write the batch; returns affected rows and the verdict.
 
     How a batch is audited before it is published depends on its plan. Rows
@@ -180,8 +201,7 @@ def _load(spark, cfg, batch: Prepared, target: Target, key, gate_order, check_ca
 
     def judge(found: dict, rows: int) -> tuple[str, str]:
         status, detail = _verdict(spark, cfg, found, flags, rows, check_casts)
-        control.log_run(run_id, quality_check_status=status, quality_check_detail=detail,
-                        rows_processed=rows)
+        log.set(quality_check_status=status, quality_check_detail=detail, rows_processed=rows)
         if first:
             gate(status, detail)
         return status, detail
