@@ -44,6 +44,24 @@ EVENTS_DDL = (
 )
 
 
+#: Kinds of events by number; any other kind is the last one and does nothing.
+KINDS = tuple(TRANSITIONS)
+
+
+def _table(cell) -> Column:
+    """Literal array over (kind, status), read at ``kind * n + status``."""
+    cells = [cell(k, s) for k in range(len(KINDS) + 1) for s in range(len(STATUSES) + 1)]
+    return F.array(*[F.lit(c) for c in cells])
+
+
+def _at(kind: Column, status: Column) -> Column:
+    return kind * F.lit(len(STATUSES) + 1) + status
+
+
+def _guarded(kind: int, status: int) -> bool:
+    return kind < len(KINDS) and status in TRANSITIONS[KINDS[kind]][0]
+
+
 def status_code(status: Column) -> Column:
     code = F.when(status.isNull(), F.lit(ABSENT))
     for i, name in enumerate(STATUSES, start=1):
@@ -51,22 +69,19 @@ def status_code(status: Column) -> Column:
     return code.otherwise(F.lit(ABSENT))
 
 
-def status_name(code: Column) -> Column:
-    return F.get(F.array(*[F.lit(s) for s in STATUSES]), code - 1)
+def kind_code(kind: Column) -> Column:
+    code = F.when(kind.isNull(), F.lit(len(KINDS)))
+    for i, name in enumerate(KINDS):
+        code = code.when(kind == name, F.lit(i))
+    return code.otherwise(F.lit(len(KINDS)))
 
 
-def _allowed(code: Column, kind: Column) -> Column:
-    ok = F.lit(False)
-    for name, (guard, _) in TRANSITIONS.items():
-        ok = ok | ((kind == name) & code.isin(*guard))
-    return ok
+def _allowed(kind: Column, status: Column) -> Column:
+    return F.get(_table(_guarded), _at(kind, status))
 
 
-def _next(code: Column, kind: Column) -> Column:
-    out = F.when(~_allowed(code, kind), code)
-    for name, (_, result) in TRANSITIONS.items():
-        out = out.when(kind == name, F.lit(result))
-    return out.otherwise(code)
+def _next() -> Column:
+    return _table(lambda k, s: TRANSITIONS[KINDS[k]][1] if _guarded(k, s) else s)
 
 
 _CODES = "array<int>"
@@ -74,12 +89,12 @@ _CODES = "array<int>"
 
 def _states_met(events: Column, start: Column) -> Column:
     """The status each event meets, for an ordered array of event structs."""
-    met = F.array().cast(_CODES)
+    met, table = F.array().cast(_CODES), _next()
     return F.aggregate(
         events,
         F.struct(start.cast("int").alias("now"), met.alias("met")),
         lambda acc, e: F.struct(
-            _next(acc["now"], e["kind"]).cast("int").alias("now"),
+            F.get(table, _at(e["k"], acc["now"])).alias("now"),
             F.array_append(acc["met"], acc["now"]).alias("met"),
         ),
         lambda acc: acc["met"],
@@ -90,9 +105,9 @@ def _as_function(events: Column) -> Column:
     """An ordered array of events as one function: element i is the status that
     status i ends in."""
     identity = F.array(*[F.lit(i) for i in range(len(STATUSES) + 1)]).cast(_CODES)
+    table = _next()
     return F.aggregate(
-        events, identity,
-        lambda fn, e: F.transform(fn, lambda s: _next(s, e["kind"]).cast("int")),
+        events, identity, lambda fn, e: F.transform(fn, lambda s: F.get(table, _at(e["k"], s)))
     )
 
 
@@ -123,7 +138,7 @@ def _ordered(*cols: str) -> Column:
 
 def _flat(events: DataFrame, start: DataFrame) -> DataFrame:
     """``pipeline_id``, ``seq`` and ``met`` when every pipeline fits one block."""
-    per_id = events.groupBy("pipeline_id").agg(_ordered("seq", "kind").alias("es"))
+    per_id = events.groupBy("pipeline_id").agg(_ordered("seq", "k").alias("es"))
     joined = per_id.join(start, "pipeline_id", "left")
     met = _states_met(F.col("es"), F.coalesce("start", F.lit(ABSENT)))
     return joined.select(
@@ -158,10 +173,10 @@ def _blocked(events: DataFrame, start: DataFrame, total: int, block: int) -> Dat
         found = events.agg(F.percentile_approx("seq", cuts, max(10_000, 20 * pieces))).first()[0]
         bounds = sorted(set(found))
     order = Window.partitionBy("pipeline_id", "stretch").orderBy("seq")
-    cut = events.select("pipeline_id", "seq", "kind", _stretch(bounds).alias("stretch")).select(
+    cut = events.select("pipeline_id", "seq", "k", _stretch(bounds).alias("stretch")).select(
         "*", F.floor((F.row_number().over(order) - 1) / block).alias("block")
     )
-    blocks = cut.groupBy("pipeline_id", "stretch", "block").agg(_ordered("seq", "kind").alias("es"))
+    blocks = cut.groupBy("pipeline_id", "stretch", "block").agg(_ordered("seq", "k").alias("es"))
     stretches = (
         blocks.select("pipeline_id", "stretch", "block", _as_function(F.col("es")).alias("fn"))
         .groupBy("pipeline_id", "stretch")
@@ -241,7 +256,7 @@ def apply_events(configs: DataFrame, events: DataFrame, block: int = BLOCK) -> A
     meets a status its guard does not allow, or an unknown id, changes nothing
     and answers with an error.
     """
-    slim = events.select("pipeline_id", "seq", "kind")
+    slim = events.select("pipeline_id", "seq", kind_code(F.col("kind")).alias("k"))
     start = configs.select("pipeline_id", status_code(F.col("status")).alias("start"))
     sizes = slim.groupBy("pipeline_id").agg(F.count(F.lit(1)).alias("n"))
     busiest, total = sizes.agg(F.max("n"), F.sum("n")).first()
@@ -250,7 +265,7 @@ def apply_events(configs: DataFrame, events: DataFrame, block: int = BLOCK) -> A
     else:
         met = _blocked(slim, start, total, block)
     judged = events.join(met, ["pipeline_id", "seq"]).withColumn(
-        "ok", _allowed(F.col("met"), F.col("kind"))
+        "ok", _allowed(kind_code(F.col("kind")), F.col("met"))
     )
     outcomes = judged.select("pipeline_id", "seq", "kind", "ok", _outcome_text().alias("outcome"))
 
