@@ -37,7 +37,9 @@ def typed_lit(value, dtype: T.DataType) -> Column:
     """A literal of the column's own type, so that the filter reaches the scan."""
     if value is None:
         return F.lit(None).cast(dtype)
-    if isinstance(value, Decimal) or isinstance(dtype, (T.TimestampNTZType, T.DateType)):
+    if isinstance(value, Decimal):
+        return F.lit(str(value)).cast("decimal(38,10)").cast(dtype)
+    if isinstance(dtype, (T.TimestampNTZType, T.DateType)):
         return F.lit(str(value)).cast(dtype)
     return F.lit(value).cast(dtype)
 
