@@ -42,9 +42,11 @@ def test_append_batches_replace_themselves(spark, folder):
     target.write(a, key)
     target.write(a, target.load_key("P X", 17))
     assert bag(target.read()) == Counter({(1, "a"): 2})
-    target.drop_batches([key])
+    target.drop_batches(spark.createDataFrame([(key,), ("P_X@later",)], "load_key string"))
     assert target.read().count() == 1
     assert {r["_load_key"] for r in target.with_keys().collect()} == {"P_X@17"}
+    target.write(a, key)
+    assert target.read().count() == 2
 
 
 def test_merge_target_life_of_a_key(spark, folder):
@@ -167,6 +169,19 @@ def test_numeric_watermark_runs(spark, folder):
     assert control.marks().first()["last_value_num"] == 9
 
 
+def test_cdc_with_a_mark_reads_only_new_changes(spark, folder):
+    cfg = demo.flags_config(watermark_col="updated_at", watermark_initial="2024-01-01")
+    target = MergeTarget(spark, f"{folder}/t", demo.FLAGS_CLEAN, ["transaction_id"], 4)
+    control = ControlTables(spark, f"{folder}/c")
+    raw = demo.flags_raw(spark)
+    early = raw.where("updated_at < timestamp_ntz'2024-01-21'")
+    runs = [run_pipeline(spark, cfg, demo.FLAGS_CLEAN, target, control, f"2024-02-0{i}", src)
+            for i, src in enumerate((early, raw, raw), start=1)]
+    # early: TXN-004 (first form), 005, 007, 002; then the rest, among them a delete
+    assert [r.rows for r in runs] == [4, 6, 0]
+    assert target.read().count() == 7
+
+
 def test_control_tables_state_machine(spark, folder):
     control = ControlTables(spark, f"{folder}/c")
     forms = spark.createDataFrame(
@@ -203,6 +218,15 @@ def test_control_tables_state_machine(spark, folder):
     row = control.configs().first()
     assert (row["status"], row["approved_by"], row["task_name"]) == ("DEPLOYED", "bob", "TASK_X")
 
+    control.seed_marks("2024-01-04")
+    control.seed_marks("2024-01-05")
+    mark = control.marks().first()
+    assert (mark["watermark_col"], mark["last_run_status"]) == ("UPDATED_AT", "INIT")
+    assert control.log("marks").count() == 1
+    assert control.decommission("P1", "2024-01-06") == "OK: P1 decommissioned."
+    assert control.marks().count() == 0
+    assert control.configs().first()["status"] == "DECOMMISSIONED"
+
 
 # streams
 def test_stream_incremental_once(spark, folder):

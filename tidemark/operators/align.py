@@ -110,9 +110,10 @@ def resolve(
         if rule is not None:
             made, allowed = rule.output_width(source_widths), widths(target).get(f.name)
             if made is not None and allowed is not None and made > allowed:
-                warnings.append(
-                    Warn(f.name, "WIDTH", f"varchar({allowed}) receives {made} characters")
-                )
+                warnings.append(Warn(
+                    f.name, "WIDTH", f"varchar({allowed}) receives {made} characters; "
+                    f"MODIFY COLUMN {f.name} VARCHAR({made})",
+                ))
         columns.append(expr.cast(dtype).alias(f.name))
     return Projection(columns, warnings, checks)
 

@@ -27,11 +27,12 @@ class DuplicateChangeKeys(ValueError):
 
 
 def null_key_salt(df: DataFrame, keys: Sequence[str]) -> Column:
-    """0 for complete keys; for the rest a value derived from the whole row."""
+    """0 for complete keys; for the rest a value derived from the whole row, so
+    that it is the same when a task is repeated."""
     any_null = F.lit(False)
     for k in keys:
         any_null = any_null | F.col(k).isNull()
-    hashable = [F.col(f.name) for f in df.schema.fields if f.dataType.typeName() != "variant"]
+    hashable = [F.col(f.name) for f in df.schema.fields if f.dataType.typeName() not in ("variant", "map")]
     return F.when(any_null, F.pmod(F.xxhash64(*hashable), F.lit(_SALTS))).otherwise(F.lit(0))
 
 

@@ -104,7 +104,7 @@ def load_full(
 
 def cdc_changes(
     cfg: PipelineConfig, source: DataFrame, target: T.StructType, now: str | None = None,
-    since=None, **options,
+    since=None, upto=None, **options,
 ) -> Prepared:
     """Changes with the delete flag and the change order as hidden columns.
     A ``watermark_col`` narrows the changes when ``since`` is given."""
@@ -114,7 +114,7 @@ def cdc_changes(
     spec = order_items(cfg.dedup_order_by)
     order = F.expr(spec[0][0]) if spec else F.lit(None).cast("timestamp_ntz")
     return prepare(
-        cfg, source, target, now, since, hidden=[deleted.alias(DELETED), order.alias(ORDER)],
+        cfg, source, target, now, since, upto, hidden=[deleted.alias(DELETED), order.alias(ORDER)],
         **options,
     )
 

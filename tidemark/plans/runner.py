@@ -77,9 +77,16 @@ def _hook(log: RunLog, which: str, sql: str | None) -> None:
     log.set(**{f"{which}_hook_status": status})
 
 
-def _observed(df: DataFrame, cfg: PipelineConfig, flags: list[str], write) -> dict:
-    """Write and return the metrics of exactly the written rows."""
+def _observed(df: DataFrame, cfg: PipelineConfig, flags: list[str], write,
+              gather: bool = False) -> dict:
+    """Write and return the metrics of exactly the written rows.
+
+    Batches after the first are usually a thin slice of a wide scan, so they
+    are gathered into files of the advisory size before they are observed and
+    written; a first or full load is written where it was read.
+    """
     seen = Observation()
+    df = df.hint("rebalance") if gather else df
     write(df.observe(seen, *metrics(cfg.null_check_cols, flags)))
     return dict(seen.get)
 
@@ -132,10 +139,15 @@ def _clock(now: dt.datetime | str | None) -> str:
     return str(now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
 
 
+def _tracked(cfg: PipelineConfig) -> bool:
+    """Incremental loads keep a mark; merges may, to read only new changes."""
+    return cfg.strategy == "INCREMENTAL" or (cfg.strategy == "CDC" and bool(cfg.watermark_col))
+
+
 def _close(log: RunLog, cfg: PipelineConfig, now, status: str, **fields) -> None:
     control, clock = log.control, _clock(now)
     log.flush(status=status, run_end_at=clock, **fields)
-    if status != "SUCCESS" and cfg.strategy == "INCREMENTAL":
+    if _tracked(cfg):
         control.append("marks", M.fail_mark(control.marks(), cfg.pipeline_id, clock, control.next_seq()))
 
 
@@ -143,27 +155,31 @@ def _run(spark, cfg, target_schema, target, log: RunLog, clock, source, gate_ord
          check_casts, skip_unchanged) -> RunResult:
     control = log.control
     _hook(log, "pre", cfg.pre_load_sql)
-    mark_from = mark_to = None
-    kind = None
-    if cfg.strategy == "INCREMENTAL":
+    mark_from = mark_to = kind = None
+    incremental = cfg.strategy == "INCREMENTAL"
+    if _tracked(cfg):
         kind = M.mark_type(source.schema, cfg.watermark_col)
         mark_from = M.read_mark(
             control.marks(), cfg.pipeline_id, cfg.watermark_initial, kind.column
         ).first()["mark"]
         log.set(watermark_from=mark_from)
         mark_to = M.next_mark(source, cfg.watermark_col, mark_from).first()["mark"]
-        batch = load_incremental(cfg, source, target_schema, mark_from,
-                                 mark_from if mark_to is None else mark_to, clock,
+    upto = mark_from if mark_to is None else mark_to
+    nothing_new = kind is not None and mark_to is None
+    if incremental:
+        batch = load_incremental(cfg, source, target_schema, mark_from, upto, clock,
                                  flag_casts=check_casts)
     elif cfg.strategy == "FULL_LOAD":
         batch = load_full(cfg, source, target_schema, clock, flag_casts=check_casts)
     else:
-        batch = cdc_changes(cfg, source, target_schema, clock, flag_casts=check_casts)
+        batch = cdc_changes(cfg, source, target_schema, clock, mark_from, upto,
+                            flag_casts=check_casts)
 
-    key = AppendTarget.load_key(cfg.pipeline_id, mark_from) if kind else None
-    nothing_new = kind is not None and mark_to is None
+    key = AppendTarget.load_key(cfg.pipeline_id, mark_from) if incremental else None
+    earlier = (F.col("pipeline_id") == cfg.pipeline_id) & F.col("load_key").isNotNull()
+    slice_only = incremental and bool(control.log("marks").where(earlier).take(1))
     rows, status, detail = _load(spark, cfg, batch, target, key, gate_order, check_casts,
-                                 nothing_new, log, skip_unchanged)
+                                 nothing_new, slice_only, log, skip_unchanged)
 
     if kind is not None:
         control.append("marks", M.advance_mark(
@@ -178,7 +194,7 @@ def _run(spark, cfg, target_schema, target, log: RunLog, clock, source, gate_ord
 
 
 def _load(spark, cfg, batch: Prepared, target: Target, key, gate_order, check_casts, nothing_new,
-          log: RunLog, skip_unchanged) -> tuple[int, str, str]:
+          slice_only, log: RunLog, skip_unchanged) -> tuple[int, str, str]:
     """Write the batch; returns affected rows and the verdict.
 
     How a batch is audited before it is published depends on its plan. Rows
@@ -212,13 +228,13 @@ def _load(spark, cfg, batch: Prepared, target: Target, key, gate_order, check_ca
         return 0, *judge(dict.fromkeys(nothing, 0), 0)
 
     if not merging and not (first and checked):
-        found = _observed(batch.df, cfg, flags, publish)
+        found = _observed(batch.df, cfg, flags, publish, slice_only)
         return found["rows_loaded"], *judge(found, found["rows_loaded"])
 
     if not merging and not cfg.deduplicate:
         found = batch.df.agg(*metrics(cfg.null_check_cols, flags)).first().asDict()
         status, detail = judge(found, found["rows_loaded"])
-        written = _observed(batch.df, cfg, flags, publish)
+        written = _observed(batch.df, cfg, flags, publish, slice_only)
         return written["rows_loaded"], status, detail
 
     staged_at = scratch_folder(spark, f"stage-{cfg.pipeline_id}")
@@ -254,9 +270,8 @@ def backfill(control: ControlTables, cfg: PipelineConfig, target: AppendTarget,
         if found is not None:
             start = str(min(found, dt.datetime.fromisoformat(to)))
         first_key = AppendTarget.load_key(cfg.pipeline_id, start)
-        keys = log.where(
+        target.drop_batches(log.where(
             (F.col("pipeline_id") == cfg.pipeline_id) & (F.col("load_key") >= first_key)
-        ).select("load_key").distinct().toLocalIterator()
-        target.drop_batches([r["load_key"] for r in keys])
+        ).select("load_key"))
     control.append("marks", M.reset_mark(control.marks(), cfg.pipeline_id, start, now, control.next_seq()))
     return start

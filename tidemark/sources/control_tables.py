@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.config import DEFAULT_WATERMARK_INITIAL, parse_params
 from tidemark.operators.control import EVENTS_DDL, Applied, apply_events, run_log_view
 from tidemark.operators.joins import absent
-from tidemark.operators.marks import LOG_DDL, current_marks
+from tidemark.operators.marks import LOG_DDL, current_marks, drop_mark, seed_marks
 from tidemark.sources.targets import read_or_empty
 
 CONFIGS_DDL = (
@@ -82,7 +83,26 @@ class ControlTables:
     def configs(self) -> DataFrame:
         return self.apply().configs
 
+    def decommission(self, pipeline_id: str, at: str) -> str:
+        """Close a pipeline and remove its mark."""
+        outcome = self.event(pipeline_id, "decommission", at)
+        if outcome.startswith("OK"):
+            self.append("marks", drop_mark(self.marks(), pipeline_id, at, self.next_seq()))
+        return outcome
+
     # marks and runs
+    def seed_marks(self, now: str) -> None:
+        """First marks of deployed incremental pipelines that have none."""
+        params = parse_params("pipeline_params")
+        ready = self.configs().where(
+            (F.col("status") == "DEPLOYED") & (F.col("load_strategy") == "INCREMENTAL")
+        ).select(
+            "pipeline_id", params["strategy"]["watermark_col"].alias("watermark_col"),
+            F.coalesce(params["strategy"]["watermark_initial"],
+                       F.lit(DEFAULT_WATERMARK_INITIAL)).alias("watermark_initial"),
+        )
+        self.append("marks", seed_marks(self.marks(), ready, now, self.next_seq()))
+
     def marks(self) -> DataFrame:
         return current_marks(self.log("marks"))
 

@@ -20,6 +20,7 @@ from tidemark.schema import plain_schema
 from tidemark.session import scratch_folder
 
 LOAD_KEY = "_load_key"
+LIVE = "_live"
 BUCKET = "_bucket"
 #: Start of a batch in its key; ``marks.reset_start`` reads it back.
 LOAD_KEY_TIME = "%Y-%m-%dT%H-%M-%S.%f"
@@ -71,16 +72,34 @@ class AppendTarget:
         return self.with_keys().select(*self.schema.names)
 
     def with_keys(self) -> DataFrame:
-        full = T.StructType([*self.schema.fields, T.StructField(LOAD_KEY, T.StringType())])
-        return read_or_empty(self.spark, self.path, full)
+        """Rows with the key of their batch."""
+        full = T.StructType([
+            *self.schema.fields, T.StructField(LIVE, T.BooleanType()),
+            T.StructField(LOAD_KEY, T.StringType()),
+        ])
+        return read_or_empty(self.spark, self.path, full).where(LIVE).drop(LIVE)
 
     def write(self, df: DataFrame, load_key: str) -> None:
-        folder = f"{self.path}/{LOAD_KEY}={load_key}"
-        df.select(*self.schema.names).write.mode("overwrite").parquet(folder)
+        """Write one batch straight into its folder: no sort by batch key, and
+        only that folder is replaced."""
+        (
+            df.select(*self.schema.names, F.lit(True).alias(LIVE))
+            .write.mode("overwrite").parquet(f"{self.path}/{LOAD_KEY}={load_key}")
+        )
 
-    def drop_batches(self, load_keys: Sequence[str]) -> None:
-        for key in load_keys:
-            self.write(self.spark.createDataFrame([], self.schema), key)
+    def drop_batches(self, load_keys: DataFrame) -> None:
+        """Empty all batches named in the one column of ``load_keys``, in one
+        job however many they are: each folder is replaced by a row that
+        readers skip. (Overwriting with no rows would leave a folder as it is.)"""
+        name = load_keys.columns[0]
+        (
+            load_keys.distinct().select(
+                *[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields],
+                F.lit(False).alias(LIVE), F.col(name).alias(LOAD_KEY),
+            )
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy(LOAD_KEY).parquet(self.path)
+        )
 
 
 class ReplaceTarget:
