@@ -1,8 +1,14 @@
 """Change-data merge: match changes with a target by key, then delete, update
 or insert.
 
+The target is always the streamed side of a left join (outer, semi or anti)
+against changes with unique keys. A small change set is broadcast once Spark
+has checked its size, and then the target is not shuffled at all; a large one
+leads to a sort-merge join whose hot partitions Spark may split, because the
+target side is never buffered. A full outer join would allow neither.
+
 Keys compare with ``=``: a row with a NULL in its key never matches, so it
-stays in the target or is inserted. Such rows all hash alike, so the join adds
+stays in the target or is inserted. Such rows all hash alike, so the joins add
 a salt for them that spreads them over the tasks without changing any match.
 """
 
@@ -18,6 +24,8 @@ from tidemark.operators.dedup import duplicate_keys
 #: Hidden columns travel with the changes and are dropped at the write.
 DELETED = "_deleted"
 ORDER = "_order"
+CHANGE = "_change"
+MATCHED = "_matched"
 _SALT = "_null_salt"
 _SALTS = 1024
 
@@ -44,66 +52,62 @@ def require_unique(changes: DataFrame, keys: Sequence[str], show: int = 20) -> N
         raise DuplicateChangeKeys(f"several changes per key, for example {found}")
 
 
+def _salted(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.withColumn(_SALT, null_key_salt(df, keys))
+
+
+def _deleted(changes: DataFrame) -> Column:
+    if DELETED not in changes.columns:
+        return F.lit(False)
+    return F.coalesce(F.col(DELETED), F.lit(False))
+
+
 def match(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Full outer match. ``t`` and ``c`` hold the two rows, ``in_t`` and ``in_c``
-    tell which exist."""
-    left = target.select(
-        *[F.col(k).alias(f"_t_{k}") for k in keys],
-        F.struct(*target.columns).alias("t"),
-        F.lit(True).alias("in_t"),
-        null_key_salt(target, keys).alias(f"_t{_SALT}"),
-    )
-    right = changes.select(
-        *[F.col(k).alias(f"_c_{k}") for k in keys],
-        F.struct(*changes.columns).alias("c"),
-        F.lit(True).alias("in_c"),
-        null_key_salt(changes, keys).alias(f"_c{_SALT}"),
+    """Target rows with their change, if any, as the struct ``_change``;
+    ``_matched`` tells whether there is one."""
+    right = _salted(changes, keys).select(
+        *keys, _SALT, F.struct(*changes.columns).alias(CHANGE), F.lit(True).alias(MATCHED)
     )
-    on = F.col(f"_t{_SALT}") == F.col(f"_c{_SALT}")
-    for k in keys:
-        on = on & (F.col(f"_t_{k}") == F.col(f"_c_{k}"))
-    return left.join(right, on, "full_outer").select(
-        "t", "c", F.coalesce("in_t", F.lit(False)).alias("in_t"),
-        F.coalesce("in_c", F.lit(False)).alias("in_c"),
+    joined = _salted(target, keys).join(right, [*keys, _SALT], "left")
+    found = F.coalesce(MATCHED, F.lit(False)).alias(MATCHED)
+    return joined.select(*target.columns, CHANGE, found)
+
+
+def not_matched(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Changes without a target row. The target's keys are first reduced to
+    those that do have a change, so its size does not matter for the rest."""
+    wanted = _salted(changes, keys).select(*keys, _SALT)
+    held = _salted(target, keys).select(*keys, _SALT).join(wanted, [*keys, _SALT], "left_semi")
+    return _salted(changes, keys).join(held.distinct(), [*keys, _SALT], "left_anti").select(
+        *changes.columns
     )
 
 
-def _differs(names: Sequence[str]) -> Column:
-    changed = F.lit(False)
+def _compared(target: DataFrame, keys: Sequence[str], audit: Sequence[str]) -> list[str]:
+    quiet = {a.lower() for a in audit} | {k.lower() for k in keys}
+    return [c for c in target.columns if c.lower() not in quiet and not c.startswith("_")]
+
+
+def _same(names: Sequence[str]) -> Column:
+    same = F.lit(True)
     for n in names:
-        changed = changed | ~F.col(f"t.{n}").eqNullSafe(F.col(f"c.{n}"))
-    return changed
+        same = same & F.col(n).eqNullSafe(F.col(f"{CHANGE}.{n}"))
+    return same
 
 
-def classify(
-    target: DataFrame,
-    changes: DataFrame,
-    keys: Sequence[str],
-    insert_deleted: bool = False,
-    skip_unchanged: bool = False,
-    audit: Sequence[str] = ("loaded_at",),
-) -> DataFrame:
-    """Matched rows with ``_op``: insert, update, delete, unchanged or ignored.
+AUDIT = ("loaded_at",)
 
-    The delete branch comes first. A deleted change for an absent key is
-    ignored; ``insert_deleted`` inserts it instead, the literal reading of a
-    merge whose insert branch has no guard. ``skip_unchanged`` leaves matched
-    rows alone when nothing but an audit column differs.
-    """
-    m = match(target, changes, keys)
-    deleted = F.lit(False)
+
+def _target_op(target: DataFrame, changes: DataFrame, keys: Sequence[str], skip_unchanged: bool,
+               audit: Sequence[str]) -> Column:
+    """What happens to a target row: the delete branch comes first."""
+    gone = F.lit(False)
     if DELETED in changes.columns:
-        deleted = F.coalesce(F.col(f"c.{DELETED}"), F.lit(False))
-    quiet = {a.lower() for a in audit} | {k.lower() for k in keys}
-    compared = [c for c in target.columns if c.lower() not in quiet and not c.startswith("_")]
-    op = F.when(~F.col("in_c"), "unchanged")
-    op = op.when(F.col("in_t") & deleted, "delete")
+        gone = F.coalesce(F.col(f"{CHANGE}.{DELETED}"), F.lit(False))
+    op = F.when(~F.col(MATCHED), "unchanged").when(gone, "delete")
     if skip_unchanged:
-        op = op.when(F.col("in_t") & ~_differs(compared), "unchanged")
-    op = op.when(F.col("in_t"), "update")
-    if not insert_deleted:
-        op = op.when(deleted, "ignored")
-    return m.withColumn("_op", op.otherwise("insert"))
+        op = op.when(_same(_compared(target, keys, audit)), "unchanged")
+    return op.otherwise("update")
 
 
 def merge_cdc(
@@ -112,40 +116,45 @@ def merge_cdc(
     keys: Sequence[str],
     insert_deleted: bool = False,
     skip_unchanged: bool = False,
+    audit: Sequence[str] = AUDIT,
 ) -> DataFrame:
     """The target after the merge, in the target's columns.
 
-    One full outer join: both inputs are read once, however the changes were
-    computed. ``anti_merge`` suits changes that are already stored.
+    A deleted change for an absent key does nothing; ``insert_deleted`` inserts
+    it instead, the literal reading of a merge whose insert branch has no
+    guard. ``skip_unchanged`` leaves matched rows alone when nothing but an
+    audit column differs.
     """
-    ops = classify(target, changes, keys, insert_deleted, skip_unchanged)
-    take_change = F.col("_op").isin("insert", "update")
-    return ops.where(~F.col("_op").isin("delete", "ignored")).select(
-        *[
-            F.when(take_change, F.col(f"c.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
-            for c in target.columns
-        ]
-    )
+    columns = target.columns
+    if not skip_unchanged:
+        merged = anti_merge(target, changes, keys)
+        if insert_deleted and DELETED in changes.columns:
+            dead = not_matched(target, changes.where(_deleted(changes)), keys)
+            merged = merged.unionByName(dead.select(*columns))
+        return merged
+    op = _target_op(target, changes, keys, skip_unchanged, audit)
+    held = match(target, changes, keys).withColumn("_op", op).where(F.col("_op") != "delete")
+    kept = held.select(*[
+        F.when(F.col("_op") == "update", F.col(f"{CHANGE}.{c}")).otherwise(F.col(c)).alias(c)
+        for c in columns
+    ])
+    new = not_matched(target, changes, keys)
+    if not insert_deleted:
+        new = new.where(~_deleted(changes))
+    return kept.unionByName(new.select(*columns))
 
 
 def anti_merge(
     target: DataFrame, changes: DataFrame, keys: Sequence[str], keep_deleted: bool = False
 ) -> DataFrame:
-    """Same result as ``merge_cdc`` with its defaults, for stored changes.
+    """Untouched target rows are those without a change; every other row comes
+    whole from the changes. Only the keys of the changes enter the join.
     ``keep_deleted`` keeps deleted changes as rows, for stores with tombstones.
-
-    Untouched target rows are those without a change; every other row comes
-    from the changes as a whole. Only the keys of the changes enter the join,
-    so a small change set is broadcast (Spark checks its size) and the target
-    is not shuffled at all.
     """
-    salted_t = target.withColumn(_SALT, null_key_salt(target, keys))
-    salted_c = changes.select(*keys, null_key_salt(changes, keys).alias(_SALT))
-    untouched = salted_t.join(salted_c, [*keys, _SALT], "left_anti").select(*target.columns)
-    live = changes
-    if DELETED in changes.columns and not keep_deleted:
-        live = changes.where(~F.coalesce(F.col(DELETED), F.lit(False)))
-    return untouched.unionByName(live.select(*target.columns))
+    changed = _salted(changes, keys).select(*keys, _SALT)
+    untouched = _salted(target, keys).join(changed, [*keys, _SALT], "left_anti")
+    live = changes if keep_deleted else changes.where(~_deleted(changes))
+    return untouched.select(*target.columns).unionByName(live.select(*target.columns))
 
 
 def merge_summary(
@@ -154,12 +163,16 @@ def merge_summary(
     keys: Sequence[str],
     insert_deleted: bool = False,
     skip_unchanged: bool = False,
+    audit: Sequence[str] = AUDIT,
 ) -> DataFrame:
-    """Rows per operation. Without ``skip_unchanged`` only keys are read."""
+    """Rows per operation: insert, update, delete, unchanged, and ignored for
+    deletes of absent keys. Without ``skip_unchanged`` only keys are read."""
     t = target if skip_unchanged else target.select(*keys)
     hidden = [DELETED] if DELETED in changes.columns else []
     c = changes if skip_unchanged else changes.select(*keys, *hidden)
-    ops = classify(t, c, keys, insert_deleted, skip_unchanged)
-    return ops.groupBy("_op").agg(F.count(F.lit(1)).alias("row_count")).select(
-        F.col("_op").alias("operation"), "row_count"
-    )
+    held = match(t, c, keys).select(_target_op(t, c, keys, skip_unchanged, audit).alias("operation"))
+    absent = F.lit("insert")
+    if not insert_deleted:
+        absent = F.when(_deleted(c), "ignored").otherwise("insert")
+    new = not_matched(t, c, keys).select(absent.alias("operation"))
+    return held.unionByName(new).groupBy("operation").agg(F.count(F.lit(1)).alias("row_count"))
