@@ -49,6 +49,34 @@ def test_append_batches_replace_themselves(spark, folder):
     assert target.read().count() == 2
 
 
+def test_named_tables_enforce_widths(spark):
+    from tidemark.sources import tables as T
+
+    spark.sql("drop table if exists named_demo")
+    spark.sql("create table named_demo (id bigint, code varchar(2)) using parquet")
+    row = spark.sql("select 1L as id, 'ab' as code")
+    T.append(row, "named_demo")
+    T.append(row, "named_demo")
+    assert T.read(spark, "named_demo").count() == 2
+    T.overwrite(row, "named_demo")
+    assert bag(T.read(spark, "named_demo")) == Counter({(1, "ab"): 1})
+    with pytest.raises(Exception, match="EXCEED_LIMIT_LENGTH"):
+        T.append(spark.sql("select 1L as id, 'abc' as code"), "named_demo")
+    with pytest.raises(Exception, match="OVERWRITE"):
+        T.overwrite(spark.table("named_demo"), "named_demo")
+    spark.sql("drop table named_demo")
+
+
+def test_submitting_rows_twice(spark, folder):
+    from tidemark.sources import tables as T
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    T.append(rows.where("k = 1"), f"{folder}/t")
+    for _ in range(2):
+        T.append_absent(rows, f"{folder}/t", ["k"])
+    assert bag(T.read(spark, f"{folder}/t")) == Counter({(1, "a"): 1, (2, "b"): 1})
+
+
 def test_merge_target_life_of_a_key(spark, folder):
     target = MergeTarget(spark, f"{folder}/t", SCHEMA, ["k"], buckets=2)
     target.merge(changes(spark, [(1, "a", False, 1), (2, "b", False, 1), (9, "z", True, 1)]))

@@ -10,8 +10,8 @@ the fold run as a blocked prefix scan:
   every block starts;
 * every block then replays its own events from there.
 
-No task ever holds all the events of one pipeline. When no pipeline has more
-events than one block, the plain fold is used.
+No task ever holds all the events of a long pipeline. Pipelines with no more
+events than one block take the plain fold.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ TRANSITIONS = {
 }
 
 #: Events folded in one piece.
-BLOCK = 1024
+BLOCK = 128
 _MAX_STRETCHES = 1024
 
 EVENTS_DDL = (
@@ -48,10 +48,14 @@ EVENTS_DDL = (
 KINDS = tuple(TRANSITIONS)
 
 
+def _literal(values) -> Column:
+    """A literal array, made in one call."""
+    return F.expr(f"array({', '.join(str(v).lower() for v in values)})")
+
+
 def _table(cell) -> Column:
     """Literal array over (kind, status), read at ``kind * n + status``."""
-    cells = [cell(k, s) for k in range(len(KINDS) + 1) for s in range(len(STATUSES) + 1)]
-    return F.array(*[F.lit(c) for c in cells])
+    return _literal(cell(k, s) for k in range(len(KINDS) + 1) for s in range(len(STATUSES) + 1))
 
 
 def _at(kind: Column, status: Column) -> Column:
@@ -80,8 +84,32 @@ def _allowed(kind: Column, status: Column) -> Column:
     return F.get(_table(_guarded), _at(kind, status))
 
 
+def _after(kind: int, status: int) -> int:
+    return TRANSITIONS[KINDS[kind]][1] if _guarded(kind, status) else status
+
+
 def _next() -> Column:
-    return _table(lambda k, s: TRANSITIONS[KINDS[k]][1] if _guarded(k, s) else s)
+    return _table(_after)
+
+
+def _functions() -> tuple[list[tuple[int, ...]], list[int]]:
+    """All functions that sequences of events can amount to, and the number of
+    the function that results when an event follows one: with few statuses and
+    kinds there are only some dozens, so a block of events reduces to one
+    number by looking up one number per event."""
+    identity = tuple(range(len(STATUSES) + 1))
+    found, number, then = [identity], {identity: 0}, []
+    for fn in found:
+        for kind in range(len(KINDS) + 1):
+            new = tuple(_after(kind, s) for s in fn)
+            if new not in number:
+                number[new] = len(found)
+                found.append(new)
+            then.append(number[new])
+    return found, then
+
+
+FUNCTIONS, _THEN = _functions()
 
 
 _CODES = "array<int>"
@@ -102,30 +130,36 @@ def _states_met(events: Column, start: Column) -> Column:
 
 
 def _as_function(events: Column) -> Column:
-    """An ordered array of events as one function: element i is the status that
-    status i ends in."""
-    identity = F.array(*[F.lit(i) for i in range(len(STATUSES) + 1)]).cast(_CODES)
-    table = _next()
+    """An ordered array of events as the number of one function."""
+    then = _literal(_THEN)
     return F.aggregate(
-        events, identity, lambda fn, e: F.transform(fn, lambda s: F.get(table, _at(e["k"], s)))
+        events, F.lit(0), lambda fn, e: F.get(then, fn * F.lit(len(KINDS) + 1) + e["k"])
     )
 
 
+def _result(fn: Column, status: Column) -> Column:
+    """Status that a function, given by its number, makes of a status."""
+    flat = _literal(s for f in FUNCTIONS for s in f)
+    return F.get(flat, fn * F.lit(len(STATUSES) + 1) + status)
+
+
 def _compose(parts: Column) -> Column:
-    identity = F.array(*[F.lit(i) for i in range(len(STATUSES) + 1)]).cast(_CODES)
+    """An ordered array of structs with ``fn`` as an array: element i is the
+    status that status i ends in."""
     return F.aggregate(
-        parts, identity, lambda fn, p: F.transform(fn, lambda s: F.get(p["fn"], s))
+        parts, _literal(range(len(STATUSES) + 1)), lambda fn, p: F.transform(fn, lambda s: _result(p["fn"], s))
     )
 
 
-def _starts(parts: Column, start: Column) -> Column:
-    """Status before each part, for an ordered array of structs with ``fn``."""
+def _starts(parts: Column, start: Column, result) -> Column:
+    """Status before each part, for an ordered array of structs with ``fn``;
+    ``result`` applies such an ``fn`` to a status."""
     met = F.array().cast(_CODES)
     return F.aggregate(
         parts,
         F.struct(start.cast("int").alias("now"), met.alias("met")),
         lambda acc, p: F.struct(
-            F.get(p["fn"], acc["now"]).alias("now"),
+            result(p["fn"], acc["now"]).alias("now"),
             F.array_append(acc["met"], acc["now"]).alias("met"),
         ),
         lambda acc: acc["met"],
@@ -148,25 +182,24 @@ def _flat(events: DataFrame, start: DataFrame) -> DataFrame:
 
 def _stretch(bounds: list[int]) -> Column:
     """Position among ascending bounds, as a balanced CASE: log2(n) comparisons."""
-    def build(lo: int, hi: int) -> Column:
+    def build(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(F.col("seq") <= F.lit(bounds[mid]), build(lo, mid)).otherwise(
-            build(mid + 1, hi)
-        )
+        return (f"case when seq <= {bounds[mid]} then {build(lo, mid)} "
+                f"else {build(mid + 1, hi)} end")
 
-    return build(0, len(bounds))
+    return F.expr(build(0, len(bounds)))
 
 
 def _blocked(events: DataFrame, start: DataFrame, total: int, block: int) -> DataFrame:
     """The same as ``_flat`` for pipelines of any length.
 
-    Stretches are quantiles of the event order over the whole table, so no
-    stretch of one pipeline is longer than its share of the table. Within a
-    stretch events are numbered and cut into blocks.
+    Stretches are quantiles of the order of all these events, so no stretch of
+    one pipeline is longer than one such share. Within a stretch events are
+    numbered and cut into blocks.
     """
-    pieces = min(_MAX_STRETCHES, max(1, -(-total // (block * block))))
+    pieces = min(_MAX_STRETCHES, -(-total // (512 * block)))
     bounds: list[int] = []
     if pieces > 1:
         cuts = [i / pieces for i in range(1, pieces)]
@@ -191,13 +224,13 @@ def _blocked(events: DataFrame, start: DataFrame, total: int, block: int) -> Dat
     begin = F.coalesce("start", F.lit(ABSENT))
     stretch_start = whole.select(
         "pipeline_id",
-        F.explode(F.arrays_zip("ss", _starts(F.col("ss"), begin).alias("at"))).alias("z"),
+        F.explode(F.arrays_zip("ss", _starts(F.col("ss"), begin, F.get).alias("at"))).alias("z"),
     ).select("pipeline_id", F.col("z.ss.stretch").alias("stretch"), F.col("z.at").alias("at"))
     block_start = (
         stretches.join(stretch_start, ["pipeline_id", "stretch"])
         .select(
             "pipeline_id", "stretch",
-            F.explode(F.arrays_zip("bs", _starts(F.col("bs"), F.col("at")).alias("at"))).alias("z"),
+            F.explode(F.arrays_zip("bs", _starts(F.col("bs"), F.col("at"), _result).alias("at"))).alias("z"),
         )
         .select("pipeline_id", "stretch", F.col("z.bs.block").alias("block"),
                 F.col("z.at").alias("at"))
@@ -251,19 +284,23 @@ def _last(value: Column, kinds: tuple[str, ...]) -> Column:
 def apply_events(configs: DataFrame, events: DataFrame, block: int = BLOCK) -> Applied:
     """Apply ordered events (``EVENTS_DDL``, ``seq`` unique per pipeline).
 
-    Runs one small job first: the number of events, and of the busiest
-    pipeline, decides between the plain and the blocked fold. An event that
-    meets a status its guard does not allow, or an unknown id, changes nothing
-    and answers with an error.
+    Runs one small job first: if no pipeline has more events than one block,
+    the plain fold serves all. Otherwise the long pipelines, and only they, go
+    through the blocked fold. An event that meets a status its guard does not
+    allow, or an unknown id, changes nothing and answers with an error.
     """
     slim = events.select("pipeline_id", "seq", kind_code(F.col("kind")).alias("k"))
     start = configs.select("pipeline_id", status_code(F.col("status")).alias("start"))
     sizes = slim.groupBy("pipeline_id").agg(F.count(F.lit(1)).alias("n"))
-    busiest, total = sizes.agg(F.max("n"), F.sum("n")).first()
-    if (busiest or 0) <= block:
+    long = F.col("n") > block
+    total = sizes.where(long).agg(F.sum("n")).first()[0]
+    if not total:
         met = _flat(slim, start)
     else:
-        met = _blocked(slim, start, total, block)
+        long_ids = sizes.where(long).select("pipeline_id")
+        met = _flat(slim.join(long_ids, "pipeline_id", "left_anti"), start).unionByName(
+            _blocked(slim.join(long_ids, "pipeline_id", "left_semi"), start, total, block)
+        )
     judged = events.join(met, ["pipeline_id", "seq"]).withColumn(
         "ok", _allowed(kind_code(F.col("kind")), F.col("met"))
     )

@@ -30,12 +30,21 @@ def with_variant(df: DataFrame, col: str, strict: bool = True) -> DataFrame:
     return df.withColumn(col, parse(F.col(col)))
 
 
-def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
-
-
-def overwrite(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def append(df: DataFrame, ref: str) -> None:
+    """Append to a table by name, where Spark enforces declared widths, or to
+    Parquet files by path. Tables take the columns in their own order."""
+    if "/" in ref:
+        df.write.mode("append").parquet(ref)
+    else:
+        df.write.insertInto(ref)
+
+
+def overwrite(df: DataFrame, ref: str) -> None:
+    """Replace all rows. A table that is also the source is refused by Spark."""
+    if "/" in ref:
+        df.write.mode("overwrite").parquet(ref)
+    else:
+        df.write.insertInto(ref, overwrite=True)
 
 
 def append_absent(new: DataFrame, path: str, keys: Sequence[str]) -> None:
