@@ -210,6 +210,19 @@ def test_cdc_with_a_mark_reads_only_new_changes(spark, folder):
     assert target.read().count() == 7
 
 
+def test_compacting_logs_changes_no_entry(spark, folder):
+    control = ControlTables(spark, f"{folder}/c")
+    for i in range(4):
+        control.log_run(f"R{i % 2}", pipeline_id="P", status="RUNNING" if i < 2 else "SUCCESS")
+    before = bag(control.log("runs"))
+    control.compact("runs", "1999-01-01")
+    assert bag(control.log("runs")) == before
+    control.compact("runs", "2999-01-01")
+    assert bag(control.log("runs")) == before
+    assert len(control.log("runs").inputFiles()) == 1
+    assert {r["status"] for r in control.run_log().collect()} == {"SUCCESS"}
+
+
 def test_control_tables_state_machine(spark, folder):
     control = ControlTables(spark, f"{folder}/c")
     forms = spark.createDataFrame(

@@ -145,7 +145,7 @@ def advance_mark(marks: DataFrame, pipeline_id: str, watermark_col: str, value,
     spark = marks.sparkSession
     number = F.lit(str(value)).cast("decimal(38,10)") if numeric and value is not None else F.lit(None)
     time = ntz(value) if not numeric and value is not None else F.lit(None)
-    loads = spark.range(1).select(
+    loads = spark.range(0, 1, 1, 1).select(
         F.lit(pipeline_id).alias("pipeline_id"), F.lit(watermark_col).alias("watermark_col"),
         time.cast("timestamp_ntz").alias("new_ts"), number.cast("decimal(38,10)").alias("new_num"),
         F.lit(rows).alias("rows_loaded"), F.lit(load_key).cast("string").alias("load_key"),

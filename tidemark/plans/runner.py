@@ -93,7 +93,7 @@ def _observed(df: DataFrame, cfg: PipelineConfig, flags: list[str], write,
 
 def _verdict(spark: SparkSession, cfg: PipelineConfig, found: dict, flags: list[str],
              rows: int, check_casts: bool) -> tuple[str, str]:
-    counts = spark.range(1).select(*[F.lit(v).alias(k) for k, v in found.items()])
+    counts = spark.range(0, 1, 1, 1).select(*[F.lit(v).alias(k) for k, v in found.items()])
     row = verdict(
         counts, cfg.null_check_cols, cfg.error_tolerance_pct, cfg.min_rows_expected,
         flags if check_casts else (), rows_loaded=rows,

@@ -2,11 +2,13 @@
 
 Configs, status events, marks and run-log entries are only ever appended; the
 current state is computed from them. Appending needs no lock and no update in
-place, and a lost job leaves complete rows behind.
+place, and a lost job leaves complete rows behind. Entries lie in one folder
+per day; ``compact`` gathers the small files of past days.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +35,7 @@ RUNS_DDL = (
     "pre_hook_status string, post_hook_status string, quality_check_status string, "
     "quality_check_detail string, error_message string, query_id string"
 )
+DAY = "_day"
 _TABLES = {"configs": CONFIGS_DDL, "events": EVENTS_DDL, "marks": LOG_DDL, "runs": RUNS_DDL}
 
 
@@ -49,19 +52,34 @@ class ControlTables:
     def schema(self, table: str) -> T.StructType:
         return T.StructType.fromDDL(_TABLES[table])
 
+    def _days(self, table: str) -> DataFrame:
+        full = T.StructType([*self.schema(table).fields, T.StructField(DAY, T.StringType())])
+        return read_or_empty(self.spark, f"{self.root}/{table}", full)
+
     def log(self, table: str) -> DataFrame:
-        return read_or_empty(self.spark, f"{self.root}/{table}", self.schema(table))
+        return self._days(table).drop(DAY)
 
     def append(self, table: str, rows: DataFrame) -> None:
-        schema = self.schema(table)
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).write.mode(
-            "append"
-        ).parquet(f"{self.root}/{table}")
+        today = dt.datetime.now(dt.timezone.utc).date().isoformat()
+        rows.select(
+            *[F.col(f.name).cast(f.dataType) for f in self.schema(table).fields]
+        ).write.mode("append").parquet(f"{self.root}/{table}/{DAY}={today}")
+
+    def compact(self, table: str, before: str) -> None:
+        """Rewrite the entries of each day before a date as one file per day.
+        Entries are only appended to the current day, so nothing is missed."""
+        past = self._days(table).where(F.col(DAY) < before)
+        (
+            past.repartition(DAY).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy(DAY)
+            .parquet(f"{self.root}/{table}")
+        )
 
     # configs and their status
     def submit(self, configs: DataFrame) -> None:
         """Add configs whose id is new; submitting again changes nothing."""
-        self.append("configs", absent(configs, self.log("configs"), ["pipeline_id"]))
+        new = absent(configs, self.log("configs"), ["pipeline_id"])
+        self.append("configs", new)
 
     def event(self, pipeline_id: str, kind: str, at: str, actor: str | None = None,
               generated_sql: str | None = None, task_name: str | None = None,
@@ -113,7 +131,7 @@ class ControlTables:
         """Append one run-log entry; fields left out keep their last value."""
         schema = self.schema("runs")
         given = {"run_id": run_id, "seq": self.next_seq(), **fields}
-        row = self.spark.range(1).select(
+        row = self.spark.range(0, 1, 1, 1).select(
             *[
                 F.lit(None if given.get(f.name) is None else str(given[f.name]))
                 .cast(f.dataType).alias(f.name)
