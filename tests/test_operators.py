@@ -47,6 +47,17 @@ def test_align_priorities_and_warnings(spark):
     assert [(w.column, w.kind) for w in warnings] == [("gap", "UNMAPPED")]
 
 
+def test_copied_text_is_cast_tolerantly(spark):
+    from tidemark.operators.align import resolve
+
+    src = spark.createDataFrame([("7", "x", "2024-01-02")], "n string, m string, day_txt string")
+    target = ddl("n int, amount int, day date")
+    maps = [Mapping("m", "amount")]
+    row = align(src, target, maps)[0].first()
+    assert tuple(row) == (7, None, dt.date(2024, 1, 2))
+    assert set(resolve(src.schema, target, maps).cast_checks) == {"n", "amount", "day"}
+
+
 # filters
 def test_mark_filter_is_strict_and_reaches_the_scan(spark, folder):
     spark.sql("select timestamp_ntz'2024-01-01' + make_dt_interval(id) as ts, id from range(10)").union(
@@ -79,6 +90,13 @@ def test_dedup_nulls_and_ties(spark):
     assert bag(dedup(df.orderBy(F.desc("v")), ["k"], "at DESC")) == want
 
 
+def test_dedup_with_a_variant_column(spark):
+    df = spark.sql("select * from values (1, 5, '{\"a\":2}'), (1, 5, '{\"a\":1}') t(k, at, j)")
+    df = df.withColumn("j", F.parse_json("j"))
+    got = dedup(df, ["k"], "at DESC").select(F.to_json("j").alias("j")).collect()
+    assert [r["j"] for r in got] == ['{"a":1}']
+
+
 def test_dedup_limits_before_the_shuffle(spark):
     df = spark.range(100).selectExpr("id % 7 as k", "id as at")
     plan = dedup(df, ["k"], "at DESC")._jdf.queryExecution().executedPlan().toString()

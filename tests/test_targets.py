@@ -153,6 +153,9 @@ def test_incremental_split_equals_one_load(spark, cuts):
 def test_hook_outcomes(spark):
     assert run_hook(spark, None) == run_hook(spark, "") == "SKIPPED"
     assert run_hook(spark, "SELECT 1") == "SUCCESS"
+    assert run_hook(spark, "CREATE OR REPLACE TEMP VIEW hooked AS SELECT 1 AS x") == "SUCCESS"
+    assert run_hook(spark, "SHOW TABLES") == "SUCCESS"
+    assert spark.table("hooked").count() == 1
     with pytest.raises(Exception):
         run_hook(spark, "SELECT no_such_column")
 

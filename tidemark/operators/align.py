@@ -69,7 +69,9 @@ def resolve(
 
     Order of preference: explicit mapping, rule, default of an audit column,
     source column of the same name, source column of a similar name, typed
-    NULL with a warning. Works on schemas only, no data is read.
+    NULL with a warning. Text copied into a column of another type is cast
+    tolerantly and counts as a cast error where it fails. Works on schemas
+    only, no data is read.
     """
     mapped = {m.target_col.lower(): m for m in mappings}
     ruled = {r.target.lower(): r for r in rules}
@@ -87,9 +89,13 @@ def resolve(
         key = f.name.lower()
         dtype = storage_type(f.dataType)
         rule = None
+        copied = None
         if key in mapped:
             m = mapped[key]
-            expr = F.expr(m.expression) if m.expression else src(m.source_col)
+            if m.expression:
+                expr = F.expr(m.expression)
+            else:
+                copied, expr = field(source, m.source_col), src(m.source_col)
         elif key in ruled:
             rule = ruled[key]
             expr = rule.column()
@@ -100,10 +106,10 @@ def resolve(
                 checks[f.name] = src(rule.source).isNotNull() & rule.raw().isNull()
         elif key in defaulted:
             expr = defaulted[key]
-        elif (same := field(source, f.name)) is not None:
-            expr = src(same.name)
+        elif (copied := field(source, f.name)) is not None:
+            expr = src(copied.name)
         elif (near := similar_name(f.name, free)) is not None:
-            expr = src(near)
+            copied, expr = field(source, near), src(near)
         else:
             expr = F.lit(None)
             warnings.append(Warn(f.name, "UNMAPPED", "no source, loads NULL"))
@@ -114,7 +120,15 @@ def resolve(
                     f.name, "WIDTH", f"varchar({allowed}) receives {made} characters; "
                     f"MODIFY COLUMN {f.name} VARCHAR({made})",
                 ))
-        columns.append(expr.cast(dtype).alias(f.name))
+        if copied is not None and isinstance(copied.dataType, T.StringType) and not isinstance(
+            dtype, T.StringType
+        ):
+            # Text is not trusted: what does not read as the target type is NULL.
+            value = expr.try_cast(dtype)
+            checks[f.name] = expr.isNotNull() & value.isNull()
+            columns.append(value.alias(f.name))
+        else:
+            columns.append(expr.cast(dtype).alias(f.name))
     return Projection(columns, warnings, checks)
 
 

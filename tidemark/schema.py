@@ -11,7 +11,6 @@ import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _WIDTH_METADATA = "__CHAR_VARCHAR_TYPE_STRING"
@@ -80,12 +79,3 @@ def columns_table(
         for i, f in enumerate(schema.fields, start=1)
     ]
     return spark.createDataFrame(rows, COLUMNS_DDL)
-
-
-def string_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-
-
-def upper_names(col):
-    """Names compare without case."""
-    return F.upper(F.trim(col))

@@ -70,11 +70,10 @@ union all select -1, null, max(ts), null, null, null, null, null from events""")
 def empty_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Nothing new: no rows, and the mark stays where it was."""
     events, target = table(spark, sf, "events"), ddl(EVENTS_DDL)
-    highest = events.agg(F.max("ts").alias("mark"))
     none = load_incremental(events_config(), events, target, "2030-01-01", now=NOW).df
-    moved = M.next_mark(events, "ts", "2030-01-01").withColumnRenamed("mark", "new")
-    kept = highest.join(moved, F.lit(True)).select(
-        F.lit(-1).cast("long").alias("event_id"), F.greatest("mark", "new").alias("event_ts"))
+    highest = events.agg(F.max("ts").alias("mark"))
+    kept = highest.unionByName(M.next_mark(events, "ts", "2030-01-01")).agg(
+        F.lit(-1).cast("long").alias("event_id"), F.max("mark").alias("event_ts"))
     return none.unionByName(kept, allowMissingColumns=True)
 
 
