@@ -33,30 +33,34 @@ LONG_LIST = 48
 #: Entries of one block of a list.
 BLOCK = 16
 #: A shingle is frequent if it is in more than one of so many sets; at most (mean set size x this) are.
-FREQUENT = 4000
+FREQUENT = 8000
 #: A batch reports shingles that so many of its documents have.
-_SEEN = 6
+_SEEN = 2
 
 
-def _frequent(docs: DataFrame, k: int) -> dict[int, int]:
-    """Frequent shingles and their rank, from counts over all documents.
+def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, in order, and the rank of each, from counts over all documents.
 
-    A shingle in more than 1 / FREQUENT of all sets is frequent in some batch as well, so batches
-    report only those. The order matters for speed alone; results are the same for any order.
+    Batches count their own shingles and report those that they see twice. The order matters for
+    speed alone; results are the same for any order.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_sets(text_column(part), k)[0] for part in slices(batch)]
-            tokens, n = np.unique(np.concatenate(found), return_counts=True) if found else ([], [])
-            often = np.asarray(n) >= max(_SEEN, batch.num_rows // FREQUENT)
+            tokens, n = np.unique(np.concatenate(found or [np.zeros(0, _U)]), return_counts=True)
+            often = n >= _SEEN
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.asarray(tokens, _U)[often].view(np.int64)), pa.array(np.asarray(n, np.int64)[often])],
-                names=["token", "n"])
+                [pa.array(tokens[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["token", "n"])
 
-    rows = docs.count()
+    least = max(8, docs.count() // FREQUENT)
     counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") > max(2 * _SEEN, rows // FREQUENT)).orderBy("n", "token").collect()
-    return {r["token"] & (2**64 - 1): i + 1 for i, r in enumerate(top)}
+    top = counts.where(F.col("n") > least).toArrow()
+    token, n = (top.column(c).to_numpy() for c in ("token", "n"))
+    token = token.view(_U)
+    rank = np.empty(len(token), np.int64)
+    rank[np.lexsort((token, n))] = np.arange(1, len(token) + 1)
+    order = np.argsort(token)
+    return token[order], rank[order]
 
 
 def _reach(n: np.ndarray, percent: int) -> np.ndarray:
@@ -90,9 +94,7 @@ _SET_SCHEMA = "doc_id long, n_shingles long, set_id long, prefix array<long>, ce
 
 def sets_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """One row per document: size, id (hash) of its set, prefix in index order, histogram."""
-    frequent = _frequent(docs, k)
-    common = np.array(sorted(frequent), _U)
-    rank = np.array([frequent[int(t)] for t in common], np.int64)
+    common, rank = _frequent(docs, k)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
