@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard_join, packing
-from tidemark.llm.base import table
+from tidemark.llm import jaccard_join, line_quality, packing, toxicity
+from tidemark.llm.base import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,21 @@ from sizes s join reach using (doc_id) group by s.doc_id, s.n
 @query("op10_ngram_jaccard_join", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.groups(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, fold(F.col("doc_id"), 4) != 2)
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence", F.size("passages").alias("n_passages"))
+
+
+@query("op4_line_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = line_quality.fit(docs, labels, fold(F.col("doc_id"), 5) != 0)
+    return line_quality.score(docs, model).select(
+        "doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_lines", "n_bad_lines")
