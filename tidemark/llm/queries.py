@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard_join, line_quality, packing, toxicity
+from tidemark.llm import jaccard_join, language_id, line_quality, packing, quality_rules, toxicity
 from tidemark.llm.base import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,35 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.score(docs, model).select(
         "doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_lines", "n_bad_lines")
+
+
+OP6_SQL = r"""
+with t as (select doc_id, coalesce(text, '') x from documents),
+w as (
+    select doc_id, x, list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda w: w <> '') w,
+        list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) l from t),
+places as (
+    select doc_id, unnest(range(1, len(w) - 1)) i, w from w where len(w) >= 3),
+three as (select doc_id, i, w[i:i + 2] t from places),
+again as (select doc_id, i from three qualify count(*) over (partition by doc_id, t) > 1),
+rep as (
+    select doc_id, count(distinct i + j) n from again, (values (0), (1), (2)) v(j) group by doc_id)
+select w.doc_id, len(w) n_words, coalesce(list_sum(list_transform(w, lambda y: length(y)))::bigint, 0) word_chars,
+    length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) n_symbols,
+    len(l) - len(list_distinct(l)) n_dup_lines, coalesce(n, 0) n_repeat_words,
+    len(w) < 50 or 100 * coalesce(n, 0) > 50 * len(w) base_failed
+from w left join rep using (doc_id)
+"""
+
+
+@query("op6_robust_outliers")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, fold(F.col("doc_id"), 5) != 0)
+    return language_id.predict(docs, model).select(
+        "doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
