@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard_join, language_id, line_quality, packing, quality_rules, toxicity
+from tidemark.llm import decontamination, jaccard_join, language_id, line_quality, packing, quality_rules, toxicity
 from tidemark.llm.base import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs, fold(F.col("doc_id"), 5) != 0)
     return language_id.predict(docs, model).select(
         "doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op5_benchmark_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
