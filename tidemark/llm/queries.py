@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, jaccard_join, language_id, line_quality, packing, quality_rules, toxicity
+from tidemark.llm import decontamination, jaccard_join, language_id, license_scan, line_quality, packing, quality_rules, suffix_dedup, toxicity, url_filters
 from tidemark.llm.base import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,65 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_benchmark_decontamination")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_suffix_array_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [
+    url_filters.Rule("com/", "allow"), url_filters.Rule("example.com/en/", "block"),
+    url_filters.Rule("www.example.com/en/", "allow"), url_filters.Rule("net/es/", "block"),
+    url_filters.Rule("net/fr/", "block"),
+]
+
+OP2_SQL = r"""
+with parts as (
+    select page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+        regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) path from pages),
+ruled as (
+    select *, case
+        when (host = 'www.example.com' or suffix(host, '.www.example.com')) and prefix(path, '/en/') then 'www.example.com/en/'
+        when (host = 'example.com' or suffix(host, '.example.com')) and prefix(path, '/en/') then 'example.com/en/'
+        when (host = 'net' or suffix(host, '.net')) and prefix(path, '/fr/') then 'net/fr/'
+        when (host = 'net' or suffix(host, '.net')) and prefix(path, '/es/') then 'net/es/'
+        when (host = 'com' or suffix(host, '.com')) and prefix(path, '/') then 'com/' end rule from parts),
+marked as (
+    select *, case when rule in ('www.example.com/en/', 'com/') then 'allow' when rule is not null then 'block' end ruled from ruled),
+hosts as (
+    select host, count(*)::double n, sum((coalesce(ruled, '') = 'block')::int)::double k,
+        array_to_string(string_split(host, '.')[-2:], '.') dom, string_split(host, '.')[-1] suf
+    from marked group by host),
+doms as (select dom, suf, sum(n) n, sum(k) k from hosts group by all),
+sufs as (select suf, sum(n) n, sum(k) k from doms group by all),
+s0 as (select *, (select (sum(k) + 0.5) / (sum(n) + 1) from sufs) p from sufs),
+c1 as (select sum(n * (k / n - p) ** 2) - sum(p * (1 - p)) ex, sum((n - 1) * p * (1 - p)) room from s0),
+t1 as (select case when room > 0 then greatest(least(ex / room, 1.0), 0.0) else 0 end sp from c1),
+u1 as (select greatest(least(case when sp > 0 then 1 / sp - 1 else 1000 end, 1000.0), 1.0) s from t1),
+s1 as (select suf, (s * p + k) / (s + n) m from s0, u1),
+d0 as (select dom, n, k, m p from doms join s1 using (suf)),
+c2 as (select sum(n * (k / n - p) ** 2) - sum(p * (1 - p)) ex, sum((n - 1) * p * (1 - p)) room from d0),
+t2 as (select case when room > 0 then greatest(least(ex / room, 1.0), 0.0) else 0 end sp from c2),
+u2 as (select greatest(least(case when sp > 0 then 1 / sp - 1 else 1000 end, 1000.0), 1.0) s from t2),
+d1 as (select dom, (s * p + k) / (s + n) m from d0, u2),
+h0 as (select host, n, k, m p from hosts join d1 using (dom)),
+c3 as (select sum(n * (k / n - p) ** 2) - sum(p * (1 - p)) ex, sum((n - 1) * p * (1 - p)) room from h0),
+t3 as (select case when room > 0 then greatest(least(ex / room, 1.0), 0.0) else 0 end sp from c3),
+u3 as (select greatest(least(case when sp > 0 then 1 / sp - 1 else 1000 end, 1000.0), 1.0) s from t3),
+post as (select host, s * p + k a, s * (1 - p) + n - k b from h0, u3),
+low as (select host, a / (a + b) - 2 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) low from post)
+select page_id, host, path, rule, coalesce(ruled, case when low > 0.5 then 'block' else 'allow' end) verdict
+from marked join low using (host)
+"""
+
+
+@query("op2_url_reputation", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES).drop("low")
+
+
+@query("op7_license_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
