@@ -22,6 +22,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from tidemark.llm.base import stored
 from tidemark.llm.components import components
@@ -332,6 +334,42 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     return sets.select("doc_id", "n_shingles", "set_id"), answers.union(more).where("linked").select("a", "b")
 
 
+def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows (doc_id, n_shingles, set_id, root), stored; root is null without shingles."""
+    sets, linked = links(docs, k, percent)
+    roots = components(linked, "jaccard-components").withColumnsRenamed({"node": "set_id"})
+    return stored(
+        sets.join(roots, "set_id", "left").select(
+            "doc_id", "n_shingles", "set_id",
+            F.when(F.col("n_shingles") > 0, F.coalesce("root", "set_id")).alias("root")),
+        "jaccard-labels")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that are the first of their group (see ``groups``), all columns as they are.
+
+    First is the least (doc_id, text); of repeated rows all but one go. Rows without shingles stay.
+    """
+    rows = _labelled(docs, k, percent)
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(key.alias("k"), "set_id")).alias("f")).select(
+        F.col("f.k").alias("_k"), F.col("f.set_id").alias("_own"))
+    bare = rows.where("root is null").select(key.alias("_k"), F.lit(0).cast("long").alias("_own")).distinct()
+
+    def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole)):
+            tokens, at = shingle_sets(text_column(batch), k)
+            ids = np.where(np.diff(at) > 0, _set_ids(tokens, at).view(np.int64), 0)
+            yield batch.append_column("_own", pa.array(ids, pa.int64()))
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_own", T.LongType())])
+    keyed = docs.mapInArrow(named, schema).withColumn("_k", key)
+    kept = keyed.join(first.union(bare), ["_k", "_own"], "left_semi")
+    # equal rows share key and set, and lie in one partition already: one stays
+    return kept.withColumn("_n", F.row_number().over(W.partitionBy("_k", "_own").orderBy("text"))) \
+        .where((F.col("_n") == 1) | (F.col("_own") == 0)).select(docs.columns)
+
+
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -340,13 +378,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     from ``percent`` per cent on. ``component_id`` is the least id of all rows reached by links; rows
     of equal text are linked, also repeated rows. An empty table gives no rows.
     """
-    sets, linked = links(docs, k, percent)
-    roots = components(linked, "jaccard-components").withColumnsRenamed({"node": "set_id"})
-    labelled = stored(
-        sets.join(roots, "set_id", "left").select(
-            "doc_id", "n_shingles",
-            F.when(F.col("n_shingles") > 0, F.coalesce("root", "set_id")).alias("root")),
-        "jaccard-labels")
+    labelled = _labelled(docs, k, percent)
     least = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(least, "root", "left").select(
         "doc_id", "n_shingles",

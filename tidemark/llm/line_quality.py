@@ -223,3 +223,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "score", "n_lines", "n_bad_lines"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, n_lines long, n_bad_lines long")
+
+
+def accept(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs`` whose score is ``least`` or more, all columns as they are."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole)):
+            mean, _, _ = model.quality(text_column(batch))
+            yield batch.filter(pa.array(model.probability(mean) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

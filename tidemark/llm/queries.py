@@ -174,3 +174,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_license_scan")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
