@@ -4,7 +4,7 @@
    last, and its first few (the prefix) are indexed: two similar sets share a prefix shingle.
 2. The lists of the index, in order of (size, position), are cut into blocks. A block whose
    best entry can't reach the overlap that a size and position still allow is skipped whole.
-3. In a long list all sets are first compared with one pivot. Their answers to the pivot decide most
+3. In a long list all sets are first compared with a few pivots. Their answers to those decide most
    other pairs: two sets near the pivot are in one group already, and the pivot's overlaps bound
    the overlap of any two others from above. Only what stays open is compared.
 4. Folded hash histograms of the sets bound the overlap before whole sets move; the rest is verified
@@ -31,11 +31,13 @@ from tidemark.llm.textarrays import mix, shingle_sets, slices, text_column
 
 _U = np.uint64
 #: Lists longer than this go through a pivot.
-LONG_LIST = 48
+LONG_LIST = 8
+#: Pivots of a long list; the last ones only link what the first leaves open.
+PIVOTS = 8
 #: Entries of one block of a list.
-BLOCK = 16
+BLOCK = 4
 #: A shingle is frequent if it is in more than one of so many sets; at most (mean set size x this) are.
-FREQUENT = 8000
+FREQUENT = 32000
 #: A batch reports shingles that so many of its documents have.
 _SEEN = 2
 
@@ -54,7 +56,7 @@ def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(tokens[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["token", "n"])
 
-    least = max(8, docs.count() // FREQUENT)
+    least = max(4, docs.count() // FREQUENT)
     counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") > least).toArrow()
     token, n = (top.column(c).to_numpy() for c in ("token", "n"))
@@ -157,7 +159,7 @@ def _walk(percent: int):
     """Walk index lists that come in order: pairs of short lists, pivot and member rows of long ones."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 4  # the last list so far, at most LONG_LIST + 1 entries
-        pivot = None  # (token, set, size, position) while inside a long list
+        pivots = None  # (token, set, size, position) of each while inside a long list
 
         def emit(kind, token, a, na, ia, b, nb, ib):
             m = len(b)
@@ -187,25 +189,28 @@ def _walk(percent: int):
             token = cols[0]
             if not len(token):
                 continue
-            if pivot is not None:
-                run_on = int(np.argmax(token != pivot[0])) if (token != pivot[0]).any() else len(token)
+            if pivots is not None:
+                other = token != pivots[0][0]
+                run_on = int(np.argmax(other)) if other.any() else len(token)
                 if run_on:
-                    yield emit(1, pivot[0], *pivot[1:], cols[1][:run_on], cols[2][:run_on], cols[3][:run_on])
+                    for k, head in enumerate(pivots):
+                        yield emit(2 if k else 1, *head, *(c[:run_on] for c in cols[1:]))
                     cols = [c[run_on:] for c in cols]
                     token = cols[0]
                 if not len(token):
                     held = [c[:0] for c in cols]
                     continue
-                pivot = None
+                pivots = None
             cut = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(token)]])
             size = np.diff(cut)
             for g in np.flatnonzero(size > LONG_LIST):
                 f, e = cut[g], cut[g + 1]
-                head = (int(token[f]), int(cols[1][f]), int(cols[2][f]), int(cols[3][f]))
-                yield emit(1, head[0], *head[1:], cols[1][f:e], cols[2][f:e], cols[3][f:e])
+                heads = [tuple(int(c[f + k]) for c in cols) for k in range(PIVOTS)]
+                for k, head in enumerate(heads):
+                    yield emit(2 if k else 1, *head, *(c[f + k: e] for c in cols[1:]))
                 if e == len(token):
-                    pivot = head
-            last = cut[-2] if pivot is None else len(token)
+                    pivots = heads
+            last = cut[-2] if pivots is None else len(token)
             done = np.repeat((size > 1) & (size <= LONG_LIST) & (cut[1:] <= last), size)
             if done.any():
                 yield short([c[done] for c in cols])
@@ -288,7 +293,7 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percen
 def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(sets, links): a row per document (doc_id, n_shingles, set_id), and similar pairs of different sets.
 
-    Of the pairs within a long list, those that the answers to its pivot put into one group are not
+    Of the pairs within a long list, those that the answers to pivots put into one group are not
     listed; components are the same.
     """
     docs = docs.select("doc_id", "text")
@@ -310,28 +315,41 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     first = walked.where((F.col("a") != F.col("b")) & size_ok).select(*ordered, *swap).distinct()
     answers = _verified(docs, reps, first, k, percent)
 
-    # Long lists: what the answers to the pivot leave open.
+    # Long lists: what the answers to the pivots leave open. A pair is compared once per pivot, not per
+    # list, and not at all if the answers so far have both sets in one group.
+    linked = answers.where("linked").select("a", "b")
+    so_far = stored(components(linked, "jaccard-components"), "jaccard-groups").withColumnRenamed("node", "s")
     known = answers.select("a", "b", "overlap", "linked")
     known = known.union(answers.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap", "linked"))
     members = stored(
-        walked.where("kind = 1").join(known, ["a", "b"], "left").select(
-            "token", F.col("a").alias("pivot"), F.col("b").alias("s"), F.col("nb").alias("n"), "ib",
-            F.when(F.col("a") == F.col("b"), F.col("na")).otherwise(F.col("overlap")).alias("o"),
-            (F.coalesce("linked", F.lit(False)) | (F.col("a") == F.col("b"))).alias("near")),
+        walked.where("kind = 1").groupBy("a", "b").agg(
+            F.first("na").alias("na"), F.first("nb").alias("nb"), F.collect_set("token").alias("lists"))
+        .join(known, ["a", "b"], "left").where("a <> b").select(
+            F.col("a").alias("pivot"), F.col("b").alias("s"), F.col("nb").alias("n"), F.col("overlap").alias("o"), "lists")
+        .join(so_far, "s", "left").withColumn("root", F.coalesce("root", "s"))
+        .join(reps.select(F.col("set_id").alias("s"), F.transform(
+            F.sequence(F.lit(1), F.length("cells")),
+            lambda i: F.conv(F.hex(F.substring(F.col("cells"), i, F.lit(1))), 16, 10).cast("int")).alias("cells")), "s"),
         "jaccard-members")
-    x = members.where("not near").select("token", *[F.col(c).alias(f"x_{c}") for c in ("s", "n", "ib", "o")])
-    y = members.where("s <> pivot").select("token", *[F.col(c).alias(f"y_{c}") for c in ("s", "n", "ib", "o", "near")])
+    own = members.groupBy("s").agg(F.collect_set("pivot").alias("pivots"), F.array_distinct(F.flatten(F.collect_list("lists"))).alias("lists"))
+    members = stored(members.drop("lists").join(own, "s"), "jaccard-open")
+    x = members.select("pivot", *[F.col(c).alias(f"x_{c}") for c in ("s", "n", "o", "root", "lists", "cells", "pivots")])
+    y = members.select("pivot", *[F.col(c).alias(f"y_{c}") for c in ("s", "n", "o", "root", "lists", "cells", "pivots")])
     need = F.ceil((F.col("x_n") + F.col("y_n")) * percent / F.lit(100 + percent))
     bound = F.least("x_o", "y_o") + F.least(F.col("x_n") - F.col("x_o"), F.col("y_n") - F.col("y_o"))
-    rest = x.join(y, "token").where(
-        (F.col("y_near") | (F.col("x_s") < F.col("y_s")))
+    shared = F.aggregate(F.zip_with("x_cells", "y_cells", lambda u, v: F.when((u == 255) | (v == 255), need.cast("int")).otherwise(
+        F.least(u, v))), F.lit(0), lambda total, v: total + v)
+    rest = x.join(y, "pivot").where(
+        (F.col("x_root") != F.col("y_root")) & (F.col("x_s") < F.col("y_s"))
         & (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent)
-        & (F.least(F.col("x_n") - F.col("x_ib"), F.col("y_n") - F.col("y_ib")) >= need)
-        & (F.coalesce(bound, need) >= need)
+        & (F.when(F.col("x_o").isNull() | F.col("y_o").isNull(), need).otherwise(bound) >= need)
+        & ((F.col("pivot") == F.array_min(F.array_intersect("x_pivots", "y_pivots"))))
+        & F.arrays_overlap("x_lists", "y_lists")
+        & (F.when(F.size("x_cells") == F.size("y_cells"), shared).otherwise(need) >= need)
     ).select(F.col("x_s").alias("a"), F.col("y_s").alias("b"), F.col("x_n").alias("na"), F.col("y_n").alias("nb"))
     rest = rest.select(*ordered, *swap).distinct()
     more = _verified(docs, reps, rest.join(known.select("a", "b"), ["a", "b"], "left_anti"), k, percent)
-    return sets.select("doc_id", "n_shingles", "set_id"), answers.union(more).where("linked").select("a", "b")
+    return sets.select("doc_id", "n_shingles", "set_id"), linked.union(more.where("linked").select("a", "b"))
 
 
 def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
