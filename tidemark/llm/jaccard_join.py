@@ -225,7 +225,7 @@ def _overlaps(percent: int):
     """Overlap of the two sets of each row; rows that are not similar are kept with their overlap."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
+            x, y = batch.column("x"), batch.column("y")
             xv, yv = (c.flatten().to_numpy(zero_copy_only=False) for c in (x, y))
             xo, yo = (c.value_lengths().to_numpy(zero_copy_only=False).cumsum() for c in (x, y))
             xo, yo = np.concatenate([[0], xo]), np.concatenate([[0], yo])
@@ -233,8 +233,8 @@ def _overlaps(percent: int):
                             for i in range(batch.num_rows)], np.int64)
             nx, ny = np.diff(xo), np.diff(yo)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out), pa.array(100 * out >= percent * (nx + ny - out))],
-                names=["a", "b", "overlap", "linked"])
+                [*batch.columns[:4], pa.array(out), pa.array(100 * out >= percent * (nx + ny - out))],
+                names=["a", "b", "ra", "rb", "overlap", "linked"])
 
     return run
 
@@ -243,9 +243,9 @@ def _may_overlap(percent: int):
     """Pairs whose histograms allow the overlap."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
             ok = np.zeros(batch.num_rows, bool)
-            for i, (p, q) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+            for i, (p, q) in enumerate(zip(batch.column("ca"), batch.column("cb"), strict=True)):
                 u, v = (np.frombuffer(c.as_buffer(), np.uint8).astype(np.int64) for c in (p, q))
                 if u.max(initial=0) == 255 or v.max(initial=0) == 255:
                     ok[i] = True  # a full cell bounds nothing
@@ -253,18 +253,19 @@ def _may_overlap(percent: int):
                 w = min(len(u), len(v))
                 best = np.minimum(u.reshape(-1, w).sum(0), v.reshape(-1, w).sum(0)).sum()
                 ok[i] = best >= _need(int(na[i]), int(nb[i]), percent)
-            yield batch.select([0, 1]).filter(pa.array(ok))
+            yield batch.select(["a", "b", "ra", "rb"]).filter(pa.array(ok))
 
     return run
 
 
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, overlap, linked) of the pairs (a, b, na, nb) that pass the histograms, stored."""
+    """Overlap and link of the pairs (a, b, their sizes na, nb and groups ra, rb) that pass the histograms, stored."""
     cells = reps.select(F.col("set_id"), "cells")
     passed = stored(
         pairs.join(cells.withColumnsRenamed({"set_id": "a", "cells": "ca"}), "a")
         .join(cells.withColumnsRenamed({"set_id": "b", "cells": "cb"}), "b")
-        .select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_may_overlap(percent), "a long, b long"),
+        .select("a", "b", "ra", "rb", "na", "nb", "ca", "cb")
+        .mapInArrow(_may_overlap(percent), "a long, b long, ra long, rb long"),
         "jaccard-pairs")
     wanted = passed.select(F.col("a").alias("set_id")).union(passed.select("b")).distinct()
 
@@ -284,17 +285,17 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percen
         .select("set_id", "text").mapInArrow(run, "set_id long, tokens array<long>"), "jaccard-sets")
     both = (
         passed.join(sets.withColumnsRenamed({"set_id": "a", "tokens": "x"}), "a")
-        .join(sets.withColumnsRenamed({"set_id": "b", "tokens": "y"}), "b").select("a", "b", "x", "y")
+        .join(sets.withColumnsRenamed({"set_id": "b", "tokens": "y"}), "b").select("a", "b", "ra", "rb", "x", "y")
     )
-    return stored(both.mapInArrow(_overlaps(percent), "a long, b long, overlap long, linked boolean"),
+    return stored(both.mapInArrow(_overlaps(percent), "a long, b long, ra long, rb long, overlap long, linked boolean"),
                   "jaccard-answers")
 
 
 def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(sets, links): a row per document (doc_id, n_shingles, set_id), and similar pairs of different sets.
 
-    Of the pairs within a long list, those that the answers to pivots put into one group are not
-    listed; components are the same.
+    Pairs that the answers to pivots put into one group are not listed, and later links stand for the
+    groups of their sets; components are the same.
     """
     docs = docs.select("doc_id", "text")
     sets = stored(sets_of(docs, k, percent), "jaccard-rows")
@@ -312,7 +313,8 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     size_ok = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     swap = (F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
             F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-    first = walked.where((F.col("a") != F.col("b")) & size_ok).select(*ordered, *swap).distinct()
+    first = walked.where((F.col("a") != F.col("b")) & size_ok).select(*ordered, *swap).distinct() \
+        .withColumns({"ra": F.col("a"), "rb": F.col("b")})
     answers = _verified(docs, reps, first, k, percent)
 
     # Long lists: what the answers to the pivots leave open. A pair is compared once per pivot, not per
@@ -346,10 +348,10 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
         & ((F.col("pivot") == F.array_min(F.array_intersect("x_pivots", "y_pivots"))))
         & F.arrays_overlap("x_lists", "y_lists")
         & (F.when(F.size("x_cells") == F.size("y_cells"), shared).otherwise(need) >= need)
-    ).select(F.col("x_s").alias("a"), F.col("y_s").alias("b"), F.col("x_n").alias("na"), F.col("y_n").alias("nb"))
-    rest = rest.select(*ordered, *swap).distinct()
+    ).select(F.col("x_s").alias("a"), F.col("y_s").alias("b"), F.col("x_n").alias("na"), F.col("y_n").alias("nb"),
+             F.col("x_root").alias("ra"), F.col("y_root").alias("rb")).distinct()  # x_s < y_s: in order
     more = _verified(docs, reps, rest.join(known.select("a", "b"), ["a", "b"], "left_anti"), k, percent)
-    return sets.select("doc_id", "n_shingles", "set_id"), linked.union(more.where("linked").select("a", "b"))
+    return sets.select("doc_id", "n_shingles", "set_id"), linked.union(more.where("linked").select("ra", "rb").distinct())
 
 
 def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
