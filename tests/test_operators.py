@@ -267,3 +267,26 @@ def test_widths_from_ddl_and_catalog_metadata(spark):
     assert widths(spark.table("widths_demo").schema) == {"c": 7}
     spark.sql("drop table widths_demo")
     assert plain_schema(declared).simpleString() == "struct<c:string,d:string,e:string>"
+
+
+def test_order_text_with_nested_calls_and_quotes():
+    from tidemark.operators.dedup import order_items
+
+    got = order_items("coalesce(a, nvl(b, c)) DESC, concat(d, ',') , e")
+    assert [(x[0].strip(), x[1]) for x in got] == [("coalesce(a, nvl(b, c))", True), ("concat(d, ',')", False), ("e", False)]
+
+
+def test_one_submission_inserts_a_key_once(spark):
+    from tidemark.operators.joins import insert_absent
+
+    new = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    old = spark.createDataFrame([(2, "z")], "k int, v string")
+    rows = insert_absent(new, old, ["k"]).collect()
+    assert sorted(r["k"] for r in rows) == [1, 2] and {r["v"] for r in rows if r["k"] == 2} == {"z"}
+
+
+def test_batch_keys_of_different_pipelines_differ():
+    from tidemark.sources.targets import AppendTarget
+
+    names = ["P A", "P_A", "P-A", "P=A", "P 5fA", "P/A"]
+    assert len({AppendTarget.load_key(n, 1) for n in names}) == len(names)

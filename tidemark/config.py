@@ -133,14 +133,22 @@ def parse_params(col: Column | str) -> Column:
     return F.from_json(F.col(col) if isinstance(col, str) else col, params_schema())
 
 
+#: All white space that a form field may be padded with.
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+
+
+def stripped(c: Column) -> Column:
+    return F.btrim(c, F.lit(WHITE_SPACE))
+
+
 def _blank_to_null(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(stripped(c), F.lit(""))
 
 
 def _upper_list(c: Column) -> Column:
     """``" a, ,B "`` to ``["A", "B"]``."""
     return F.filter(
-        F.transform(F.split(c, ","), lambda x: F.upper(F.trim(x))), lambda x: x != ""
+        F.transform(F.split(c, ","), lambda x: F.upper(stripped(x))), lambda x: x != ""
     )
 
 
@@ -151,10 +159,10 @@ def normalise_configs(submitted: DataFrame, now: str | None = None, user: str |
     NULL, and the fields every job filters on are repeated as plain columns.
     """
     def text(name: str) -> Column:
-        return F.trim(F.col(name))
+        return stripped(F.col(name))
 
     def upper(name: str) -> Column:
-        return F.upper(F.trim(F.col(name)))
+        return F.upper(stripped(F.col(name)))
 
     def upper_or_null(name: str) -> Column:
         return F.upper(_blank_to_null(F.col(name)))

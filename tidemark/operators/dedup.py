@@ -20,6 +20,23 @@ _ITEM = re.compile(
 )
 
 
+def _top_level_parts(text: str) -> list[str]:
+    """Parts between the commas that stand outside brackets and quotes."""
+    parts, depth, quote = [""], 0, ""
+    for c in text:
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"`":
+            quote = c
+        else:
+            depth += (c in "([") - (c in ")]")
+        if c == "," and not depth and not quote:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
+
+
 def order_items(spec: str | None) -> list[tuple[str, bool, bool]]:
     """``"UPDATED_AT DESC, ID"`` to (expression, descending, nulls last).
 
@@ -27,7 +44,7 @@ def order_items(spec: str | None) -> list[tuple[str, bool, bool]]:
     without a change time never wins over one that has it.
     """
     items = []
-    for part in re.split(r",(?![^()]*\))", spec or ""):
+    for part in _top_level_parts(spec or ""):
         if part.strip():
             m = _ITEM.match(part.strip())
             items.append(

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.operators.dedup import order_items, ordering
 
@@ -21,8 +22,14 @@ def join_configs(df: DataFrame, configs: DataFrame, cols: Sequence[str]) -> Data
 
 
 def absent(new: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` whose key the target does not hold."""
-    return new.join(target.select(*keys), list(keys), "left_anti")
+    """Rows of ``new`` whose key the target does not hold, one per key.
+
+    Of several new rows with one key the one with the least hash stays, whatever the partitioning.
+    """
+    hashed = [f.name for f in new.schema.fields if "map<" not in f.dataType.simpleString()]
+    first = W.partitionBy(*keys).orderBy(F.xxhash64(*hashed))
+    once = new.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return once.join(target.select(*keys), list(keys), "left_anti")
 
 
 def insert_absent(new: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -27,7 +27,6 @@ ORDER = "_order"
 CHANGE = "_change"
 MATCHED = "_matched"
 _SALT = "_null_salt"
-_SALTS = 1024
 
 
 class DuplicateChangeKeys(ValueError):
@@ -41,7 +40,7 @@ def null_key_salt(df: DataFrame, keys: Sequence[str]) -> Column:
     for k in keys:
         any_null = any_null | F.col(k).isNull()
     hashable = [F.col(f.name) for f in df.schema.fields if f.dataType.typeName() not in ("variant", "map")]
-    return F.when(any_null, F.pmod(F.xxhash64(*hashable), F.lit(_SALTS))).otherwise(F.lit(0))
+    return F.when(any_null, F.xxhash64(*hashable)).otherwise(F.lit(0).cast("long"))
 
 
 def require_unique(changes: DataFrame, keys: Sequence[str], show: int = 20) -> None:

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.config import stripped
+
 HARD, WARN = "HARD", "WARN"
 
 
@@ -53,7 +55,7 @@ def _each(items: Column, check: str, severity: str) -> Column:
 
 
 def _blank(c: Column) -> Column:
-    return F.coalesce(F.trim(c), F.lit("")) == ""
+    return F.coalesce(stripped(c), F.lit("")) == ""
 
 
 def _names(cols: Column) -> Column:

@@ -75,7 +75,7 @@ def _hook(log: RunLog, which: str, sql: str | None) -> None:
     try:
         status = run_hook(log.control.spark, sql)
     except Exception as e:
-        log.set(**{f"{which}_hook_status": f"FAILED: {str(e)[:4000]}"})
+        log.set(**{f"{which}_hook_status": f"FAILED: {str(e)}"})
         raise
     log.set(**{f"{which}_hook_status": status})
 
@@ -134,7 +134,7 @@ def run_pipeline(
         _close(log, cfg, now, "QUALITY_FAIL", error_message=str(e))
         raise
     except Exception as e:
-        _close(log, cfg, now, "FAILED", error_message=str(e)[:4000])
+        _close(log, cfg, now, "FAILED", error_message=str(e))
         raise
 
 

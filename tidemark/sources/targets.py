@@ -66,7 +66,9 @@ class AppendTarget:
         text = str(start)
         if re.match(r"\d{4}-\d{2}-\d{2}", text):
             text = dt.datetime.fromisoformat(text).strftime(LOAD_KEY_TIME)
-        return re.sub(r"[^A-Za-z0-9_@.-]", "_", f"{pipeline_id}@{text}")
+        # a blank is an underscore, any other character its number: different ids never share a key
+        return "@".join(re.sub(r"[^A-Za-z0-9.-]", lambda m: "_" if m[0] == " " else f"={ord(m[0]):x}=", x)
+                        for x in (str(pipeline_id), text))
 
     def read(self) -> DataFrame:
         return self.with_keys().select(*self.schema.names)

@@ -36,7 +36,9 @@ def stream_incremental(
     Dedup works inside a micro-batch."""
     def apply(df: DataFrame, batch_id: int) -> None:
         batch = load_incremental(cfg, df, schema, cfg.watermark_initial, now=now)
-        target.write(batch.rows, AppendTarget.load_key(cfg.pipeline_id, f"stream-{batch_id:012d}"))
+        # a new checkpoint is a new query, whose batches must not replace the old one's
+        query = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        target.write(batch.rows, AppendTarget.load_key(cfg.pipeline_id, f"stream-{query}-{batch_id:012d}"))
 
     return _start(stream, apply, checkpoint, trigger)
 
