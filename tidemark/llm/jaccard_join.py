@@ -4,9 +4,11 @@
    last, and its first few (the prefix) are indexed: two similar sets share a prefix shingle.
 2. The lists of the index, in order of (size, position), are cut into blocks. A block whose
    best entry can't reach the overlap that a size and position still allow is skipped whole.
-3. In a long list all sets are first compared with a few pivots. Their answers to those decide most
+3. In a long list all sets are first compared with one pivot. Their answers to it decide most
    other pairs: two sets near the pivot are in one group already, and the pivot's overlaps bound
-   the overlap of any two others from above. Only what stays open is compared.
+   the overlap of any two others from above. What stays open is compared in rounds with a few sets
+   at a time, whose answers join groups again; only what is open after the last round is compared
+   pair by pair.
 4. Folded hash histograms of the sets bound the overlap before whole sets move; the rest is verified
    on the sets.
 
@@ -32,8 +34,9 @@ from tidemark.llm.textarrays import mix, shingle_sets, slices, text_column
 _U = np.uint64
 #: Lists longer than this go through a pivot.
 LONG_LIST = 8
-#: Pivots of a long list; the last ones only link what the first leaves open.
-PIVOTS = 8
+#: Rounds of comparing the open sets of a pivot with some of them, and how many those are.
+ROUNDS = 2
+HEADS = 32
 #: Entries of one block of a list.
 BLOCK = 4
 #: A shingle is frequent if it is in more than one of so many sets; at most (mean set size x this) are.
@@ -159,7 +162,7 @@ def _walk(percent: int):
     """Walk index lists that come in order: pairs of short lists, pivot and member rows of long ones."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 4  # the last list so far, at most LONG_LIST + 1 entries
-        pivots = None  # (token, set, size, position) of each while inside a long list
+        pivot = None  # (token, set, size, position) while inside a long list
 
         def emit(kind, token, a, na, ia, b, nb, ib):
             m = len(b)
@@ -189,28 +192,26 @@ def _walk(percent: int):
             token = cols[0]
             if not len(token):
                 continue
-            if pivots is not None:
-                other = token != pivots[0][0]
+            if pivot is not None:
+                other = token != pivot[0]
                 run_on = int(np.argmax(other)) if other.any() else len(token)
                 if run_on:
-                    for k, head in enumerate(pivots):
-                        yield emit(2 if k else 1, *head, *(c[:run_on] for c in cols[1:]))
+                    yield emit(1, *pivot, *(c[:run_on] for c in cols[1:]))
                     cols = [c[run_on:] for c in cols]
                     token = cols[0]
                 if not len(token):
                     held = [c[:0] for c in cols]
                     continue
-                pivots = None
+                pivot = None
             cut = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(token)]])
             size = np.diff(cut)
             for g in np.flatnonzero(size > LONG_LIST):
                 f, e = cut[g], cut[g + 1]
-                heads = [tuple(int(c[f + k]) for c in cols) for k in range(PIVOTS)]
-                for k, head in enumerate(heads):
-                    yield emit(2 if k else 1, *head, *(c[f + k: e] for c in cols[1:]))
+                head = tuple(int(c[f]) for c in cols)
+                yield emit(1, *head, *(c[f:e] for c in cols[1:]))
                 if e == len(token):
-                    pivots = heads
-            last = cut[-2] if pivots is None else len(token)
+                    pivot = head
+            last = cut[-2] if pivot is None else len(token)
             done = np.repeat((size > 1) & (size <= LONG_LIST) & (cut[1:] <= last), size)
             if done.any():
                 yield short([c[done] for c in cols])
@@ -259,13 +260,14 @@ def _may_overlap(percent: int):
 
 
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Overlap and link of the pairs (a, b, their sizes na, nb and groups ra, rb) that pass the histograms, stored."""
+    """Overlap and link of the pairs (a, b, their sizes na, nb and groups ra, rb) that pass the histograms (``sure``: have passed), stored."""
     cells = reps.select(F.col("set_id"), "cells")
+    sure = pairs.where("sure").select("a", "b", "ra", "rb")
     passed = stored(
-        pairs.join(cells.withColumnsRenamed({"set_id": "a", "cells": "ca"}), "a")
+        pairs.where("not sure").join(cells.withColumnsRenamed({"set_id": "a", "cells": "ca"}), "a")
         .join(cells.withColumnsRenamed({"set_id": "b", "cells": "cb"}), "b")
         .select("a", "b", "ra", "rb", "na", "nb", "ca", "cb")
-        .mapInArrow(_may_overlap(percent), "a long, b long, ra long, rb long"),
+        .mapInArrow(_may_overlap(percent), "a long, b long, ra long, rb long").union(sure),
         "jaccard-pairs")
     wanted = passed.select(F.col("a").alias("set_id")).union(passed.select("b")).distinct()
 
@@ -291,6 +293,38 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percen
                   "jaccard-answers")
 
 
+def _open_pairs(members: DataFrame, heads: DataFrame | None, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one pivot that are in different groups and may be similar by all answers so far.
+
+    One side is of ``heads`` (None: any member). A pair comes once, at the least pivot both have, and
+    not if it is ``known``. Stored; ``sure`` says that the histograms have been compared.
+    """
+    columns = ("s", "n", "o", "root", "lists", "cells", "pivots")
+    x = members.select("pivot", *[F.col(c).alias(f"x_{c}") for c in columns])
+    y = (members if heads is None else heads).select("pivot", *[F.col(c).alias(f"y_{c}") for c in columns])
+    need = F.ceil((F.col("x_n") + F.col("y_n")) * percent / F.lit(100 + percent))
+    bound = F.least("x_o", "y_o") + F.least(F.col("x_n") - F.col("x_o"), F.col("y_n") - F.col("y_o"))
+    shared = F.aggregate(F.zip_with("x_cells", "y_cells", lambda u, v: F.when((u == 255) | (v == 255), need.cast("int")).otherwise(
+        F.least(u, v))), F.lit(0), lambda total, v: total + v)
+    alike = F.size("x_cells") == F.size("y_cells")
+    in_order = F.col("x_s") < F.col("y_s")
+    pairs = x.join(y, "pivot").where(
+        (in_order if heads is None else F.col("x_s") != F.col("y_s"))
+        & (F.col("x_root") != F.col("y_root"))
+        & (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent)
+        & (F.when(F.col("x_o").isNull() | F.col("y_o").isNull(), need).otherwise(bound) >= need)
+        & (F.col("pivot") == F.array_min(F.array_intersect("x_pivots", "y_pivots")))
+        & F.arrays_overlap("x_lists", "y_lists")
+        & (F.when(alike, shared).otherwise(need) >= need)
+    ).select(
+        *[F.when(in_order, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(name) for c, name in (("s", "a"), ("n", "na"), ("root", "ra"))],
+        *[F.when(in_order, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")).alias(name) for c, name in (("s", "b"), ("n", "nb"), ("root", "rb"))],
+        alike.alias("sure"))
+    if heads is not None:
+        pairs = pairs.distinct()  # both may be heads
+    return stored(pairs.join(known, ["a", "b"], "left_anti"), "jaccard-rest")
+
+
 def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(sets, links): a row per document (doc_id, n_shingles, set_id), and similar pairs of different sets.
 
@@ -314,7 +348,7 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     swap = (F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
             F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
     first = walked.where((F.col("a") != F.col("b")) & size_ok).select(*ordered, *swap).distinct() \
-        .withColumns({"ra": F.col("a"), "rb": F.col("b")})
+        .withColumns({"ra": F.col("a"), "rb": F.col("b"), "sure": F.lit(False)})
     answers = _verified(docs, reps, first, k, percent)
 
     # Long lists: what the answers to the pivots leave open. A pair is compared once per pivot, not per
@@ -335,23 +369,23 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
         "jaccard-members")
     own = members.groupBy("s").agg(F.collect_set("pivot").alias("pivots"), F.array_distinct(F.flatten(F.collect_list("lists"))).alias("lists"))
     members = stored(members.drop("lists").join(own, "s"), "jaccard-open")
-    x = members.select("pivot", *[F.col(c).alias(f"x_{c}") for c in ("s", "n", "o", "root", "lists", "cells", "pivots")])
-    y = members.select("pivot", *[F.col(c).alias(f"y_{c}") for c in ("s", "n", "o", "root", "lists", "cells", "pivots")])
-    need = F.ceil((F.col("x_n") + F.col("y_n")) * percent / F.lit(100 + percent))
-    bound = F.least("x_o", "y_o") + F.least(F.col("x_n") - F.col("x_o"), F.col("y_n") - F.col("y_o"))
-    shared = F.aggregate(F.zip_with("x_cells", "y_cells", lambda u, v: F.when((u == 255) | (v == 255), need.cast("int")).otherwise(
-        F.least(u, v))), F.lit(0), lambda total, v: total + v)
-    rest = x.join(y, "pivot").where(
-        (F.col("x_root") != F.col("y_root")) & (F.col("x_s") < F.col("y_s"))
-        & (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent)
-        & (F.when(F.col("x_o").isNull() | F.col("y_o").isNull(), need).otherwise(bound) >= need)
-        & ((F.col("pivot") == F.array_min(F.array_intersect("x_pivots", "y_pivots"))))
-        & F.arrays_overlap("x_lists", "y_lists")
-        & (F.when(F.size("x_cells") == F.size("y_cells"), shared).otherwise(need) >= need)
-    ).select(F.col("x_s").alias("a"), F.col("y_s").alias("b"), F.col("x_n").alias("na"), F.col("y_n").alias("nb"),
-             F.col("x_root").alias("ra"), F.col("y_root").alias("rb")).distinct()  # x_s < y_s: in order
-    more = _verified(docs, reps, rest.join(known.select("a", "b"), ["a", "b"], "left_anti"), k, percent)
-    return sets.select("doc_id", "n_shingles", "set_id"), linked.union(more.where("linked").select("ra", "rb").distinct())
+    known = known.select("a", "b")
+    for i in range(ROUNDS):
+        turn = F.row_number().over(W.partitionBy("pivot").orderBy(F.xxhash64("s", F.lit(i)), "s"))
+        heads = members.select("pivot", "s").withColumn("turn", turn).where(F.col("turn") <= HEADS).select("pivot", "s")
+        pairs = _open_pairs(members, members.join(heads, ["pivot", "s"], "left_semi"), known, percent)
+        answers = _verified(docs, reps, pairs, k, percent)
+        known = known.union(answers.select("a", "b"))
+        new = answers.where("linked").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+        if new.isEmpty():
+            break
+        linked = linked.union(new)
+        step = components(new, "jaccard-components").select(F.col("node").alias("root"), F.col("root").alias("next"))
+        members = stored(
+            members.join(step, "root", "left").withColumn("root", F.coalesce("next", "root")).drop("next"), "jaccard-open")
+    more = _verified(docs, reps, _open_pairs(members, None, known, percent), k, percent)
+    linked = linked.union(more.where("linked").select("ra", "rb").distinct())
+    return sets.select("doc_id", "n_shingles", "set_id"), linked
 
 
 def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
