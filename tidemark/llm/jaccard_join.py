@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -41,6 +41,8 @@ HEADS = 32
 BLOCK = 4
 #: A shingle is frequent if it is in more than one of so many sets; at most (mean set size x this) are.
 FREQUENT = 32000
+#: Bits of the filter that holds back texts no pair asks for: 16 MB in 4 KB pieces, whatever the table's size.
+FILTER_BITS = 1 << 27
 #: A batch reports shingles that so many of its documents have.
 _SEEN = 2
 
@@ -259,6 +261,26 @@ def _may_overlap(percent: int):
     return run
 
 
+def _asked_for(docs: DataFrame, owners: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``_id`` is an id of ``owners``, and few others.
+
+    Ids are hashed into a bitmap of FILTER_BITS, whose pieces are broadcast: their size is bounded.
+    Rows that share a bit with an owner pass too, so an exact join must follow; the fuller the bitmap,
+    the more rows pass.
+    """
+    def bit(doc_id) -> Column:
+        return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS)) + 1
+
+    place = bit(F.col("doc_id"))
+    pieces = owners.groupBy(F.bitmap_bucket_number(place).alias("piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    at = F.bitmap_bit_position(bit(F.col("_id")))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    # bit p of a bitmap is bit p % 8, counted from the lowest, of its byte p / 8
+    is_set = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at.bitwiseAND(F.lit(7)) + 1).cast("int"))) != 0
+    return docs.join(F.broadcast(pieces), (F.bitmap_bucket_number(bit(F.col("_id"))) == F.col("piece")) & is_set, "left_semi")
+
+
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Overlap and link of the pairs (a, b, their sizes na, nb and groups ra, rb) that pass the histograms (``sure``: have passed), stored."""
     cells = reps.select(F.col("set_id"), "cells")
@@ -282,8 +304,9 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percen
             yield found.filter(pc.equal(found.column(0), batch.column(0)))
 
     owners = reps.join(wanted, "set_id", "left_semi").select("set_id", "doc_id")
+    texts = _asked_for(docs.select(F.col("doc_id").alias("_id"), "text"), owners)
     sets = stored(
-        docs.select(F.col("doc_id").alias("_id"), "text").join(owners, F.col("_id").eqNullSafe(F.col("doc_id")))
+        texts.join(owners, F.col("_id").eqNullSafe(F.col("doc_id")))
         .select("set_id", "text").mapInArrow(run, "set_id long, tokens array<long>"), "jaccard-sets")
     both = (
         passed.join(sets.withColumnsRenamed({"set_id": "a", "tokens": "x"}), "a")
