@@ -39,6 +39,18 @@ def test_jaccard_groups(spark, k, percent):
     assert {r[0]: (r[1], r[2]) for r in got} == components(list(enumerate(texts)), k, percent)
 
 
+def test_held_back_texts(spark, monkeypatch):
+    ids = [None, -(1 << 63), -1, *range(300), 7]
+    docs = spark.createDataFrame([(i,) for i in ids], "_id long")
+    owners = spark.createDataFrame([(i,) for i in ids[:4] + [7, 250]], "doc_id long")
+    for bits in (1, 1 << 4, 1 << 27):
+        monkeypatch.setattr(jaccard_join, "FILTER_BITS", bits)
+        got = [r[0] for r in jaccard_join._asked_for(docs, owners).collect()]
+        assert {None, -(1 << 63), -1, 0, 7, 250} <= set(got) and got.count(7) == 2
+        assert len(got) == len(ids) if bits == 1 else len(got) < len(ids)
+    assert jaccard_join._asked_for(docs, owners.limit(0)).count() == 0
+
+
 def test_one_of_each(spark):
     texts = corpus()
     want = {g for _, (n, g) in components(list(enumerate(texts)), 5, 80).items() if n}
