@@ -155,6 +155,13 @@ def test_licences(spark):
     assert got[5]["first_word"] is None and got[5]["n_words"] == 0
 
 
+def test_licences_with_a_frequent_notice(spark):
+    notice = next(t.text for t in license_scan.TEMPLATES if t.label == "bsd")
+    texts = [f"{notice} {prose(i, 30)}" if i % 3 == 0 else prose(i, 30) for i in range(60)]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(table(spark, texts)).collect()}
+    assert all(got[i] == (("bsd", 1.0) if i % 3 == 0 else ("", 0.0)) for i in range(60))
+
+
 def test_urls(spark):
     urls = ["HTTP://A.Example.com/en/x", "http://www.example.com/en/", "http://x.net/es/", "http://x.net", None, "plain"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")

@@ -1,11 +1,12 @@
 """License notices by a positional index of rare template words.
 
-Templates are indexed by word: where each word stands in which template. Of a text's licence words
-those with the highest IDF (over all texts) are looked up; every place votes for where each template
-would begin. A template whose rare words agree on one beginning is a candidate, and it is found if
-its mandatory key phrases stand in that stretch of the text. Phrases that name a licence are matched
-as they stand beside that. Built-in functions only, and nothing but the licence words' counts leaves
-a row.
+Each template is indexed by its own rarest words (highest IDF over all texts): where each of them
+stands in it. So many of its places are indexed that a stretch with the required share of words in
+place has enough votes, whichever words are missing: how frequent words are decides the cost, never
+the result. Every place of such a word in a text votes for where each template would begin. A
+template whose words agree on one beginning is a candidate, and it is found if its mandatory key
+phrases stand in that stretch of the text. Phrases that name a licence are matched as they stand
+beside that. Built-in functions only, and nothing but the licence words' counts leaves a row.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words looked up per text, and the least IDF of an indexed word.
+#: Words looked up per text, and the IDF from which a word counts as rare.
 LOOKED_UP, LEAST_IDF = 12, math.log(8)
-#: Votes that a candidate needs (fewer if its template has fewer indexed words), and words that a
-#: key phrase may stand beside its place.
+#: Votes that a candidate needs (fewer if that keeps frequent words out of the index), and words
+#: that a key phrase may stand beside its place.
 VOTES, SLACK = 3, 3
 #: Share of a template's words that have to stand at their places.
 COVERAGE = 0.6
@@ -94,6 +95,22 @@ def idf(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[st
     return {w: math.log((total + 1) / (seen.get(w, 0) + 1)) for w in vocabulary}
 
 
+def _indexed(t: Template, weight: dict[str, float]) -> tuple[list[str], int]:
+    """Words to index, rare first, and the votes that any stretch with COVERAGE of ``t`` in place gets from them."""
+    if not t.words:
+        return [], 1
+    ranked = sorted(set(t.words), key=lambda w: (-weight[w], w))
+    n = len(t.words)
+    least = next(i for i in range(n + 1) if i / n >= COVERAGE)
+    choices = []
+    for votes in range(min(VOTES, least), 0, -1):
+        words: list[str] = []
+        while sum(w in words for w in t.words) < n - least + votes:
+            words.append(ranked[len(words)])
+        choices.append((words, votes))
+    return next((c for c in choices if weight[c[0][-1]] >= LEAST_IDF), choices[0])
+
+
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases: dict[str, str] | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score (the best template's share of words in place, at least one half where
@@ -104,12 +121,11 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases:
     """
     phrases = PHRASES if phrases is None else phrases
     weight = idf(docs, templates)
-    # rare first; where all texts are notices, no word is rare, and the rarest serve
-    ranked = sorted(weight, key=lambda w: (-weight[w], w))
-    indexed = [w for w in ranked if weight[w] >= LEAST_IDF] or ranked
-    known = set(indexed)
-    postings = {w: [(k, i) for k, t in enumerate(templates) for i, x in enumerate(t.words) if x == w] for w in indexed}
-    need = [max(1, min(VOTES, len([x for x in t.words if x in known]))) for t in templates]
+    chosen = [_indexed(t, weight) for t in templates]
+    indexed = sorted({x for words, _ in chosen for x in words}, key=lambda x: (-weight[x], x))
+    postings = {x: [(k, i) for k, t in enumerate(templates) if x in chosen[k][0] for i, y in enumerate(t.words) if y == x]
+                for x in indexed}
+    need = [votes for _, votes in chosen]
 
     w = F.col("w")
     out = _words(docs)
