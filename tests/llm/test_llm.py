@@ -162,6 +162,12 @@ def test_licences_with_a_frequent_notice(spark):
     assert all(got[i] == (("bsd", 1.0) if i % 3 == 0 else ("", 0.0)) for i in range(60))
 
 
+def test_licences_side_by_side(spark):
+    every = " -- ".join(t.text for t in license_scan.TEMPLATES)
+    got = license_scan.scan(table(spark, [every, *[prose(i, 30) for i in range(60)]])).where("doc_id = 0").first()
+    assert set(got["labels"].split(",")) == {t.label for t in license_scan.TEMPLATES} | {"apache"}
+
+
 def test_urls(spark):
     urls = ["HTTP://A.Example.com/en/x", "http://www.example.com/en/", "http://x.net/es/", "http://x.net", None, "plain"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")

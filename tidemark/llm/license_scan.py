@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words looked up per text, and the IDF from which a word counts as rare.
-LOOKED_UP, LEAST_IDF = 12, math.log(8)
+#: The IDF from which a word counts as rare.
+LEAST_IDF = math.log(8)
 #: Votes that a candidate needs (fewer if that keeps frequent words out of the index), and words
 #: that a key phrase may stand beside its place.
 VOTES, SLACK = 3, 3
@@ -132,16 +132,15 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases:
     for k, phrase in enumerate(phrases):
         out = out.withColumn(f"b{k}", _places(w, phrase.split()))
     base = F.array_sort(F.concat(*[F.col(f"b{k}") for k in range(len(phrases))]))
-    top = F.slice(F.array_intersect(_texts(indexed), w), 1, LOOKED_UP)
-    out = out.withColumn("base", base).withColumn("top", top)
+    out = out.withColumn("base", base)
     index = F.create_map(*[x for word in indexed for x in (
         F.lit(word), F.array(*[F.struct(F.lit(k).alias("t"), F.lit(i).alias("p")) for k, i in postings[word]]))])
-    hits = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(F.col("top"), F.get(w, i)))
+    hits = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(indexed))
     # a vote is the template's number and beginning in one long
     votes = F.flatten(F.transform(hits, lambda i: F.transform(
         F.element_at(index, F.get(w, i)),
         lambda x: x["t"].cast("long") * (1 << 33) + (i - x["p"]).cast("long") + (1 << 32))))
-    out = out.withColumn("votes", F.when(F.size("top") > 0, F.array_sort(votes)).otherwise(F.array().cast("array<long>")))
+    out = out.withColumn("votes", F.when(F.size(w) > 0, F.array_sort(votes)).otherwise(F.array().cast("array<long>")))
     v = F.col("votes")
     wanted = F.array(*[F.lit(n) for n in need])
     enough = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda j: F.coalesce(
