@@ -108,6 +108,19 @@ def test_decontamination(spark):
     assert sorted(r["doc_id"] for r in decontamination.drop(docs, bench).collect()) == [1, 4, 5]
 
 
+def test_many_short_texts_and_passages(monkeypatch):
+    r = random.Random(8)
+    items = [(i, "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=30)).replace(" ", "x")) for i in range(60_000)]
+    texts = [""] * 9990 + [items[59_990 + i][1] for i in range(10)]
+    index = decontamination.Index.of(items)
+    assert len(texts) * len(index.item) > 1 << 29
+    want = [(9990 + i, 59_990 + i, 0, 30, 0) for i in range(10)]
+    assert index.search(pa.array(texts)) == want
+    for hits in (1, 50):
+        monkeypatch.setattr(decontamination, "HITS", hits)
+        assert index.search(pa.array(texts)) == want
+
+
 def test_segments_match_all_subarrays():
     r = random.Random(4)
     for _ in range(200):

@@ -29,6 +29,9 @@ EDITS = 0.06
 SHORTEST = 24
 #: Benchmark bytes per pass.
 BLOCK_BYTES = 4 << 20
+#: Shared q-grams looked at in one go (a text with more goes alone), and the numbers of (text, passage)
+#: that fit a key above the 34 bits of a band.
+HITS, PAIRS = 4 << 20, 1 << 29
 _U = np.uint64
 _TABLE_BITS = 21
 _FOLD = LOWER.copy()
@@ -103,6 +106,23 @@ class Index:
         spot, first, count, doc = spot[inside], first[inside], count[inside], doc[inside]
         if not len(spot):
             return []
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        # runs of texts with a bounded number of hits and of (text, passage) numbers
+        total = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(doc, np.arange(len(texts) + 1))]
+        one = int(doc[0])
+        while one <= doc[-1]:
+            most = min(len(texts), one + max(1, PAIRS // len(self.item)))
+            end = min(most, max(one + 1, int(np.searchsorted(total, total[one] + HITS, "right")) - 1))
+            a, b = np.searchsorted(doc, [one, end])
+            if b > a:
+                self._verify(data, at, doc[a:b], spot[a:b], first[a:b], count[a:b], best)
+            one = end
+        return [(d, p, *v) for (d, p), v in sorted(best.items())]
+
+    def _verify(self, data: np.ndarray, at: np.ndarray, doc: np.ndarray, spot: np.ndarray, first: np.ndarray,
+                count: np.ndarray, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+        """Put the best place of each passage found in a run of texts into ``best``; the other arrays are their q-grams."""
+        base = int(doc[0])
         stop = np.cumsum(count)
         post = np.repeat(first - (stop - count), count) + np.arange(stop[-1])
         passage = self.passage[post]
@@ -110,7 +130,7 @@ class Index:
         diagonal = np.repeat(spot, count) - at[doc] - self.place[post] + WINDOW  # not negative
         step = 2 * self.edits[passage] + 1
         band = diagonal // step
-        key = (doc * len(self.item) + passage) << 34
+        key = ((doc - base) * len(self.item) + passage) << 34
         # a band may count each q-gram of the passage once
         place = self.place[post]
         both = np.concatenate([key | (band + 1), key | band])
@@ -122,17 +142,15 @@ class Index:
         keys, n = np.unique(both[once], return_counts=True)
         which = (keys >> 34) % len(self.item)
         keep = n >= self.bound[which]
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for d, p, b in zip((keys[keep] >> 34) // len(self.item), which[keep],
-                           (keys[keep] & ((1 << 34) - 1)) - 1, strict=True):
+        for d, p, b in zip((base + (keys[keep] >> 34) // len(self.item)).tolist(), which[keep].tolist(),
+                           ((keys[keep] & ((1 << 34) - 1)) - 1).tolist(), strict=True):
             if best.get((d, p), (0, 0, 1))[2] == 0:
                 continue
             k = int(self.edits[p])
-            low = int(b) * (2 * k + 1) - WINDOW
+            low = b * (2 * k + 1) - WINDOW
             found = align(self.text[p], data[at[d]: at[d + 1]], low - k, low + 2 * (2 * k + 1) + k, k)
             if found and ((d, p) not in best or found[2] < best[d, p][2]):
                 best[d, p] = found
-        return [(int(d), int(p), *v) for (d, p), v in sorted(best.items())]
 
 
 def _enough(key: np.ndarray, place: np.ndarray, bound: np.ndarray, passages: int) -> tuple[np.ndarray, np.ndarray]:
