@@ -108,6 +108,17 @@ def test_decontamination(spark):
     assert sorted(r["doc_id"] for r in decontamination.drop(docs, bench).collect()) == [1, 4, 5]
 
 
+def test_parts_of_items(spark):
+    r = random.Random(6)
+    items = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=n)).strip() for n in (233, 390, 700, 100)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    parts = [(0, items[0][40:190]), (1, items[1][:200]), (1, items[1][100:227]), (2, items[2][-127:]), (3, items[3][2:98])]
+    docs = table(spark, [f"{prose(i, 20)} {p} {prose(30 + i, 20)}" for i, (_, p) in enumerate(parts)] + [prose(9, 300)])
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find(docs, bench).collect()}
+    assert {(i, k) for i, (k, _) in enumerate(parts[:4])} <= got and {d for d, _ in got} <= set(range(5))
+    assert {r["doc_id"] for r in decontamination.drop(docs, bench).collect()} <= {4, 5}
+
+
 def test_many_short_texts_and_passages(monkeypatch):
     r = random.Random(8)
     items = [(i, "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=30)).replace(" ", "x")) for i in range(60_000)]

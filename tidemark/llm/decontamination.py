@@ -6,8 +6,10 @@ Shared q-grams are counted in overlapping bands of diagonals; bands below the bo
 others are verified by an alignment within the band.
 
 Letters A-Z count as a-z and white space bytes as blanks. Items longer than WINDOW are searched in
-windows that overlap by half, so a copied part of WINDOW and a half is found too. The items are
-taken in blocks of bounded size; each block is one pass over the documents, without a shuffle.
+windows that overlap by half. Items longer than PIECE are also searched in pieces of PIECE bytes, one
+every STRIDE: a copied part of PIECE + STRIDE - 1 bytes holds a whole piece. Pieces count in texts where
+the item is not found by its whole text or windows. The items are taken in blocks of bounded size; each
+block is one pass over the documents, without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from tidemark.llm.textarrays import LOWER, SPACE, as_bytes, slices, text_column
 
 Q = 8
 WINDOW = 256
+PIECE, STRIDE = 96, 32
 #: Edits per byte that a passage may have, and the shortest item that is evidence of anything.
 EDITS = 0.06
 SHORTEST = 24
@@ -58,6 +61,7 @@ def budget(m: int) -> int:
 @dataclass
 class Index:
     item: list[int]  # of each passage
+    piece: np.ndarray  # whether it is a piece
     text: list[np.ndarray]
     edits: np.ndarray
     bound: np.ndarray
@@ -68,26 +72,27 @@ class Index:
 
     @staticmethod
     def of(items: list[tuple[int, str]]) -> Index:
-        owner, texts = [], []
+        owner, texts, piece = [], [], []
         for item, text in items:
             data = _FOLD[np.frombuffer((text or "").strip().encode(), np.uint8)]
             if len(data) < SHORTEST:
                 continue
             starts = [0] if len(data) <= WINDOW else [*range(0, len(data) - WINDOW, WINDOW // 2), len(data) - WINDOW]
-            for s in starts:
-                owner.append(item)
-                texts.append(data[s: s + WINDOW])
+            pieces = [*range(0, len(data) - PIECE, STRIDE), len(data) - PIECE] if len(data) > PIECE else []
+            owner += [item] * (len(starts) + len(pieces))
+            texts += [data[s: s + WINDOW] for s in starts] + [data[s: s + PIECE] for s in pieces]
+            piece += [False] * len(starts) + [True] * len(pieces)
         k = np.array([budget(len(t)) for t in texts], np.int64)
         size = np.array([len(t) for t in texts], np.int64)
         grams = [_grams(t) for t in texts]
         flat = np.concatenate([np.zeros(0, _U), *grams])
         order = np.argsort(flat, kind="stable")
         count = np.array([len(g) for g in grams], np.int64)
-        passage = np.repeat(np.arange(len(texts)), count)
-        place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in grams]])
+        passage = np.repeat(np.arange(len(texts), dtype=np.int32), count)
+        place = np.concatenate([np.zeros(0, np.int32), *[np.arange(len(g), dtype=np.int32) for g in grams]])
         table = np.zeros(1 << _TABLE_BITS, bool)
         table[_slot(flat)] = True
-        return Index(owner, texts, k, size - Q + 1 - k * Q, flat[order], passage[order], place[order], table)
+        return Index(owner, np.array(piece, bool), texts, k, size - Q + 1 - k * Q, flat[order], passage[order], place[order], table)
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(text, passage, start, end, edits): the best place of each passage found in each text."""
@@ -141,16 +146,20 @@ class Index:
         once[1:] = (both[1:] != both[:-1]) | (place[1:] != place[:-1])
         keys, n = np.unique(both[once], return_counts=True)
         which = (keys >> 34) % len(self.item)
-        keep = n >= self.bound[which]
+        keep = np.flatnonzero(n >= self.bound[which])
+        keep = keep[np.argsort(self.piece[which[keep]], kind="stable")]
+        whole = set()
         for d, p, b in zip((base + (keys[keep] >> 34) // len(self.item)).tolist(), which[keep].tolist(),
                            ((keys[keep] & ((1 << 34) - 1)) - 1).tolist(), strict=True):
-            if best.get((d, p), (0, 0, 1))[2] == 0:
+            if best.get((d, p), (0, 0, 1))[2] == 0 or (self.piece[p] and (d, self.item[p]) in whole):
                 continue
             k = int(self.edits[p])
             low = b * (2 * k + 1) - WINDOW
             found = align(self.text[p], data[at[d]: at[d + 1]], low - k, low + 2 * (2 * k + 1) + k, k)
             if found and ((d, p) not in best or found[2] < best[d, p][2]):
                 best[d, p] = found
+                if not self.piece[p]:
+                    whole.add((d, self.item[p]))
 
 
 def _enough(key: np.ndarray, place: np.ndarray, bound: np.ndarray, passages: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +227,7 @@ _HITS = "doc_id long, item_id long, start long, end long, edits long"
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row per document and item found: doc_id, item_id, n_passages, and the best passage's byte
-    range and edits.
+    range and edits; the passages are pieces if no longer part is found.
 
     Null and short texts and items match nothing, repeated rows of a document count as one, repeated
     items count once, other columns are not read; empty tables give no rows.
