@@ -155,6 +155,17 @@ def test_encoder_round_trip():
     assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_added_token():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [end, f"one two{end}three", f"one two {end} three", f"{end}{end}\n", f" a  {end}  b\n\n{end}", "a <|endoftext| b",
+             f"<|{end}|>", f"é {end}é", "", "plain text here"]
+    got = packing.Encoder(public.path("byte_bpe_50k.tiktoken"), public.PATTERN).ids(pa.array(texts))
+    assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing(spark):
     pytest.importorskip("public_tokenizers")
     rows = packing.pack(table(spark, [*corpus(), prose(5, 4000)])).collect()

@@ -11,9 +11,11 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -24,6 +26,8 @@ SCHEMA = ("doc_id long, piece int, start long, length long, ids_crc32 long, "
 SEQUENCE = 1024
 END = 2
 OPEN_BINS = 256
+#: Added tokens of the public vocabulary: their ids stand wherever a text holds them.
+ADDED = {"<|endoftext|>": 50256}
 
 
 class OpenBins:
@@ -71,26 +75,31 @@ class Encoder:
     The vocabulary's pattern ties a blank to the word behind it and never joins
     text across it, so texts are cut before each blank, and of equal pieces in
     a slice one is encoded. Texts in which a blank stands next to other white
-    space are encoded whole.
+    space, or which hold an added token, are encoded whole.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int] | None = None):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks,
-                                        special_tokens={}).encode_ordinary
+        self.added = ADDED if added is None else added
+        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.added)
+        self.encode, self.encode_added = encoding.encode_ordinary, partial(encoding.encode, allowed_special="all")
         self.width = np.zeros(max(ranks.values()) + 1, np.int64)
         self.width[list(ranks.values())] = [len(k) for k in ranks]
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """Unsigned 32-bit little-endian ids of each text (no nulls)."""
         data, at = as_bytes(texts)
-        whole = self._whole(data, at)
+        holds = np.zeros(len(texts), bool)
+        for token in self.added:
+            holds |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        whole = self._whole(data, at) | holds
         out: list[np.ndarray] = [_NONE] * len(texts)
         for i in np.flatnonzero(whole):
-            out[i] = np.array(self.encode(texts[int(i)].as_py()), "<u4")
+            encode = self.encode_added if holds[i] else self.encode
+            out[i] = np.array(encode(texts[int(i)].as_py()), "<u4")
         rest = np.flatnonzero(~whole & (np.diff(at) > 0))
         if len(rest):
             flat, bounds = self._by_pieces(*as_bytes(texts.take(pa.array(rest))))
@@ -148,17 +157,17 @@ _ODD[[9, 11, 12, 13, 28, 29, 30, 31, 0xE1, 0xE2, 0xE3]] = True
 
 
 def pack(docs: DataFrame, size: int = SEQUENCE, end_id: int = END, open_bins: int = OPEN_BINS,
-         ranks_path: str | None = None) -> DataFrame:
+         ranks_path: str | None = None, added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece of each row of ``docs`` (doc_id, text).
 
     Null and empty texts are one piece that holds the end id. Repeated rows are packed again
     each; other columns are not read. Sequence numbers are unique and carry the partition.
-    An empty table gives no rows. ``ranks_path``: the vocabulary as ranks.
+    An empty table gives no rows. ``ranks_path``: the vocabulary as ranks; ``added``: its added tokens.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers as public
 
-        encoder = Encoder(ranks_path or public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+        encoder = Encoder(ranks_path or public.path("byte_bpe_50k.tiktoken"), public.PATTERN, added)
         bins = OpenBins(size, open_bins)
         base = TaskContext.get().partitionId() << 40
         for batch in (part for whole in batches for part in slices(whole, 6 << 20)):
