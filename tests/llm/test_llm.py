@@ -98,6 +98,16 @@ def test_counts():
     assert got == [list(counts(t)) for t in texts]
 
 
+@pytest.mark.parametrize("sample", [1000, 60])
+def test_outliers_beside_a_third_of_copies(spark, monkeypatch, sample):
+    if sample < 1000:
+        monkeypatch.setattr(quality_rules, "SAMPLE", sample)
+    texts = [prose(i, 60 + i % 90) for i in range(200)] + [prose(500, 60) + " " + "#" * 200] * 100
+    got = {r["doc_id"]: r for r in quality_rules.judge(table(spark, texts)).collect()}
+    assert not any(got[i]["base_failed"] for i in range(300))
+    assert not any(got[i]["kept"] for i in range(200, 300)) and sum(got[i]["kept"] for i in range(200)) > 180
+
+
 def test_decontamination(spark):
     item = prose(11, 40)
     edited = item[:60] + "x" + item[60:120] + item[121:]

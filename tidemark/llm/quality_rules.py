@@ -2,14 +2,17 @@
 
 Each text has five counts. Texts beyond the fixed limits fail; for the others the counts become a
 vector, and each (language, source) has a minimum-covariance-determinant estimate of its centre
-and spread: starting from medians, concentration steps keep the half-and-more of the texts that
-lie closest and estimate again from those. Every step is an aggregation over all texts; only sums
-per group leave a task. A text is rejected if its Mahalanobis distance is beyond the chi-square
-limit. Small groups use the estimate of their language, or of all texts.
+and spread. A bounded sample of each group gives the starts: concentration steps from many small
+subsets and from medians, each of which keeps the half of the texts that lies closest and estimates
+again from it. The best go on over all texts, until the determinant falls no more; the least one
+counts. Each of those steps is an aggregation over all texts; only sums per group leave a task. Texts
+tied at the cut count with the share that fills the half. A text is rejected if its Mahalanobis
+distance is beyond the chi-square limit. Small groups use the estimate of their language, or of all.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,12 +26,14 @@ from tidemark.llm.base import stored
 from tidemark.llm.textarrays import SPACE, as_bytes, mix, slices, span_hashes, text_column, word_bounds
 
 DIMS = 5
-#: Share of a group's texts that the estimate rests on, and concentration steps.
-SHARE, STEPS = 0.75, 3
+#: Texts of a group (on average) that the starts are sought in, random starts, and those that go on.
+SAMPLE, STARTS, GO_ON = 1000, 50, 2
+#: Fall of the logarithm of the determinant below which steps end.
+FALL = 1e-3
 #: Texts that a group needs for an estimate of its own.
 LEAST = 200
-#: Chi-square limits with five degrees of freedom: the median, and one in a million.
-CHI_MEDIAN, CHI_LIMIT = 4.351, 35.89
+#: Chi-square limit with five degrees of freedom, one in a million.
+CHI_LIMIT = 35.89
 #: Least variance of each dimension (many texts have exactly no symbol and no repetition).
 FLOOR = (0.04, 0.0025, 0.04, 0.01, 0.01)
 _U = np.uint64
@@ -120,29 +125,78 @@ def _distance(x: str, centre: str, inverse: str) -> Column:
     return total
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _inverse(n: pd.Series, sums: pd.Series, squares: pd.Series) -> pd.Series:
-    """Inverse covariance from a group's sums of x and of x x', each variance at its floor or above."""
+def _consistency(share: float) -> float:
+    """What the covariance of the ``share`` of normal vectors closest to the centre is multiplied by."""
+    if share >= 1:
+        return 1.0
+
+    def below(x: float) -> float:  # chi-square with DIMS = 5 degrees of freedom
+        return math.erf(math.sqrt(x / 2)) - math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+
+    low, high = 0.0, 100.0
+    for _ in range(60):
+        x = (low + high) / 2
+        low, high = (x, high) if below(x) < share else (low, x)
+    return share / (share - (x / 2) ** 2.5 * math.exp(-x / 2) / math.gamma(3.5))
+
+
+def _spread(cov: np.ndarray, share: float) -> tuple[np.ndarray, float]:
+    """Inverse of the covariance made consistent, each variance at its floor or above, and its log determinant."""
+    k = _consistency(share) * cov + np.diag(FLOOR)
+    return np.linalg.inv(k), float(np.linalg.slogdet(k)[1])
+
+
+_ESTIMATE = "centre array<double>, inverse array<double>, det double"
+
+
+@F.pandas_udf(f"array<struct<start int, {_ESTIMATE}>>")
+def _starts(vectors: pd.Series) -> pd.Series:
+    """The least determinants that concentration steps reach within each list of vectors."""
+    def half(x: np.ndarray, d: np.ndarray, h: int) -> tuple[np.ndarray, np.ndarray, float]:
+        near = x[np.argsort(d, kind="stable")[:h]]
+        return near.mean(0), *_spread(np.cov(near.T, bias=True).reshape(DIMS, DIMS), h / len(x))
+
+    def away(x: np.ndarray, centre: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre)
+
+    out = []
+    for rows in vectors:
+        x = np.stack([np.asarray(r, float) for r in rows])
+        x = x[np.lexsort(x.T)]
+        h = min(len(x), (len(x) + DIMS + 1) // 2)
+        middle = np.median(x, 0)
+        mad = np.median(np.abs(x - middle), 0)
+        first = [half(x, ((x - middle) ** 2 / ((1.4826 * mad) ** 2 + FLOOR)).sum(1), h)]
+        random = np.random.default_rng(0)
+        for _ in range(STARTS):
+            few = x[random.choice(len(x), min(len(x), DIMS + 1), replace=False)]
+            cov = np.cov(few.T, bias=True).reshape(DIMS, DIMS)
+            first.append(half(x, away(x, few.mean(0), _spread(cov, 1.0)[0]), h))
+        first = [half(x, away(x, c, v), h) for c, v, _ in first]
+        found = []
+        for best in sorted(first, key=lambda e: e[2])[:10]:
+            while (after := half(x, away(x, best[0], best[1]), h))[2] < best[2] - 1e-9:
+                best = after
+            if all(abs(best[2] - e[2]) > 1e-6 for e in found):
+                found.append(best)
+        found = sorted(found, key=lambda e: e[2])[:GO_ON]
+        out.append([(k, c.tolist(), v.ravel().tolist(), d) for k, (c, v, d) in enumerate(found)])
+    return pd.Series(out)
+
+
+@F.pandas_udf(f"struct<{_ESTIMATE}>")
+def _again(all_: pd.Series, n: pd.Series, sums: pd.Series, squares: pd.Series) -> pd.DataFrame:
+    """The estimate from the number of a group's texts, and the weight and sums of x and of x x' of its half."""
     out = []
     upper = np.triu_indices(DIMS)
-    for k, s, q in zip(n, sums, squares, strict=True):
+    for whole, k, s, q in zip(all_, n, sums, squares, strict=True):
         m = np.asarray(s, float) / k
         c = np.zeros((DIMS, DIMS))
         c[upper] = np.asarray(q, float) / k
         c = c + np.triu(c, 1).T - np.outer(m, m)
-        out.append(np.linalg.inv(c + np.diag(FLOOR)).ravel())
-    return pd.Series(out)
-
-
-def _estimate(rows: DataFrame) -> DataFrame:
-    """(level, lang, source): n, centre and inverse covariance of the rows (x)."""
-    pairs = [F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(DIMS) for j in range(i, DIMS)]
-    sums = rows.groupBy("level", "lang", "source").agg(
-        F.count("*").alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(DIMS)]).alias("s"),
-        F.array(*pairs).alias("q"))
-    return sums.select(
-        "level", "lang", "source", "n", F.transform("s", lambda v: v / F.col("n")).alias("centre"),
-        _inverse("n", "s", "q").alias("inverse"))
+        inverse, det = _spread(c, k / whole)
+        out.append((m.tolist(), inverse.ravel().tolist(), det))
+    return pd.DataFrame(out, columns=["centre", "inverse", "det"])
 
 
 def _match(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -150,35 +204,60 @@ def _match(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(g, (rows.level == g.g_level) & rows.lang.eqNullSafe(g.g_lang) & rows.source.eqNullSafe(g.g_source))
 
 
+_GROUP = ("level", "lang", "source")
+
+
+def _step(spread: DataFrame, groups: DataFrame) -> DataFrame:
+    """One concentration step of each start over all texts; ``old`` is the determinant before."""
+    d = _distance("x", "centre", "inverse")
+    cut = stored(_match(spread, groups).groupBy(*_GROUP, "start").agg(
+        F.first("centre").alias("centre"), F.first("inverse").alias("inverse"), F.first("det").alias("old"),
+        F.first("members").alias("members"), F.percentile_approx(d, 0.5, 10000).alias("cut")), "outlier-cut")
+    terms = [F.col("x")[i] for i in range(DIMS)] + [F.col("x")[i] * F.col("x")[j] for i in range(DIMS) for j in range(i, DIMS)]
+    parts = {"near": F.col("d") < F.col("cut"), "tied": F.col("d") == F.col("cut")}
+    sums = _match(spread, cut).withColumn("d", d).where("d <= cut").groupBy(*_GROUP, "start").agg(
+        F.first("members").alias("members"), F.first("old").alias("old"),
+        *[F.count_if(on).alias(f"n_{p}") for p, on in parts.items()],
+        *[F.array(*[F.sum(F.when(on, t).otherwise(0.0)) for t in terms]).alias(p) for p, on in parts.items()])
+    # ties fill the half
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("members") / 2 - F.col("n_near")) / F.col("n_tied")))
+    half = sums.withColumn("share", share).withColumn("n", F.col("n_near") + F.col("share") * F.col("n_tied")).withColumn(
+        "s", F.zip_with("near", "tied", lambda a, b: a + F.col("share") * b))
+    found = half.withColumn("e", _again("members", "n", F.slice("s", 1, DIMS), F.slice("s", DIMS + 1, len(terms) - DIMS)))
+    return stored(found.select(*_GROUP, "start", "members", "old", "e.*"), "outlier-step")
+
+
 def estimates(rows: DataFrame) -> DataFrame:
-    """Robust centre, inverse and scale per (lang, source), per lang and overall; ``rows``: lang, source, x."""
+    """Robust centre and inverse per (lang, source), per lang and overall; ``rows``: doc_id, lang, source, x.
+
+    Groups of fewer than LEAST texts are left out, but not that of all texts.
+    """
     none = F.lit(None).cast("string")
     levels = F.array(
         F.struct(F.lit(0).alias("level"), F.col("lang"), F.col("source")),
         F.struct(F.lit(1).alias("level"), F.col("lang"), none.alias("source")),
         F.struct(F.lit(2).alias("level"), none.alias("lang"), none.alias("source")))
-    spread = rows.select(F.explode(levels).alias("g"), "x").select("g.*", "x")
-    middle = spread.groupBy("level", "lang", "source").agg(
-        F.array(*[F.percentile_approx(F.col("x")[i], 0.5, 1000) for i in range(DIMS)]).alias("centre"))
-    away = _match(spread, middle).groupBy("level", "lang", "source").agg(
-        F.first("centre").alias("centre"),
-        F.array(*[F.percentile_approx(F.abs(F.col("x")[i] - F.col("centre")[i]), 0.5, 1000) for i in range(DIMS)]).alias("mad"))
-    groups = stored(away.select(
-        "level", "lang", "source", "centre",
-        F.array(*[1 / (F.pow(1.4826 * F.col("mad")[i], 2) + FLOOR[i]) if i == j else F.lit(0.0)
-                  for i in range(DIMS) for j in range(DIMS)]).alias("inverse")), "outlier-start")
-    for _ in range(STEPS):
-        near = _match(spread, groups).select("level", "lang", "source", "x", _distance("x", "centre", "inverse").alias("d"))
-        near = stored(near, "outlier-distances")
-        cut = near.groupBy("level", "lang", "source").agg(F.percentile_approx("d", SHARE, 1000).alias("cut"))
-        groups = stored(_estimate(_match(near, cut).where("d <= cut").select("level", "lang", "source", "x")), "outlier-step")
-    scale = _match(spread, groups).select("level", "lang", "source", _distance("x", "centre", "inverse").alias("d")) \
-        .groupBy("level", "lang", "source").agg(F.percentile_approx("d", 0.5, 1000).alias("middle"), F.count("*").alias("members"))
-    g = scale.withColumnsRenamed({c: f"s_{c}" for c in ("level", "lang", "source")})
-    return stored(groups.join(
-        g, (groups.level == g.s_level) & groups.lang.eqNullSafe(g.s_lang) & groups.source.eqNullSafe(g.s_source)
-    ).select("level", "lang", "source", "members", "centre", "inverse",
-             F.greatest(F.col("middle") / CHI_MEDIAN, F.lit(1.0)).alias("scale")), "outlier-groups")
+    spread = rows.select(F.explode(levels).alias("g"), "x", F.xxhash64("doc_id", "x").alias("dice")).select("g.*", "x", "dice")
+    members = stored(spread.groupBy(*_GROUP).agg(F.count("*").alias("members")).where(
+        (F.col("level") == 2) | (F.col("members") >= LEAST)), "outlier-members")
+    sample = _match(spread, members).where(F.pmod("dice", F.lit(1 << 30)) * F.col("members") < F.lit(SAMPLE << 30))
+    starts = sample.groupBy(*_GROUP, "members").agg(F.collect_list("x").alias("xs")).select(
+        *_GROUP, "members", F.explode(_starts("xs")).alias("e"))
+    columns = [*_GROUP, "start", "members", "centre", "inverse", "det"]
+    groups = stored(starts.select(*_GROUP, "members", "e.*").select(*columns), "outlier-starts")
+    # in a group that is its own sample the steps are done
+    ended = [groups.where(F.col("members") <= SAMPLE)]
+    going = groups.where(F.col("members") > SAMPLE).withColumn("det", F.lit(math.inf))
+    while going.limit(1).count():
+        after = _step(spread, going)
+        falls = F.col("det") < F.col("old") - FALL
+        ended.append(after.where(~falls).select(*columns))
+        going = after.where(falls).select(*columns)
+    every = ended[0]
+    for e in ended[1:]:
+        every = every.unionByName(e)
+    return stored(every.groupBy(*_GROUP).agg(F.min_by(F.struct("centre", "inverse"), F.struct("det", "start")).alias("b"))
+                  .select(*_GROUP, "b.*"), "outlier-groups")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -190,12 +269,12 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = stored(statistics(docs).withColumn("base_failed", failed).withColumn("x", _vector()), "outlier-rows")
-    groups = estimates(rows.where("not base_failed").select("lang", "source", "x"))
+    groups = estimates(rows.where("not base_failed").select("doc_id", "lang", "source", "x"))
     out = rows
     for level in (0, 1, 2):
-        g = groups.where((F.col("level") == level) & (F.lit(level == 2) | (F.col("members") >= LEAST))).select(
+        g = groups.where(F.col("level") == level).select(
             F.col("lang").alias("g_lang"), F.col("source").alias("g_source"),
-            *[F.col(c).alias(f"{c}{level}") for c in ("centre", "inverse", "scale")])
+            *[F.col(c).alias(f"{c}{level}") for c in ("centre", "inverse")])
         on = F.lit(True)
         if level < 2:
             on = on & F.col("lang").eqNullSafe(F.col("g_lang"))
@@ -204,9 +283,9 @@ def judge(docs: DataFrame) -> DataFrame:
         if level == 2:  # one row
             g = F.broadcast(g.limit(1))
         out = out.join(g, on, "left").drop("g_lang", "g_source")
-    for c in ("centre", "inverse", "scale"):
+    for c in ("centre", "inverse"):
         out = out.withColumn(c, F.coalesce(*[F.col(f"{c}{level}") for level in (0, 1, 2)]))
-    distance = F.when(~F.col("base_failed"), _distance("x", "centre", "inverse") / F.col("scale"))
+    distance = F.when(~F.col("base_failed"), _distance("x", "centre", "inverse"))
     return out.select(
         "doc_id", *_COUNTS, "base_failed",
         (~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= CHI_LIMIT)).alias("kept"), distance.alias("distance"))
