@@ -146,10 +146,12 @@ def _spread(cov: np.ndarray, share: float) -> tuple[np.ndarray, float]:
     return np.linalg.inv(k), float(np.linalg.slogdet(k)[1])
 
 
-_ESTIMATE = "centre array<double>, inverse array<double>, det double"
+_NUMBERS = T.ArrayType(T.DoubleType())
+_ESTIMATE = [T.StructField("centre", _NUMBERS), T.StructField("inverse", _NUMBERS), T.StructField("det", T.DoubleType())]
 
 
-@F.pandas_udf(f"array<struct<start int, {_ESTIMATE}>>")
+# types as objects: a DDL text would need a session while the module is imported
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), *_ESTIMATE])))
 def _starts(vectors: pd.Series) -> pd.Series:
     """The least determinants that concentration steps reach within each list of vectors."""
     def half(x: np.ndarray, d: np.ndarray, h: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -184,7 +186,7 @@ def _starts(vectors: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf(f"struct<{_ESTIMATE}>")
+@F.pandas_udf(T.StructType(_ESTIMATE))
 def _again(all_: pd.Series, n: pd.Series, sums: pd.Series, squares: pd.Series) -> pd.DataFrame:
     """The estimate from the number of a group's texts, and the weight and sums of x and of x x' of its half."""
     out = []
