@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, jaccard_join, language_id, license_scan, line_quality, packing, quality_rules, suffix_dedup, toxicity, url_filters
+from tidemark.llm import (
+    decontamination, filter_audit, jaccard_join, language_id, license_scan, line_quality, packing, quality_rules,
+    suffix_dedup, token_counts, toxicity, url_filters, whitening,
+)
 from tidemark.llm.base import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,6 +179,57 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op11_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+with d as (
+    select doc_id, coalesce(source, '') part, coalesce(text, '') x,
+        list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') w from documents),
+f as (
+    select doc_id, part, (len(w) < 50)::int + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::int
+        + 4 * (100 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g'))) > 5 * length(x))::int
+        + 8 * regexp_matches(x, '[#$%&*|]')::int
+        + 16 * coalesce(min(doc_id) over (partition by x) < doc_id, false)::int m from d),
+l as (
+    select doc_id, max(coalesce(quality = 1, false)::int) good, max(coalesce(toxic = 1, false)::int) toxic
+    from labels group by doc_id),
+h as (
+    select part, m, count(*) n, sum(coalesce(good, 0)) g, sum(coalesce(toxic, 0)) t from f left join l using (doc_id) group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) c, unnest([1, 2, 4, 8, 16]) b),
+orders as (
+    select v.c || w.c || x.c || y.c || z.c filter_order, [v.b, w.b, x.b, y.b, z.b] bits
+    from letters v, letters w, letters x, letters y, letters z
+    where v.b + w.b + x.b + y.b + z.b = 31 and len(list_distinct([v.b, w.b, x.b, y.b, z.b])) = 5),
+steps as (
+    select filter_order, i step, bits[i] b, coalesce(list_sum(bits[1:i - 1]), 0)::int gone
+    from orders, unnest([1, 2, 3, 4, 5]) s(i)),
+done as (
+    select part, filter_order, step, b,
+        sum(n) filter (m & gone = 0 and m & b = 0) kept, sum(n) filter (m & gone = 0 and m & b > 0) removed,
+        sum(n) filter (m & gone > 0 and m & b > 0) redundant, sum(n) filter (m = b) unique_fails,
+        sum(g) filter (m & gone = 0 and m & b > 0) good_lost, sum(t) filter (m & gone = 0 and m & b > 0) toxic_lost
+    from h, steps group by all)
+select part, filter_order, step::int step, coalesce(kept, 0)::bigint kept, coalesce(removed, 0)::bigint removed,
+    coalesce(redundant, 0)::bigint redundant, coalesce(unique_fails, 0)::bigint unique_fails,
+    coalesce(good_lost, 0)::bigint good_lost, coalesce(toxic_lost, 0)::bigint toxic_lost,
+    coalesce(sum(removed) over (partition by part, b), 0)::bigint shapley
+from done
+"""
+
+
+@query("op12_filter_audit", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_STEP = 0xC2B2AE3D27D4EB4F
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -53,12 +54,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def powers(n: int, base: int = _BASE) -> np.ndarray:
-    out = np.full(n + 1, base, _U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and each document's first word (one more than documents).
 
@@ -77,13 +72,31 @@ def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, at)
 
 
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """Eight bytes from every place on as one number, without a copy per place; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, by differences of one polynomial prefix sum."""
-    n = len(data)
-    total = np.zeros(n + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * powers(max(n - 1, 0))[:n], out=total[1:])
-    shift = powers(n, _INVERSE)
-    return mix((total[ends] - total[starts]) * shift[starts] + (ends - starts).astype(_U))
+    """A 64-bit hash of each span's bytes: eight bytes at a time are mixed in, longest spans last."""
+    code = eight_bytes(data)
+    size = (ends - starts).astype(np.int64)
+    out = mix(size.astype(_U) * _U(_BASE))
+    long = np.flatnonzero(size > 1 << 12)  # few in any slice; their own hash spares thousands of rounds
+    for i in long:
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i]: ends[i]].tobytes(), digest_size=8).digest(), "little")
+    rest = np.flatnonzero((size > 0) & (size <= 1 << 12))
+    j = 0
+    while len(rest):
+        left = size[rest] - j
+        word = code[starts[rest] + j]
+        short = np.flatnonzero(left < 8)
+        word[short] &= (_U(1) << (left[short].astype(_U) * _U(8))) - _U(1)
+        out[rest] = mix((out[rest] ^ word) * _U(_STEP))
+        j += 8
+        rest = rest[left > 8]
+    return out
 
 
 def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
