@@ -170,14 +170,15 @@ def replay(configs, events):
     return state, ok
 
 
-@pytest.mark.parametrize("block", [1000, 4])
-def test_fold_matches_replay(spark, block):
+@pytest.mark.parametrize("bits,spread", [(10, 1), (2, 1), (1, 1), (2, 1 << 40), (3, -7)])
+def test_fold_matches_replay(spark, bits, spread):
     import random
 
     rnd = random.Random(5)
     kinds = [*K.TRANSITIONS, "unknown"]
     ids = ["hot", "a", "b", "gone"]
-    events = [(rnd.choices(ids, [6, 1, 1, 1])[0], i, rnd.choice(kinds)) for i in range(300)]
+    events = [(rnd.choices(ids, [6, 1, 1, 1])[0], (i - 150) * spread, rnd.choice(kinds)) for i in range(300)]
+    events.sort(key=lambda e: e[1])
     start = {"hot": "PENDING", "a": "FAILED", "b": "DEPLOYED", "idle": "APPROVED"}
     configs = spark.createDataFrame(
         [(p, s, "old", None) for p, s in start.items()],
@@ -186,7 +187,7 @@ def test_fold_matches_replay(spark, block):
         [(p, i, k, None, "u", None, f"t{i}", f"m{i}") for p, i, k in events],
         K.EVENTS_DDL.replace("at timestamp_ntz", "at string")).withColumn(
             "at", F.expr("timestamp_ntz'2024-01-01'"))
-    got = K.apply_events(configs, stream, block)
+    got = K.apply_events(configs, stream, bits)
     state, ok = replay(start, events)
     assert {r["pipeline_id"]: r["status"] for r in got.configs.collect()} == state
     assert {(r["pipeline_id"], r["seq"]): r["ok"] for r in got.outcomes.collect()} == ok
@@ -194,6 +195,30 @@ def test_fold_matches_replay(spark, block):
     assert all(t.startswith("ERROR: gone") for t in texts)
 
 
+def test_levels_of_the_fold(spark):
+    """Groups stay within the fan-in at every level, and every pipeline ends in one block."""
+    events = spark.range(300).selectExpr("if(id % 3 = 0, 'b', 'hot') as pipeline_id", "id as seq", "cast(id % 7 as int) as k")
+    for bits, least in ((1, 6), (2, 3), (10, 1)):
+        levels = K._levels(events, bits)
+        assert len(levels) >= least
+        for level in levels:
+            assert level.selectExpr("max(size(parts))").first()[0] <= 1 << bits
+        assert levels[-1].count() == 2
+
+
+def test_events_without_id_or_order(spark):
+    configs = spark.createDataFrame([("p", "PENDING")], "pipeline_id string, status string")
+    rows = [("p", 1, "fail"), (None, 2, "fail"), ("p", None, "approve"), (None, None, "reset"), (None, 2, "fail")]
+    stream = spark.createDataFrame([(p, s, k, None, None, None, None, None) for p, s, k in rows],
+                                   K.EVENTS_DDL.replace("at timestamp_ntz", "at string")).withColumn("at", F.expr("timestamp_ntz'2024-01-01'"))
+    got = K.apply_events(configs, stream)
+    assert [r["status"] for r in got.configs.collect()] == ["FAILED"]
+    out = sorted((str(r["pipeline_id"]), str(r["seq"]), r["ok"], r["outcome"] is None) for r in got.outcomes.collect())
+    assert out == sorted([("p", "1", True, False), ("None", "2", False, True), ("None", "2", False, True),
+                          ("p", "None", False, False), ("None", "None", False, True)])
+    assert K.apply_events(configs, stream.limit(0)).configs.first()["status"] == "PENDING"
+
+
 def test_reset_clears_and_reject_explains(spark):
     configs = spark.createDataFrame(
         [("p", "PENDING", "sql", "task", "boss", None)],

@@ -2,25 +2,29 @@
 
 A pipeline's status is a fold of its events in order. Each event either moves
 the status or leaves it, depending on the status it meets, so an event acts as
-a small function from status to status, and such functions compose. That lets
-the fold run as a blocked prefix scan:
-
-* events are cut into blocks of bounded length, each reduced to one function;
-* blocks are combined per stretch and per pipeline to find the status at which
-  every block starts;
-* every block then replays its own events from there.
-
-No task ever holds all the events of a long pipeline. Pipelines with no more
-events than one block take the plain fold.
+a small function from status to status, and such functions compose. The fold is
+a parallel prefix scan over that composition, in levels of one fixed fan-in:
+
+* up: a block holds the events whose order numbers agree but for their last
+  bits, so it never has more than the fan-in, whatever a pipeline's length.
+  It reduces to one function; blocks reduce to larger blocks in the same way.
+  A pipeline that is down to one fan-in of blocks takes them all at once;
+* down: the status at which a block starts gives the one at which each of its
+  parts starts, level by level, until every event knows the status it meets.
+
+No task ever holds all the events of a long pipeline, and nothing is chosen by
+the number of events. Levels lie in the shared folder.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import stored
+
 # Status names and the guard and outcome of each transition.
 STATUSES = ("PENDING", "APPROVED", "DEPLOYED", "FAILED", "REJECTED", "DECOMMISSIONED")
 ABSENT = 0  # status code of an id without a config; STATUSES count from 1
@@ -34,9 +38,8 @@ TRANSITIONS = {
     "decommission": (tuple(range(1, 7)), DECOMMISSIONED),
 }
 
-#: Events folded in one piece.
-BLOCK = 128
-_MAX_STRETCHES = 1024
+#: Bits of the order number that one level takes up: a fan-in of 1,024.
+FAN_BITS = 10
 
 EVENTS_DDL = (
     "pipeline_id string, seq bigint, kind string, at timestamp_ntz, actor string, "
@@ -137,29 +140,29 @@ def _as_function(events: Column) -> Column:
     )
 
 
+def _composed(parts: Column) -> Column:
+    """An ordered array of structs with ``fn`` as the number of one function."""
+    number = {fn: i for i, fn in enumerate(FUNCTIONS)}
+    after = _literal(number[tuple(g[s] for s in f)] for f in FUNCTIONS for g in FUNCTIONS)
+    return F.aggregate(
+        parts, F.lit(0), lambda fn, p: F.get(after, fn * F.lit(len(FUNCTIONS)) + p["fn"])
+    )
+
+
 def _result(fn: Column, status: Column) -> Column:
     """Status that a function, given by its number, makes of a status."""
     flat = _literal(s for f in FUNCTIONS for s in f)
     return F.get(flat, fn * F.lit(len(STATUSES) + 1) + status)
 
 
-def _compose(parts: Column) -> Column:
-    """An ordered array of structs with ``fn`` as an array: element i is the
-    status that status i ends in."""
-    return F.aggregate(
-        parts, _literal(range(len(STATUSES) + 1)), lambda fn, p: F.transform(fn, lambda s: _result(p["fn"], s))
-    )
-
-
-def _starts(parts: Column, start: Column, result) -> Column:
-    """Status before each part, for an ordered array of structs with ``fn``;
-    ``result`` applies such an ``fn`` to a status."""
+def _starts(parts: Column, start: Column) -> Column:
+    """Status before each part, for an ordered array of structs with ``fn``."""
     met = F.array().cast(_CODES)
     return F.aggregate(
         parts,
         F.struct(start.cast("int").alias("now"), met.alias("met")),
         lambda acc, p: F.struct(
-            result(p["fn"], acc["now"]).alias("now"),
+            _result(p["fn"], acc["now"]).alias("now"),
             F.array_append(acc["met"], acc["now"]).alias("met"),
         ),
         lambda acc: acc["met"],
@@ -170,79 +173,44 @@ def _ordered(*cols: str) -> Column:
     return F.array_sort(F.collect_list(F.struct(*cols)))
 
 
-def _flat(events: DataFrame, start: DataFrame) -> DataFrame:
-    """``pipeline_id``, ``seq`` and ``met`` when every pipeline fits one block."""
-    per_id = events.groupBy("pipeline_id").agg(_ordered("seq", "k").alias("es"))
-    joined = per_id.join(start, "pipeline_id", "left")
-    met = _states_met(F.col("es"), F.coalesce("start", F.lit(ABSENT)))
-    return joined.select(
-        "pipeline_id", F.explode(F.arrays_zip("es", met.alias("met"))).alias("z")
-    ).select("pipeline_id", F.col("z.es.seq").alias("seq"), F.col("z.met").alias("met"))
-
-
-def _stretch(bounds: list[int]) -> Column:
-    """Position among ascending bounds, as a balanced CASE: log2(n) comparisons."""
-    def build(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return (f"case when seq <= {bounds[mid]} then {build(lo, mid)} "
-                f"else {build(mid + 1, hi)} end")
-
-    return F.expr(build(0, len(bounds)))
+def _levels(events: DataFrame, bits: int) -> list[DataFrame]:
+    """The up-sweep: per level (pipeline_id, b, parts, fn), each group of ``parts`` at most one
+    fan-in, until every pipeline has one block. Level 0 has events as parts."""
+    key = F.col("seq").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned order, so that shifts meet at last
+    first = events.groupBy("pipeline_id", F.shiftrightunsigned(key, bits).alias("b")).agg(
+        _ordered("seq", "k").alias("parts"))
+    levels = [stored(first.withColumn("fn", _as_function(F.col("parts"))), "fold-level")]
+    while True:
+        below = levels[-1].select("pipeline_id", "b", "fn")
+        sizes = below.groupBy("pipeline_id").agg(F.count("*").alias("n"))
+        if sizes.where("n > 1").isEmpty():
+            return levels
+        last = F.col("n") <= 1 << bits
+        above = (
+            below.join(sizes, "pipeline_id")
+            .groupBy("pipeline_id", F.when(last, F.lit(0)).otherwise(F.shiftrightunsigned("b", bits)).alias("g"))
+            .agg(_ordered("b", "fn").alias("parts")).withColumnRenamed("g", "b")
+        )
+        levels.append(stored(above.withColumn("fn", _composed(F.col("parts"))), "fold-level"))
 
 
-def _blocked(events: DataFrame, start: DataFrame, total: int, block: int) -> DataFrame:
-    """The same as ``_flat`` for pipelines of any length.
+def statuses_met(events: DataFrame, start: DataFrame, bits: int = FAN_BITS) -> DataFrame:
+    """``pipeline_id``, ``seq`` and ``met``, the status code that each event meets.
 
-    Stretches are quantiles of the order of all these events, so no stretch of
-    one pipeline is longer than one such share. Within a stretch events are
-    numbered and cut into blocks.
+    ``events``: pipeline_id, seq (unique per pipeline), k; ``start``: pipeline_id, start. Reads the
+    events once. The result is stored.
     """
-    pieces = min(_MAX_STRETCHES, -(-total // (512 * block)))
-    bounds: list[int] = []
-    if pieces > 1:
-        cuts = [i / pieces for i in range(1, pieces)]
-        found = events.agg(F.percentile_approx("seq", cuts, max(10_000, 20 * pieces))).first()[0]
-        bounds = sorted(set(found))
-    order = Window.partitionBy("pipeline_id", "stretch").orderBy("seq")
-    cut = events.select("pipeline_id", "seq", "k", _stretch(bounds).alias("stretch")).select(
-        "*", F.floor((F.row_number().over(order) - 1) / block).alias("block")
-    )
-    blocks = cut.groupBy("pipeline_id", "stretch", "block").agg(_ordered("seq", "k").alias("es"))
-    stretches = (
-        blocks.select("pipeline_id", "stretch", "block", _as_function(F.col("es")).alias("fn"))
-        .groupBy("pipeline_id", "stretch")
-        .agg(_ordered("block", "fn").alias("bs"))
-    )
-    whole = (
-        stretches.select("pipeline_id", "stretch", _compose(F.col("bs")).alias("fn"))
-        .groupBy("pipeline_id")
-        .agg(_ordered("stretch", "fn").alias("ss"))
-        .join(start, "pipeline_id", "left")
-    )
-    begin = F.coalesce("start", F.lit(ABSENT))
-    stretch_start = whole.select(
-        "pipeline_id",
-        F.explode(F.arrays_zip("ss", _starts(F.col("ss"), begin, F.get).alias("at"))).alias("z"),
-    ).select("pipeline_id", F.col("z.ss.stretch").alias("stretch"), F.col("z.at").alias("at"))
-    block_start = (
-        stretches.join(stretch_start, ["pipeline_id", "stretch"])
-        .select(
-            "pipeline_id", "stretch",
-            F.explode(F.arrays_zip("bs", _starts(F.col("bs"), F.col("at"), _result).alias("at"))).alias("z"),
-        )
-        .select("pipeline_id", "stretch", F.col("z.bs.block").alias("block"),
-                F.col("z.at").alias("at"))
-    )
-    return (
-        blocks.join(block_start, ["pipeline_id", "stretch", "block"])
-        .select(
-            "pipeline_id",
-            F.explode(F.arrays_zip("es", _states_met(F.col("es"), F.col("at")).alias("met"))).alias("z"),
-        )
-        .select("pipeline_id", F.col("z.es.seq").alias("seq"), F.col("z.met").alias("met"))
-    )
+    levels = _levels(events, bits)
+    at = levels[-1].select("pipeline_id", "b").join(start, "pipeline_id", "left").select(
+        "pipeline_id", "b", F.coalesce("start", F.lit(ABSENT)).alias("at"))
+    for level in reversed(levels[1:]):
+        starts = F.arrays_zip("parts", _starts(F.col("parts"), F.col("at")).alias("at"))
+        at = level.join(at, ["pipeline_id", "b"]).select("pipeline_id", F.explode(starts).alias("z")).select(
+            "pipeline_id", F.col("z.parts.b").alias("b"), F.col("z.at").alias("at"))
+    met = F.arrays_zip("parts", _states_met(F.col("parts"), F.col("at")).alias("met"))
+    return stored(
+        levels[0].join(at, ["pipeline_id", "b"]).select("pipeline_id", F.explode(met).alias("z")).select(
+            "pipeline_id", F.col("z.parts.seq").alias("seq"), F.col("z.met").alias("met")), "fold-met")
 
 
 @dataclass(frozen=True)
@@ -281,27 +249,21 @@ def _last(value: Column, kinds: tuple[str, ...]) -> Column:
     return F.max_by(F.struct(value.alias("v")), at)
 
 
-def apply_events(configs: DataFrame, events: DataFrame, block: int = BLOCK) -> Applied:
+def apply_events(configs: DataFrame, events: DataFrame, bits: int = FAN_BITS) -> Applied:
     """Apply ordered events (``EVENTS_DDL``, ``seq`` unique per pipeline).
 
-    Runs one small job first: if no pipeline has more events than one block,
-    the plain fold serves all. Otherwise the long pipelines, and only they, go
-    through the blocked fold. An event that meets a status its guard does not
-    allow, or an unknown id, changes nothing and answers with an error.
+    An event that meets a status its guard does not allow, or an unknown id,
+    changes nothing and answers with an error. An event without an id or an
+    order number is refused; without an id its text is NULL. The events are
+    read once for the scan and once for each of the two results.
     """
-    slim = events.select("pipeline_id", "seq", kind_code(F.col("kind")).alias("k"))
+    complete = F.col("pipeline_id").isNotNull() & F.col("seq").isNotNull()
+    slim = events.where(complete).select("pipeline_id", "seq", kind_code(F.col("kind")).alias("k"))
     start = configs.select("pipeline_id", status_code(F.col("status")).alias("start"))
-    sizes = slim.groupBy("pipeline_id").agg(F.count(F.lit(1)).alias("n"))
-    long = F.col("n") > block
-    total = sizes.where(long).agg(F.sum("n")).first()[0]
-    if not total:
-        met = _flat(slim, start)
-    else:
-        long_ids = sizes.where(long).select("pipeline_id")
-        met = _flat(slim.join(long_ids, "pipeline_id", "left_anti"), start).unionByName(
-            _blocked(slim.join(long_ids, "pipeline_id", "left_semi"), start, total, block)
-        )
-    judged = events.join(met, ["pipeline_id", "seq"]).withColumn(
+    met = statuses_met(slim, start, bits)
+    known = events.where(complete).join(met, ["pipeline_id", "seq"]).select(*events.columns, "met")
+    refused = events.where(~complete).select(*events.columns, F.lit(ABSENT).alias("met"))
+    judged = known.unionByName(refused).withColumn(
         "ok", _allowed(kind_code(F.col("kind")), F.col("met"))
     )
     outcomes = judged.select("pipeline_id", "seq", "kind", "ok", _outcome_text().alias("outcome"))

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every tidemark job expects. Zone-free timestamps are used
 #: throughout; UTC keeps the few zoned built-ins (``date_format``) exact.
@@ -28,16 +27,48 @@ def build_session(app: str = "tidemark", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
+_made: list[str] = []
+
+
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
-    """A new path below the cluster's shared checkpoint folder.
+    """A new path below the cluster's shared checkpoint folder, ``spark.checkpoint.dir`` of the session.
 
-    ``spark.checkpoint.dir`` is read from the session. Only a local master may
-    fall back to a temporary folder of its own, because there the driver and
-    the executors are the same machine.
+    Where that is unset, it lies in the warehouse, which driver and executors share as well; never in a
+    temporary folder of one machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tidemark-")
-    return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+        root = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
+    path = os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+    _made.append(path)
+    return path
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, and a lost executor
+    repeats no work before it. The files stay until ``release_scratch``."""
+    spark = df.sparkSession
+    path = scratch_folder(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Remove a folder in whatever file system it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Delete the scratch folders that this driver made (from the ``since``-th on); returns how many.
+    Results that were read from them are gone then."""
+    mine = _made[since:]
+    for path in mine:
+        delete(spark, path)
+    del _made[since:]
+    return len(mine)
+
+
+def scratch_made() -> int:
+    """How many scratch folders there are: the ``since`` of a later release."""
+    return len(_made)

@@ -113,12 +113,12 @@ def event_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 @query("k1_k6_hot_pipeline", _fold_sql(_HOT) + _FINAL)
 def hot_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """A third of all events belong to one pipeline."""
-    return _final(apply_events(configs(spark, sf), _events(spark, sf, _HOT), block=256).configs)
+    return _final(apply_events(configs(spark, sf), _events(spark, sf, _HOT), bits=6).configs)
 
 
 @query("a6_hot_outcomes", _fold_sql(_HOT) + _OUTCOMES)
 def hot_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    return apply_events(configs(spark, sf), _events(spark, sf, _HOT), block=256).outcomes
+    return apply_events(configs(spark, sf), _events(spark, sf, _HOT), bits=6).outcomes
 
 
 _LOG_COLS = """'R' || (event_id - event_id % 5) as run_id, event_id as seq,
