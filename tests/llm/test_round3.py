@@ -222,3 +222,46 @@ def test_deviations_are_exact():
     for n, sums in ((3, [7, -8]), (1 << 33, [1 << 60, 12345])):
         want = [sum((n * int(c) - s) ** 2 for c, s in zip(row, sums, strict=True)) for row in x]
         assert whitening.deviations(x, n, sums) == [v if v < 1 << 63 else None for v in want]
+
+
+# repeats -----------------------------------------------------------------------------------------
+
+def test_texts_of_one_id_are_told_apart(spark):
+    """Texts of one id whose short checksums agree stay two documents."""
+    import zlib
+
+    from tidemark.llm import suffix_dedup
+    by_crc, pair = {}, None
+    base = prose(70, 30)
+    for i in range(20000):
+        text = f"{base} {i} {prose(i, 3)}" if i % 2 else f"{i}{prose(i, 25)} {base}"
+        key = zlib.crc32(text.encode()) & 0x3FFFF
+        if key in by_crc and len(by_crc[key]) != len(text):
+            pair = by_crc[key], text
+            break
+        by_crc[key] = text
+    got = suffix_dedup.report(table(spark, [(5, pair[0], "s"), (5, pair[1], "s"), (None, pair[0], "s")])).collect()
+    assert sorted(r["n_bytes"] for r in got) == sorted(len(t.encode()) for t in (*pair, pair[0]))
+    assert all(r["n_removed"] <= r["n_bytes"] for r in got)
+
+
+def test_remove_with_clashing_columns(spark):
+    from tidemark.llm import suffix_dedup
+    passage = prose(80, 60)
+    rows = [(1, f"first {passage}", 0, 1), (2, f"{passage} second tail", 0, 2), (3, None, 0, 3), (4, "", 0, 4), (5, passage, 0, 5)]
+    ddl = "doc_id long, text string, n_chars long, v int"
+    for names in (("_spans", "spans"), ("d", "t"), ("_d", "_crc"), ("row", "a.b")):
+        df = spark.createDataFrame([(*r, "x") for r in rows], f"{ddl}, `{names[1]}` string").withColumnRenamed("v", names[0])
+        got = {r["doc_id"]: r for r in suffix_dedup.remove(df).collect()}
+        assert sorted(got) == [1, 2, 3, 4] and got[1]["text"] == rows[0][1] and got[3]["text"] is None
+        assert got[2]["text"].endswith("second tail") and got[2]["n_chars"] == len(got[2]["text"]) and got[2][names[0]] == 2
+
+
+def test_repeats_in_a_long_text(spark, monkeypatch):
+    from brute import repeats
+
+    from tidemark.llm import suffix_dedup
+    monkeypatch.setattr(suffix_dedup, "SLICE", 700)
+    every = [(1, prose(90, 900)), (2, prose(91, 40)), (3, prose(90, 900)[500:2500] + prose(92, 200) + prose(91, 40))]
+    got = {r[0]: tuple(r[1:]) for r in suffix_dedup.report(table(spark, [(*r, "s") for r in every])).collect()}
+    assert got == repeats(every)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import scratch_folder
+from tidemark.session import stored
 from tidemark.sources.tables import read
 
+__all__ = ["FIT_ROWS", "fit_sample", "fold", "labelled_texts", "stored", "table"]
+
 #: Labelled documents that one classifier is fitted on, at most.
 FIT_ROWS = 16_000
 
@@ -16,14 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read(spark, f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` to the cluster's shared folder and read it back: cuts the lineage."""
-    spark = df.sparkSession
-    path = scratch_folder(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds

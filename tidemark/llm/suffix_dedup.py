@@ -16,14 +16,14 @@ compared apart from each other:
 3. A hash with many contexts is cut into blocks. Each block keeps the first of its own equal windows,
    and those are brought together between blocks by an aggregation on the windows' hashes.
 
-Grouping by 64-bit hashes of anchors and whole contexts, and 128-bit hashes of windows between
-blocks, is the only inexact step.
+Contexts are told apart by 64-bit hashes of anchors and whole contexts, texts of one id by 64-bit hashes,
+windows between blocks by 128-bit hashes. Most repeats of whole passages are decided by step 1; the transform
+decides those that begin or end within a context, and those whose surroundings differ.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.base import stored
-from tidemark.llm.textarrays import as_bytes, mix, slices, text_column
+from tidemark.llm.textarrays import as_bytes, eight_bytes, mix, slices, text_column
 
 LENGTH = 100
 GRAM = 24
@@ -44,8 +44,10 @@ _POSITION = _U((1 << 24) - 1)
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _LEAST = -(1 << 63)
 
-# place packs: 18 bits of the text's crc, 31 bits of the first start, 7 bits of how many starts follow,
-# 7 bits of the anchor's offset from the first start. It orders rows of one id by text and start.
+# place packs the first start and, in 7 bits, how many starts follow. Columns d and t (the id and a 64-bit
+# hash of the text) tell documents apart, also where many rows share an id or have none.
+#: Bytes that contexts are sought in at once.
+SLICE = 1 << 19
 
 
 def _code(data: np.ndarray) -> np.ndarray:
@@ -69,8 +71,8 @@ def contexts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if starts <= 0:
         return none, none, none, none, np.zeros(0, _U)
-    if n > int(_POSITION):  # a very long text: overlapping parts
-        parts, size = [], 1 << 23
+    if n > 2 * SLICE:  # a long text: overlapping parts
+        parts, size = [], SLICE
         for lo in range(0, starts, size):
             hi = min(n, lo + size + LENGTH - 1)
             inside = np.unique(np.clip(at, lo, hi)) - lo
@@ -102,7 +104,7 @@ def contexts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _whole_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     """Hash of each whole context and its offsets; words of eight bytes, the last one overlapping."""
-    code = _code(data)
+    code = eight_bytes(data)
     length = last - first + LENGTH
     out = mix(((last - first) << 8 | (anchor - first)).astype(_U))
     for j in range(0, int(length.max()) if len(length) else 0, 8):
@@ -112,35 +114,41 @@ def _whole_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, anchor:
     return out
 
 
-_ANCHORS = "h long, whole long, d long, place long"
+_ANCHORS = "h long, whole long, d long, t long, place long"
 
 
-def _key_of(ids: pa.Array) -> np.ndarray:
-    return np.array([_LEAST if v is None else v for v in ids.to_pylist()], np.int64)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(d, t, text): the id (the least long for null), a hash of the text, and the text (empty for null)."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
 def _anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (part for whole in batches for part in slices(whole, 4 << 20)):
+    for batch in (part for whole in batches for part in slices(whole, SLICE)):
         data, at = as_bytes(text_column(batch))
         text, first, last, anchor, h = contexts(data, at)
-        crc = np.array([zlib.crc32(data[a:b]) & 0x3FFFF for a, b in zip(at, at[1:])], np.int64)
-        place = (crc[text] << 45) | ((first - at[text]) << 14) | ((last - first) << 7) | (anchor - first)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(h.view(np.int64)), pa.array(_whole_hashes(data, first, last, anchor).view(np.int64)),
-             pa.array(_key_of(batch.column(0))[text]), pa.array(place)], names=["h", "whole", "d", "place"])
+        d, t = (batch.column(i).to_numpy() for i in (0, 1))
+        whole = _whole_hashes(data, first, last, anchor)
+        step = 1 << 16  # a long text has many: hand them on in parts
+        for a in range(0, len(text), step):
+            own = text[a: a + step]
+            place = ((first[a: a + step] - at[own]) << 7) | (last[a: a + step] - first[a: a + step])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[a: a + step].view(np.int64)), pa.array(whole[a: a + step].view(np.int64)),
+                 pa.array(d[own]), pa.array(t[own]), pa.array(place)], names=["h", "whole", "d", "t", "place"])
 
 
-_SORTED = "kind int, h long, d long, place long, ordinal long"
+_SORTED = "kind int, h long, d long, t long, place long, ordinal long"
 
 
 def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From anchors in order of (h, whole, d, place): kind 0, contexts equal to an earlier one; kind 1,
+    """From anchors in order of (h, whole, d, t, place): kind 0, contexts equal to an earlier one; kind 1,
     the first of each of several different contexts of one hash, numbered."""
     waiting: tuple | None = None  # the first context of the current hash, until there is a second
-    prev: tuple | None = None  # (h, whole, d, place)
+    prev: tuple | None = None  # (h, whole, d, t, place)
     number = 0
     for batch in batches:
-        h, whole, d, place = (batch.column(i).to_numpy() for i in range(4))
+        h, whole, d, t, place = (batch.column(i).to_numpy() for i in range(5))
         n = len(h)
         if not n:
             continue
@@ -149,8 +157,8 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_h = h != ph
         new = new_h | (whole != pw)
         # the same row twice (repeated rows of the table) is not earlier than itself
-        pd_, pp = (np.concatenate([[prev[k] if prev else 0], c[:-1]]) for k, c in ((2, d), (3, place)))
-        again = ~new & ((d != pd_) | (place != pp))
+        pd_, pt, pp = (np.concatenate([[prev[k] if prev else 0], c[:-1]]) for k, c in ((2, d), (3, t), (4, place)))
+        again = ~new & ((d != pd_) | (t != pt) | (place != pp))
         firsts = np.flatnonzero(new)
         begins = new_h[firsts]
         group = np.cumsum(begins)
@@ -162,22 +170,23 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = lead[(count[lead] == 1) & (lead > 0)] - 1
         several[lead[count[lead] == 0]] = True
         rows = firsts[several]
-        ex = [[], [], [], []]
+        ex = [[], [], [], [], []]
         if len(firsts) and group[0] == 0 and waiting is not None and count[0] == 1:
-            ex = [[waiting[0]], [waiting[2]], [waiting[3]], [0]]
+            ex = [[waiting[0]], [waiting[2]], [waiting[3]], [waiting[4]], [0]]
         again = np.flatnonzero(again)
         cols = [np.concatenate([h[again], np.array(ex[0], np.int64), h[rows]]),
                 np.concatenate([d[again], np.array(ex[1], np.int64), d[rows]]),
-                np.concatenate([place[again], np.array(ex[2], np.int64), place[rows]]),
-                np.concatenate([np.zeros(len(again), np.int64), np.array(ex[3], np.int64), count[several]])]
+                np.concatenate([t[again], np.array(ex[2], np.int64), t[rows]]),
+                np.concatenate([place[again], np.array(ex[3], np.int64), place[rows]]),
+                np.concatenate([np.zeros(len(again), np.int64), np.array(ex[4], np.int64), count[several]])]
         kind = np.concatenate([np.zeros(len(again), np.int32), np.ones(len(cols[0]) - len(again), np.int32)])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(kind), *map(pa.array, cols)], names=["kind", "h", "d", "place", "ordinal"])
+            [pa.array(kind), *map(pa.array, cols)], names=["kind", "h", "d", "t", "place", "ordinal"])
         if len(firsts):
             number = int(count[-1]) + 1
             i = firsts[-1]
-            waiting = (int(h[i]), int(whole[i]), int(d[i]), int(place[i])) if count[-1] == 0 else None
-        prev = (h[-1], whole[-1], d[-1], place[-1])
+            waiting = (int(h[i]), int(whole[i]), int(d[i]), int(t[i]), int(place[i])) if count[-1] == 0 else None
+        prev = (h[-1], whole[-1], d[-1], t[-1], place[-1])
 
 
 def suffix_order(data: np.ndarray) -> np.ndarray:
@@ -255,101 +264,104 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
-_FOUND = "kind int, w1 long, w2 long, d long, crc long, first long, last long"
+_FOUND = "kind int, w1 long, w2 long, d long, t long, first long, last long"
 
 
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts in order of (h, block, d, place): kind 0, runs of starts to remove; kind 1, windows
+    """Contexts in order of (h, block, d, t, place): kind 0, runs of starts to remove; kind 1, windows
     of a hash with several blocks that are new in their block."""
+    def new_windows(d: int, t: int, start: int, text: bytes, where: Iterable[int]) -> list[tuple]:
+        out = []
+        for i in where:
+            w = hashlib.blake2b(text[i: i + LENGTH], digest_size=16).digest()
+            out.append((1, int.from_bytes(w[:8], "little", signed=True),
+                        int.from_bytes(w[8:], "little", signed=True), d, t, start + i, start + i))
+        return out
+
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         out: list[tuple] = []
-        single = len({r[0:2] for r in rows}) == len(rows)
-        if not single:
-            for (_, _, d, place, text, many), flag in zip(rows, equal_windows([r[4] for r in rows]), strict=True):
-                crc, start = place >> 45, (place >> 14) & 0x7FFFFFFF
-                out += [(0, 0, 0, d, crc, start + a, start + b - 1) for a, b in _runs(flag)]
+        if len({r[0:2] for r in rows}) < len(rows):
+            for (_, _, d, t, place, text, many), flag in zip(rows, equal_windows([r[5] for r in rows]), strict=True):
+                start = place >> 7
+                out += [(0, 0, 0, d, t, start + a, start + b - 1) for a, b in _runs(flag)]
                 if many:
-                    for i in np.flatnonzero(~flag).tolist():
-                        w = hashlib.blake2b(text[i: i + LENGTH], digest_size=16).digest()
-                        out.append((1, int.from_bytes(w[:8], "little", signed=True),
-                                    int.from_bytes(w[8:], "little", signed=True), d, crc, start + i, start + i))
-        elif rows and rows[0][5]:
-            for _, _, d, place, text, _ in rows:
-                crc, start = place >> 45, (place >> 14) & 0x7FFFFFFF
-                for i in range(len(text) - LENGTH + 1):
-                    w = hashlib.blake2b(text[i: i + LENGTH], digest_size=16).digest()
-                    out.append((1, int.from_bytes(w[:8], "little", signed=True),
-                                int.from_bytes(w[8:], "little", signed=True), d, crc, start + i, start + i))
+                    out += new_windows(d, t, start, text, np.flatnonzero(~flag).tolist())
+        elif rows and rows[0][6]:
+            for _, _, d, t, place, text, _ in rows:
+                out += new_windows(d, t, place >> 7, text, range(len(text) - LENGTH + 1))
         cols = list(zip(*out, strict=True)) if out else [()] * 7
         return pa.RecordBatch.from_arrays(
             [pa.array(c, pa.int32() if k == 0 else pa.int64()) for k, c in enumerate(cols)],
-            names=["kind", "w1", "w2", "d", "crc", "first", "last"])
+            names=["kind", "w1", "w2", "d", "t", "first", "last"])
 
     held: list[tuple] = []
-    size, ends = 0, 0
+    size = 0
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if held and row[:4] == held[-1][:4]:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            if held and row[:5] == held[-1][:5]:
                 continue  # a repeated row of the table
             # blocks of one hash are never compared together: across them the order is not by document
-            if held and row[:2] != held[-1][:2] and (size > BLOCK_BYTES or row[5] != held[-1][5] or row[0] == held[-1][0]):
+            if held and row[:2] != held[-1][:2] and (size > BLOCK_BYTES or row[6] != held[-1][6] or row[0] == held[-1][0]):
                 yield solve(held)
                 held, size = [], 0
             held.append(row)
-            size += len(row[4])
+            size += len(row[5])
     if held:
         yield solve(held)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(d, crc, spans): per document the merged-to-be byte ranges [first, end) to remove.
+    """(d, t, spans): per document the merged-to-be byte ranges [first, end) to remove.
 
-    ``d`` is doc_id (the least long for null), ``crc`` tells texts with one id apart.
+    ``d`` is doc_id (the least long for null), ``t`` a 64-bit hash that tells texts with one id apart.
     """
-    docs = docs.select("doc_id", "text")
-    anchors = docs.mapInArrow(_anchors, _ANCHORS)
+    keyed = _keyed(docs)
     found = stored(
-        anchors.repartition("h").sortWithinPartitions("h", "whole", "d", "place").mapInArrow(_repeated, _SORTED),
-        "repeats-anchors")
+        keyed.mapInArrow(_anchors, _ANCHORS).repartition("h").sortWithinPartitions("h", "whole", "d", "t", "place")
+        .mapInArrow(_repeated, _SORTED), "repeats-anchors")
     firsts = found.where("kind = 1")
     many = firsts.where(F.col("ordinal") == BLOCK_CONTEXTS).select(F.col("h").alias("m_h"))
     block = (F.col("ordinal") / BLOCK_CONTEXTS).cast("long").alias("block")
     marked = firsts.join(many, F.col("h") == F.col("m_h"), "left").select(
-        "h", block, "d", "place", F.col("m_h").isNotNull().alias("many"))
-    per_doc = marked.groupBy("d", (F.shiftright("place", 45)).alias("crc")).agg(
-        F.collect_list(F.struct("h", "block", "place", "many")).alias("c"))
-    keyed = docs.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("k"), "text",
-                        (F.crc32(F.col("text").cast("binary")).bitwiseAND(0x3FFFF)).alias("t"))
+        "h", block, "d", "t", "place", F.col("m_h").isNotNull().alias("many"))
+    per_doc = marked.groupBy("d", "t").agg(F.collect_list(F.struct("h", "block", "place", "many")).alias("c"))
 
     def bytes_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (*[pa.int64()] * 5, pa.binary(), pa.bool_())
+        names = ["h", "block", "d", "t", "place", "bytes", "many"]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], names=names)
+
         for batch in batches:
             rows: list[tuple] = []
-            for d, text, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for i in range(batch.num_rows):
+                d, t, text, c = (batch.column(k)[i].as_py() for k in range(4))
                 raw = text.encode()
                 for x in c:
-                    s, more = (x["place"] >> 14) & 0x7FFFFFFF, (x["place"] >> 7) & 127
-                    rows.append((x["h"], x["block"], d, x["place"], raw[s: s + more + LENGTH], x["many"]))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds, strict=True)],
-                                             names=["h", "block", "d", "place", "bytes", "many"])
-
-    texts = keyed.join(per_doc, (F.col("k") == F.col("d")) & (F.col("t") == F.col("crc"))).select("d", "text", "c")
-    pieces = texts.mapInArrow(bytes_of, "h long, block long, d long, place long, bytes binary, many boolean")
+                    s, more = x["place"] >> 7, x["place"] & 127
+                    rows.append((x["h"], x["block"], d, t, x["place"], raw[s: s + more + LENGTH], x["many"]))
+                    if len(rows) >= 1 << 14:
+                        yield out(rows)
+                        rows = []
+            yield out(rows)
+
+    texts = keyed.join(per_doc, ["d", "t"]).select("d", "t", "text", "c")
+    pieces = texts.mapInArrow(bytes_of, "h long, block long, d long, t long, place long, bytes binary, many boolean")
     compared = stored(
-        pieces.repartition("h", "block").sortWithinPartitions("h", "block", "d", "place")
+        pieces.repartition("h", "block").sortWithinPartitions("h", "block", "d", "t", "place")
         .mapInArrow(_compare, _FOUND), "repeats-compared")
     new = compared.where("kind = 1")
-    earliest = new.groupBy("w1", "w2").agg(F.min(F.struct("d", "crc", "first")).alias("e"), F.count("*").alias("n")) \
+    earliest = new.groupBy("w1", "w2").agg(F.min(F.struct("d", "t", "first")).alias("e"), F.count("*").alias("n")) \
         .where("n > 1").withColumnsRenamed({"w1": "v1", "w2": "v2"})
     between = new.join(earliest, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2"))) \
-        .where(F.struct("d", "crc", "first") != F.col("e")).select("d", "crc", "first", "last")
+        .where(F.struct("d", "t", "first") != F.col("e")).select("d", "t", "first", "last")
     equal = found.where("kind = 0").select(
-        "d", F.shiftright("place", 45).alias("crc"),
-        F.shiftright("place", 14).bitwiseAND(0x7FFFFFFF).alias("first"),
-        (F.shiftright("place", 14).bitwiseAND(0x7FFFFFFF) + F.shiftright("place", 7).bitwiseAND(127)).alias("last"))
-    within = compared.where("kind = 0").select("d", "crc", "first", "last")
-    return equal.union(within).union(between).groupBy("d", "crc").agg(
+        "d", "t", F.shiftright("place", 7).alias("first"),
+        (F.shiftright("place", 7) + F.col("place").bitwiseAND(127)).alias("last"))
+    within = compared.where("kind = 0").select("d", "t", "first", "last")
+    return equal.union(within).union(between).groupBy("d", "t").agg(
         F.collect_set(F.struct(F.col("first"), (F.col("last") + LENGTH).alias("end"))).alias("spans"))
 
 
@@ -365,11 +377,13 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and ``_spans``."""
-    found = repeats(docs).select(F.col("d").alias("_d"), F.col("crc").alias("_crc"), F.col("spans").alias("_spans"))
-    return docs.join(
-        found, (F.coalesce(docs.doc_id, F.lit(_LEAST)) == F.col("_d"))
-        & (F.crc32(docs.text.cast("binary")).bitwiseAND(0x3FFFF) == F.col("_crc")), "left").drop("_d", "_crc")
+    """(row, spans): each row of ``docs`` as one struct, so that no column name of theirs can clash."""
+    found = repeats(docs)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return whole.join(
+        found, (F.coalesce(F.col("row.doc_id"), F.lit(_LEAST)) == F.col("d")) & (F.xxhash64(text) == F.col("t")), "left"
+    ).select("row", "spans")
 
 
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -383,16 +397,16 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 def report(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_bytes, n_removed, n_spans and the SHA-256 of the rest.
 
-    Null texts count as empty. Rows that share a doc_id are ordered by the crc of their texts; equal
-    rows are one document. A null id is the least. Other columns are not read; an empty table gives
-    no rows.
+    Null texts count as empty. Rows that share a doc_id are ordered by a 64-bit hash of their texts;
+    equal rows are one document. A null id is the least. Very long texts are searched in overlapping
+    parts. Other columns are not read; an empty table gives no rows.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for d, text, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                raw = (text.as_py() or "").encode()
-                spans = merged([(x["first"], x["end"]) for x in c or []])
+            for row, c in zip(batch.column(0), batch.column(1), strict=True):
+                d, raw = row["doc_id"].as_py(), (row["text"].as_py() or "").encode()
+                spans = merged([(x["first"], x["end"]) for x in c.as_py() or []])
                 rows.append((d, len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(cut(raw, spans)).hexdigest()))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
@@ -407,33 +421,32 @@ def remove(docs: DataFrame, n_chars: str = "n_chars") -> DataFrame:
     """``docs`` without the repeated bytes: all columns, ``text`` and the column ``n_chars`` set anew.
 
     A removed range is narrowed to whole characters. Rows that keep nothing but white space go, if
-    something was removed from them.
+    something was removed from them. Null and empty texts, null ids and repeated rows stay as they are but
+    for what ``report`` says of them; columns of any name come through; an empty table gives no rows.
     """
     cols = docs.columns
 
+    def kept(old: str, c: list[dict]) -> str:
+        raw, spans = old.encode(), []
+        for a, b in merged([(x["first"], x["end"]) for x in c]):
+            while a < b and a < len(raw) and raw[a] & 0xC0 == 0x80:
+                a += 1
+            while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
+                b -= 1
+            spans.append((a, b))
+        return cut(raw, spans).decode()
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            columns = dict(zip(cols, batch.column(0).flatten(), strict=True))
             texts, keep = [], []
-            for text, c in zip(batch.column(batch.schema.get_field_index("text")), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                old = text.as_py()
-                if not c or old is None:
-                    texts.append(old)
-                    keep.append(True)
-                    continue
-                raw = old.encode()
-                spans = []
-                for a, b in merged([(x["first"], x["end"]) for x in c]):
-                    while a < b and a < len(raw) and raw[a] & 0xC0 == 0x80:
-                        a += 1
-                    while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
-                        b -= 1
-                    spans.append((a, b))
-                texts.append(cut(raw, spans).decode())
-                keep.append(bool(texts[-1].strip()))
-            columns = {name: batch.column(i) for i, name in enumerate(cols)}
+            for text, c in zip(columns["text"], batch.column(1), strict=True):
+                old, spans = text.as_py(), c.as_py()
+                texts.append(kept(old, spans) if spans and old is not None else old)
+                keep.append(texts[-1] is old or bool(texts[-1].strip()))
             columns["text"] = pa.array(texts, pa.string())
             if n_chars in columns:
                 columns[n_chars] = pa.array([None if t is None else len(t) for t in texts], columns[n_chars].type)
             yield pa.RecordBatch.from_arrays([columns[c] for c in cols], names=cols).filter(pa.array(keep, pa.bool_()))
 
-    return _with_spans(docs).select(*cols, "_spans").mapInArrow(run, docs.schema)
+    return _with_spans(docs).mapInArrow(run, docs.schema)
