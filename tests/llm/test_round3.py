@@ -66,27 +66,65 @@ def test_token_counts_of_other_vocabularies(spark, name):
     assert [got[i] for i in range(len(every))] == want
 
 
+def pieces(text, classes):
+    raw = text.encode()
+    starts, odd = token_counts.cut(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), classes)
+    assert not odd.any()
+    return [raw[i:j].decode() for i, j in zip(starts, [*starts[1:], len(raw)])]
+
+
 def test_classes_of_assigned_characters():
-    """The pattern's library and the vocabulary's cut alike around every assigned character below U+30000."""
+    """Texts around every assigned character below U+30000 are cut as the vocabulary's library cuts them."""
     public = pytest.importorskip("public_tokenizers")
-    v = token_counts.Vocabulary(public.path("byte_bpe_50k.json"), public.PATTERN)
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(public.path("byte_bpe_50k.json")).pre_tokenizer
-    for c in range(0x80, 0x30000):
-        ch = chr(c)
-        if 0xD800 <= c < 0xE000 or v.unclear.search(ch):
-            continue
-        for around in ("a{0}a", "1{0}1", "!{0}!", " {0} "):
-            text = around.format(ch)
-            assert len(v.split.findall(text)) == len(plain.pre_tokenize_str(text)), hex(c)
+    classes = token_counts._classes()
+    known = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000 and classes[c] != token_counts.UNASSIGNED]
+    for i in range(0, len(known), 500):
+        text = "".join(f"a{c}a 1{c}1 !{c}! {c} {c}{c}'s" for c in known[i: i + 500])
+        got, at = [0], 0
+        for p in pieces(text, classes):
+            at += len(p)
+            got.append(at)
+        assert got == [0, *[b for _, (_, b) in plain.pre_tokenize_str(text)]]
+
+
+def test_cuts_match_the_pattern():
+    public = pytest.importorskip("public_tokenizers")
+    import regex
+    pattern, classes = regex.compile(public.PATTERN), token_counts._classes()
+    r = random.Random(3)
+    for _ in range(3000):
+        text = "".join(r.choice(["'", "s", "t", "re", "ve", "ll", "d", "m", " ", "  ", "\n", "\u00a0", "é", "1", "½", "!", "漢", "l", "v"])
+                       for _ in range(r.randint(1, 14)))
+        assert pieces(text, classes) == pattern.findall(text), repr(text)
+    texts = ["it", "'s", " ", "", "'", "ll", "a ", " b"]  # cuts never look across texts
+    raw = "".join(texts).encode()
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    starts, _ = token_counts.cut(np.frombuffer(raw, np.uint8), at, classes)
+    assert starts.tolist() == [0, 2, 4, 5, 6, 8, 9, 10]
+
+
+def test_table_lookups(monkeypatch):
+    entries = [(f"w{i}".encode(), i + 1) for i in range(500)] + [("é" * 20).encode() and (("é" * 20).encode(), 7)]
+    words = [p for p, _ in entries] + [b"absent", b"w", b"x" * 60]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    want = [n for _, n in entries] + [0, 0, 0]
+    assert token_counts.Table(entries).find(data, ends - [len(w) for w in words], ends).tolist() == want
+    monkeypatch.setattr(token_counts, "span_hashes", lambda d, a, b: np.zeros(len(a), np.uint64))
+    few = token_counts.Table(entries[:40])
+    assert few.find(data, ends - [len(w) for w in words], ends).tolist() == want[:40] + [0] * (len(words) - 40)
+    assert token_counts.Table([]).find(data, ends - 1, ends).sum() == 0
 
 
 def test_table_holds_the_frequent(spark, monkeypatch):
     pytest.importorskip("public_tokenizers")
     monkeypatch.setattr(token_counts, "TABLE", 5)
     rows = [(i, "often often often twice twice rare%d" % i, "s") for i in range(30)]
-    assert {" often", " twice", "often"} <= set(token_counts.frequent(table(spark, rows)))
-    assert len(token_counts.frequent(table(spark, rows))) == 5
+    t = token_counts.frequent(table(spark, rows))
+    held = {t.data[a:b].tobytes() for a, b in zip(t.starts, t.ends, strict=True)}
+    assert {b" often", b" twice", b"often"} <= held and len(held) == 5
 
 
 # filter audit ------------------------------------------------------------------------------------

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textarrays import as_bytes, eight_bytes, mix, slices, span_hashes, text_column
+from tidemark.llm.textarrays import as_bytes, equal_spans, mix, slices, span_hashes, text_column
 
 FILTERS = "ABCDE"
 #: Bytes of a text that are run through the transducer at once; longer texts are cut between words.
@@ -73,28 +73,9 @@ def _stretches(data: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.n
     return np.array(bounds, np.int64), np.array(owner, np.int64)
 
 
-def _equal(data: np.ndarray, code: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether spans that start at ``a`` and ``b`` hold the same ``size`` bytes."""
-    same = np.ones(len(a), bool)
-    for i in np.flatnonzero(size > 256):
-        same[i] = np.array_equal(data[a[i]: a[i] + size[i]], data[b[i]: b[i] + size[i]])
-    rest = np.flatnonzero(size <= 256)
-    j = 0
-    while len(rest):
-        left = size[rest] - j
-        x = code[a[rest] + j] ^ code[b[rest] + j]
-        short = np.flatnonzero(left < 8)
-        x[short] &= (_U(1) << (left[short].astype(_U) * _U(8))) - _U(1)
-        same[rest[x != 0]] = False
-        rest = rest[(x == 0) & (left > 8)]
-        j += 8
-    return same
-
-
 def first_of_equal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """True for each span that found no equal span of its owner in the table."""
     size = ends - starts
-    code = eight_bytes(data)
     mask = (1 << max(1, 2 * len(starts)).bit_length()) - 1
     slot = (mix(span_hashes(data, starts, ends) ^ mix(owner.astype(_U))) & _U(mask)).astype(np.int64)
     holder = np.full(mask + 1, -1, np.int64)
@@ -108,7 +89,7 @@ def first_of_equal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner
         new[waiting[held == waiting]] = True
         other = np.flatnonzero((held != waiting) & ((owner[held] != owner[waiting]) | (size[held] != size[waiting])))
         alike = np.flatnonzero((held != waiting) & (owner[held] == owner[waiting]) & (size[held] == size[waiting]))
-        differ = alike[~_equal(data, code, starts[held[alike]], starts[waiting[alike]], size[waiting[alike]])]
+        differ = alike[~equal_spans(data, starts[held[alike]], data, starts[waiting[alike]], size[waiting[alike]])]
         waiting = waiting[np.sort(np.concatenate([other, differ]))]
         slot[waiting] = (slot[waiting] + 1) & mask
     return new

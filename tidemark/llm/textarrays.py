@@ -99,6 +99,25 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def equal_spans(data: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of ``data`` from ``a`` and of ``other`` from ``b`` hold the same ``size`` bytes."""
+    same = np.ones(len(a), bool)
+    for i in np.flatnonzero(size > 256):
+        same[i] = np.array_equal(data[a[i]: a[i] + size[i]], other[b[i]: b[i] + size[i]])
+    code, other_code = eight_bytes(data), eight_bytes(other)
+    rest = np.flatnonzero((size > 0) & (size <= 256))
+    j = 0
+    while len(rest):
+        left = size[rest] - j
+        x = code[a[rest] + j] ^ other_code[b[rest] + j]
+        short = np.flatnonzero(left < 8)
+        x[short] &= (_U(1) << (left[short].astype(_U) * _U(8))) - _U(1)
+        same[rest[x != 0]] = False
+        rest = rest[(x == 0) & (left > 8)]
+        j += 8
+    return same
+
+
 def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every run of ``k`` words and the document each belongs to.
 
