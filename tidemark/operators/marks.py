@@ -7,6 +7,7 @@ half-way leaves no half-written mark.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,21 @@ LOG_DDL = MARKS_DDL + ", seq bigint, removed boolean, load_key string"
 _COLUMNS = [part.split()[0] for part in MARKS_DDL.split(", ")]
 
 
+_NUMBER = r"^\s*[+-]?\d+(\.\d+)?\s*$"
+
+
+def is_number(text: str) -> bool:
+    """Whether a mark given as text is a number; any other text is a date or a time."""
+    return re.match(_NUMBER, str(text)) is not None
+
+
+def _typed(text: Column) -> tuple[Column, Column]:
+    """A mark given as text as a time and as a number, one of them NULL."""
+    number = text.rlike(_NUMBER)
+    return (F.when(~number, text).cast("timestamp_ntz"),
+            F.when(number, F.trim(text)).cast("decimal(38,10)"))
+
+
 @dataclass(frozen=True)
 class MarkType:
     """Which typed column of the mark table holds values of a column."""
@@ -71,14 +87,19 @@ def read_mark(marks: DataFrame, pipeline_id: str, initial: str, column: str = "l
     )
 
 
-def read_marks(configs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The same for all pipelines: ``configs`` has ``pipeline_id`` and
-    ``watermark_initial``."""
-    known = marks.groupBy("pipeline_id").agg(F.max("last_value_ts").alias("value"))
-    return configs.join(known, "pipeline_id", "left").select(
+def read_marks(configs: DataFrame, marks: DataFrame, numbers: bool = False) -> DataFrame:
+    """The same for all pipelines: ``configs`` has ``pipeline_id`` and ``watermark_initial``. ``mark`` is
+    a time; with ``numbers`` pipelines with a numeric mark have it as ``mark_num`` instead."""
+    known = marks.groupBy("pipeline_id").agg(
+        F.max("last_value_ts").alias("value"), F.max("last_value_num").alias("number"))
+    time, number = _typed(F.col("watermark_initial"))
+    held = F.col("value").isNotNull() | F.col("number").isNotNull()
+    out = configs.join(known, "pipeline_id", "left").select(
         "pipeline_id",
-        F.coalesce("value", F.col("watermark_initial").cast("timestamp_ntz")).alias("mark"),
+        F.when(held, F.col("value")).otherwise(time).alias("mark"),
+        F.when(held, F.col("number")).otherwise(number).alias("mark_num"),
     )
+    return out if numbers else out.drop("mark_num")
 
 
 def next_mark(df: DataFrame, col: str, from_) -> DataFrame:
@@ -107,12 +128,12 @@ def _log_rows(rows: DataFrame, now, status: Column | str, seq: Column | int, **r
 
 def seed_marks(marks: DataFrame, configs: DataFrame, now, seq: int = 0) -> DataFrame:
     """Log rows for pipelines that have no mark yet. ``configs`` has
-    ``pipeline_id``, ``watermark_col`` and ``watermark_initial``."""
+    ``pipeline_id``, ``watermark_col`` and ``watermark_initial``, a date, a time or a number."""
+    time, number = _typed(F.col("watermark_initial"))
     new = absent(configs, marks, ["pipeline_id"]).select(
         "pipeline_id", "watermark_col",
         F.col("watermark_initial").alias("last_value"),
-        F.col("watermark_initial").cast("timestamp_ntz").alias("last_value_ts"),
-        F.lit(None).cast("decimal(38,10)").alias("last_value_num"),
+        time.alias("last_value_ts"), number.alias("last_value_num"),
         now_lit(now).alias("last_run_at"),
         F.lit(0).alias("rows_loaded"),
     )
@@ -154,26 +175,10 @@ def advance_mark(marks: DataFrame, pipeline_id: str, watermark_col: str, value,
 
 
 def reset_mark(marks: DataFrame, which: Column | str, to: str, now, seq: int = 0) -> DataFrame:
-    """Log rows that set a mark to a backfill date, status RESET."""
+    """Log rows that set a mark to a backfill date, time or number, status RESET."""
     hit = marks.where(F.col("pipeline_id") == which if isinstance(which, str) else which)
-    return _log_rows(
-        hit, now, "RESET", seq, last_value=F.lit(to), last_value_ts=F.lit(to).cast("timestamp_ntz"),
-        last_value_num=F.lit(None),
-    )
-
-
-def reset_start(log: DataFrame, pipeline_id: str, to: str) -> DataFrame:
-    """Start of the loaded batch that contains ``to``: one row ``mark``.
-
-    Appended batches can only be replaced whole, so a backfill date rounds down
-    to the start of its batch. NULL when no batch reaches that far.
-    """
-    mine = log.where((F.col("pipeline_id") == pipeline_id) & F.col("load_key").isNotNull())
-    start = F.substring_index("load_key", "@", -1)
-    end = F.col("last_value_ts")
-    return mine.where(end > ntz(to)).agg(
-        F.min(F.to_timestamp_ntz(start, F.lit("yyyy-MM-dd'T'HH-mm-ss.SSSSSS"))).alias("mark")
-    )
+    time, number = _typed(F.lit(to))
+    return _log_rows(hit, now, "RESET", seq, last_value=F.lit(to), last_value_ts=time, last_value_num=number)
 
 
 def fail_mark(marks: DataFrame, which: Column | str, now, seq: int = 0) -> DataFrame:

@@ -18,8 +18,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.operators.dedup import duplicate_keys
+from tidemark.operators.dedup import duplicate_keys, order_items
 
 #: Hidden columns travel with the changes and are dropped at the write.
 DELETED = "_deleted"
@@ -61,6 +62,46 @@ def _deleted(changes: DataFrame) -> Column:
     return F.coalesce(F.col(DELETED), F.lit(False))
 
 
+def change_order(spec: str | None) -> Column:
+    """The change order of a row, as one comparable value: a struct with a field per item of an ORDER BY
+    text, named by its direction (``d`` descending, ``a`` ascending; ``n`` follows where NULLs come first)."""
+    items = order_items(spec)
+    if not items:
+        return F.lit(None).cast("timestamp_ntz")
+    return F.struct(*[F.expr(e).alias(f"{'d' if down else 'a'}{'' if last else 'n'}{i}") for i, (e, down, last) in enumerate(items)])
+
+
+def _before(a: Column, b: Column, ascending: bool, nulls_last: bool = True) -> tuple[Column, Column]:
+    """(tied, first): whether ``a`` equals ``b``, and whether it comes before it."""
+    tied = a.eqNullSafe(b)
+    first = F.coalesce((a < b) if ascending else (a > b), F.lit(False))
+    beside_null = a.isNotNull() & b.isNull() if nulls_last else a.isNull() & b.isNotNull()
+    return tied, ~tied & (first | beside_null)
+
+
+def newer(new: Column, old: Column, dtype: T.DataType) -> tuple[Column, Column]:
+    """(tied, newer) of two change orders of one type; a single value counts as descending."""
+    fields = [(new[f.name], old[f.name], f.name[0] == "a", f.name[1] != "n") for f in dtype.fields] \
+        if isinstance(dtype, T.StructType) else [(new, old, False, True)]
+    tied, later = F.lit(True), F.lit(False)
+    for a, b, ascending, nulls_last in reversed(fields):
+        same, first = _before(a, b, ascending, nulls_last)
+        tied, later = same & tied, first | (same & later)
+    return tied, later
+
+
+def earlier(new: Column, old: Column, fields: Sequence[T.StructField]) -> Column:
+    """Whether a row comes before another in the order of its columns, ascending, NULLs last."""
+    out = F.lit(False)
+    for f in reversed(fields):
+        a, b = new[f.name], old[f.name]
+        if isinstance(f.dataType, (T.VariantType, T.MapType)):
+            a, b = F.to_json(a), F.to_json(b)
+        same, first = _before(a, b, True)
+        out = first | (same & out)
+    return out
+
+
 def match(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Target rows with their change, if any, as the struct ``_change``;
     ``_matched`` tells whether there is one."""

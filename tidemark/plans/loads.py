@@ -23,7 +23,7 @@ from tidemark.functions.scalars import now_lit
 from tidemark.operators.align import Warn, resolve
 from tidemark.operators.dedup import keep_first, order_items, ordering, tie_break
 from tidemark.operators.filters import newer_than, row_rules, source_filter
-from tidemark.operators.merge import DELETED, ORDER, merge_cdc, require_unique
+from tidemark.operators.merge import DELETED, ORDER, change_order, merge_cdc, require_unique
 from tidemark.schema import field
 
 #: Audit column that takes the run's clock when the target declares it.
@@ -111,8 +111,7 @@ def cdc_changes(
     deleted = F.lit(False)
     if cfg.delete_flag_col:
         deleted = F.coalesce(src(cfg.delete_flag_col).cast("boolean"), F.lit(False))
-    spec = order_items(cfg.dedup_order_by)
-    order = F.expr(spec[0][0]) if spec else F.lit(None).cast("timestamp_ntz")
+    order = change_order(cfg.dedup_order_by)
     return prepare(
         cfg, source, target, now, since, upto, hidden=[deleted.alias(DELETED), order.alias(ORDER)],
         **options,

@@ -1,9 +1,10 @@
 """One run of a pipeline: hooks, load, quality gate, mark and run log.
 
 The driver only sequences Spark jobs and reads one row of metrics. A batch is
-written to a staging folder first, audited from the metrics observed during
-that write, and published only when it passes (``gate="pre"``). With
-``gate="post"`` it is published at once and audited afterwards.
+written once, where no reader sees it, and audited from the metrics observed
+during that write; only when it passes do exactly those files become part of
+the target (``gate_order="pre"``). With ``gate_order="post"`` they do at once and
+the audit follows. The source is read once.
 
 Metrics are observed in the task that writes the files, never before a
 shuffle, so a stage repeated after an executor is lost cannot count twice.
@@ -21,15 +22,15 @@ from pyspark.sql import types as T
 from tidemark.config import PipelineConfig
 from tidemark.operators import marks as M
 from tidemark.operators.align import Warn
-from tidemark.operators.merge import merge_summary, require_unique
+from tidemark.operators.merge import require_unique
 from tidemark.operators.quality import QualityError, gate, metrics, verdict
 from tidemark.plans.loads import (
     Prepared, cdc_changes, load_full, load_incremental, unique_by_dedup,
 )
-from tidemark.session import scratch_folder
+from tidemark.session import delete, scratch_folder
 from tidemark.sources.control_tables import ControlTables
 from tidemark.sources.tables import read
-from tidemark.sources.targets import AppendTarget, MergeTarget, ReplaceTarget, release
+from tidemark.sources.targets import AppendTarget, MergeTarget, ReplaceTarget
 
 Target = AppendTarget | ReplaceTarget | MergeTarget
 
@@ -81,8 +82,8 @@ def _hook(log: RunLog, which: str, sql: str | None) -> None:
 
 
 def _observed(df: DataFrame, cfg: PipelineConfig, flags: list[str], write,
-              gather: bool = False) -> dict:
-    """Write and return the metrics of exactly the written rows.
+              gather: bool = False) -> tuple[dict, str]:
+    """Write; returns the metrics of exactly the written rows, and what ``write`` returns.
 
     Batches after the first are usually a thin slice of a wide scan, so they
     are gathered into files of the advisory size before they are observed and
@@ -90,8 +91,8 @@ def _observed(df: DataFrame, cfg: PipelineConfig, flags: list[str], write,
     """
     seen = Observation()
     df = df.hint("rebalance") if gather else df
-    write(df.observe(seen, *metrics(cfg.null_check_cols, flags)))
-    return dict(seen.get)
+    where = write(df.observe(seen, *metrics(cfg.null_check_cols, flags)))
+    return dict(seen.get), where
 
 
 def _verdict(spark: SparkSession, cfg: PipelineConfig, found: dict, flags: list[str],
@@ -115,9 +116,14 @@ def run_pipeline(
     gate_order: str = "pre",
     check_casts: bool = False,
     skip_unchanged: bool = False,
+    batch_id: str | None = None,
 ) -> RunResult:
     """Run once. Raises what went wrong after logging it; a missed threshold
-    raises ``QualityError`` with the run logged as QUALITY_FAIL."""
+    raises ``QualityError`` with the run logged as QUALITY_FAIL.
+
+    ``batch_id`` names a change set: a merge that is run again under it gives the same rows, those
+    with incomplete keys included. By default it is the pipeline with its mark, or with ``now``.
+    """
     clock = _clock(now)
     stamp = "".join(ch for ch in clock if ch.isdigit()).ljust(17, "0")[:17]
     run_id = f"RUN_{cfg.pipeline_id}_{stamp[:8]}_{stamp[8:14]}_{stamp[14:]}"
@@ -129,7 +135,7 @@ def run_pipeline(
     try:
         return _run(spark, cfg, target_schema, target, log, clock,
                     source if source is not None else read(spark, cfg.source_table),
-                    gate_order, check_casts, skip_unchanged)
+                    gate_order, check_casts, skip_unchanged, batch_id)
     except QualityError as e:
         _close(log, cfg, now, "QUALITY_FAIL", error_message=str(e))
         raise
@@ -155,7 +161,7 @@ def _close(log: RunLog, cfg: PipelineConfig, now, status: str, **fields) -> None
 
 
 def _run(spark, cfg, target_schema, target, log: RunLog, clock, source, gate_order,
-         check_casts, skip_unchanged) -> RunResult:
+         check_casts, skip_unchanged, batch_id) -> RunResult:
     control = log.control
     _hook(log, "pre", cfg.pre_load_sql)
     mark_from = mark_to = kind = None
@@ -178,16 +184,18 @@ def _run(spark, cfg, target_schema, target, log: RunLog, clock, source, gate_ord
         batch = cdc_changes(cfg, source, target_schema, clock, mark_from, upto,
                             flag_casts=check_casts)
 
-    key = AppendTarget.load_key(cfg.pipeline_id, mark_from) if incremental else None
+    start = clock if kind is None else mark_from
+    key = AppendTarget.load_key(cfg.pipeline_id, start)
     earlier = (F.col("pipeline_id") == cfg.pipeline_id) & F.col("load_key").isNotNull()
     slice_only = incremental and bool(control.log("marks").where(earlier).take(1))
-    rows, status, detail = _load(spark, cfg, batch, target, key, gate_order, check_casts,
-                                 nothing_new, slice_only, log, skip_unchanged)
+    span = {"load_key": key, "pipeline_id": cfg.pipeline_id, "mark_from": mark_from, "mark_to": upto}
+    rows, status, detail = _load(spark, cfg, batch, target, span, gate_order, check_casts,
+                                 nothing_new, slice_only, log, skip_unchanged, batch_id or key)
 
     if kind is not None:
         control.append("marks", M.advance_mark(
             control.marks(), cfg.pipeline_id, cfg.watermark_col, mark_to, rows, clock,
-            control.next_seq(), kind.numeric, None if nothing_new else key,
+            control.next_seq(), kind.numeric, key if incremental and not nothing_new else None,
         ))
     _hook(log, "post", cfg.post_load_sql)
     log.set(watermark_to=mark_to)
@@ -196,27 +204,16 @@ def _run(spark, cfg, target_schema, target, log: RunLog, clock, source, gate_ord
     return RunResult(log.run_id, "SUCCESS", rows, detail, mark_from, mark_to, tuple(batch.warnings))
 
 
-def _load(spark, cfg, batch: Prepared, target: Target, key, gate_order, check_casts, nothing_new,
-          slice_only, log: RunLog, skip_unchanged) -> tuple[int, str, str]:
-    """Write the batch; returns affected rows and the verdict.
+def _load(spark, cfg, batch: Prepared, target: Target, span: dict, gate_order, check_casts, nothing_new,
+          slice_only, log: RunLog, skip_unchanged, batch_id) -> tuple[int, str, str]:
+    """Write, audit, publish; returns affected rows and the verdict.
 
-    How a batch is audited before it is published depends on its plan. Rows
-    that only pass filters and rules are audited by one aggregate over the
-    checked columns, far cheaper than a second copy of a large batch. A batch
-    that had to be shuffled, and every change set, is staged instead.
+    A change set is staged in the shared folder first, because the merge reads
+    it twice; its audit counts its own rows, and the affected ones are counted
+    in the tasks that write the merged buckets.
     """
     flags = batch.cast_flags
-    merging = isinstance(target, MergeTarget)
     first = gate_order == "pre"
-    checked = bool(cfg.null_check_cols or cfg.min_rows_expected or check_casts)
-
-    def publish(df: DataFrame) -> None:
-        if merging:
-            target.merge(df, skip_unchanged=skip_unchanged)
-        elif isinstance(target, AppendTarget):
-            target.write(df, key)
-        else:
-            target.write(df)
 
     def judge(found: dict, rows: int) -> tuple[str, str]:
         status, detail = _verdict(spark, cfg, found, flags, rows, check_casts)
@@ -225,56 +222,62 @@ def _load(spark, cfg, batch: Prepared, target: Target, key, gate_order, check_ca
             gate(status, detail)
         return status, detail
 
+    def audited(found: dict, rows: int, publish, discard) -> tuple[str, str]:
+        if not first:
+            publish()
+        try:
+            out = judge(found, rows)
+        except QualityError:
+            discard()
+            raise
+        if first:
+            publish()
+        return out
+
     if nothing_new:
         nothing = ["rows_loaded", *[f"nulls__{c}" for c in cfg.null_check_cols],
                    *[f"casts__{c}" for c in flags]]
         return 0, *judge(dict.fromkeys(nothing, 0), 0)
 
-    if not merging and not (first and checked):
-        found = _observed(batch.df, cfg, flags, publish, slice_only)
-        return found["rows_loaded"], *judge(found, found["rows_loaded"])
-
-    if not merging and not cfg.deduplicate:
-        found = batch.df.agg(*metrics(cfg.null_check_cols, flags)).first().asDict()
-        status, detail = judge(found, found["rows_loaded"])
-        written = _observed(batch.df, cfg, flags, publish, slice_only)
-        return written["rows_loaded"], status, detail
+    if not isinstance(target, MergeTarget):
+        found, folder = _observed(batch.df, cfg, flags, target.stage, slice_only)
+        rows = found["rows_loaded"]
+        where = span if isinstance(target, AppendTarget) else {}
+        return rows, *audited(found, rows, lambda: target.publish(folder, rows=rows, **where),
+                              lambda: target.discard(folder))
 
     staged_at = scratch_folder(spark, f"stage-{cfg.pipeline_id}")
-    found = _observed(batch.df, cfg, flags,
-                      lambda df: df.write.mode("overwrite").parquet(staged_at))
-    staged = spark.read.schema(batch.df.schema).parquet(staged_at)
-    rows = found["rows_loaded"]
-    if merging:
+    try:
+        found, _ = _observed(batch.df, cfg, flags, lambda df: df.write.parquet(staged_at))
+        staged = spark.read.schema(batch.df.schema).parquet(staged_at)
         if not unique_by_dedup(cfg):
             require_unique(staged, cfg.merge_keys)
-        live = target.rows_in(target.touched(staged)).where("NOT _deleted")
-        counts = merge_summary(live.select(*target.schema.names), staged, target.keys,
-                               skip_unchanged=skip_unchanged).collect()
-        rows = sum(r["row_count"] for r in counts if r["operation"] in ("insert", "update", "delete"))
-    status, detail = judge(found, rows)
-    publish(staged)
-    release(spark, staged_at, batch.df.schema)
-    return rows, status, detail
+        merged = target.stage_merge(staged, skip_unchanged=skip_unchanged, batch_id=batch_id)
+        return merged.changed, *audited(found, merged.changed, lambda: target.publish(merged),
+                                        lambda: merged.folder and target.discard(merged.folder))
+    finally:
+        delete(spark, staged_at)
 
 
 def backfill(control: ControlTables, cfg: PipelineConfig, target: AppendTarget, to: str,
              now: str, keep_loaded: bool = False) -> str:
-    """Set an incremental pipeline back to a date; returns the new mark.
+    """Set an incremental pipeline back to a mark (a date, a time or a number); returns the new mark.
 
-    The date rounds down to the start of the batch that contains it, and that
-    batch and all later ones are emptied, so loading again adds nothing twice.
-    ``keep_loaded`` only lowers the mark, and the rows will be appended again.
+    The mark rounds down to the start of the batch that contains it, and that
+    batch and all later ones leave the target in one step, so loading again adds
+    nothing twice. ``keep_loaded`` only lowers the mark, and the rows will be
+    appended again.
     """
-    log = control.log("marks")
+    mine = F.col("pipeline_id") == cfg.pipeline_id
+    numeric = M.is_number(to)
+    kind = "decimal(38,10)" if numeric else "timestamp_ntz"
     start = to
     if not keep_loaded:
-        found = M.reset_start(log, cfg.pipeline_id, to).first()["mark"]
-        if found is not None:
-            start = str(min(found, dt.datetime.fromisoformat(to)))
-        first_key = AppendTarget.load_key(cfg.pipeline_id, start)
-        target.drop_batches(log.where(
-            (F.col("pipeline_id") == cfg.pipeline_id) & (F.col("load_key") >= first_key)
-        ).select("load_key"))
+        batches = target.batches().where(mine).select(
+            "key", F.col("mark_from").cast(kind).alias("a"), F.col("mark_to").cast(kind).alias("b"))
+        row = batches.where(F.col("b") > F.lit(to).cast(kind)).agg(
+            F.least(F.min("a"), F.lit(to).cast(kind)).cast("string").alias("start")).first()
+        start = to if row["start"] is None else row["start"]
+        target.drop_batches(batches.where(F.col("b") > F.lit(start).cast(kind)).select("key"))
     control.append("marks", M.reset_mark(control.marks(), cfg.pipeline_id, start, now, control.next_seq()))
     return start

@@ -19,7 +19,7 @@ from tidemark.config import DEFAULT_WATERMARK_INITIAL, parse_params
 from tidemark.operators.control import EVENTS_DDL, Applied, apply_events, run_log_view
 from tidemark.operators.joins import absent
 from tidemark.operators.marks import LOG_DDL, current_marks, drop_mark, seed_marks
-from tidemark.sources.targets import read_or_empty
+from tidemark.sources.manifest import read_or_empty
 
 CONFIGS_DDL = (
     "pipeline_id string, pipeline_name string, domain string, pipeline_params string, "
