@@ -358,3 +358,134 @@ def backfilled(spark: SparkSession, sf: str) -> DataFrame:
     backfill(control, cfg, target, "2024-01-15", NOW)
     run_pipeline(spark, cfg, schema, target, control, NOW, events)
     return target.read()
+
+
+# Gates, keys, retries and orders.
+
+def _quietly(run) -> None:
+    """Run a load that the quality gate stops."""
+    from tidemark.operators.quality import QualityError
+
+    try:
+        run()
+    except QualityError:
+        return
+    raise AssertionError("the gate let a bad batch pass")
+
+
+@query("f1_t13_gate_blocks", events_sql(f"{_AFTER} and ts <= timestamp '2024-01-20 12:00:00'"))
+def gate_blocks_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """A second batch without values in a checked column: nothing of it becomes visible, and the mark stays,
+    so the third run is stopped by the same rows."""
+    root = scratch_folder(spark, "gate-incremental")
+    schema, events = ddl(EVENTS_DDL), table(spark, sf, "events")
+    control = ControlTables(spark, f"{root}/control")
+    target = AppendTarget(spark, f"{root}/events_clean", schema)
+    cut = "ts <= timestamp_ntz'2024-01-20 12:00:00'"
+    bad = events.withColumn("props", F.when(F.expr(cut), F.col("props")))
+    run_pipeline(spark, events_config(), schema, target, control, NOW, events.where(cut))
+    for hour in (1, 2):
+        _quietly(lambda: run_pipeline(spark, events_config(), schema, target, control, f"2024-02-01 0{hour}:00:00", bad))
+    return target.read()
+
+
+@query("f2_t13_gate_blocks", "select p_partkey, p_brand, p_size from part")
+def gate_blocks_full(spark: SparkSession, sf: str) -> DataFrame:
+    """A full load with too few rows leaves the table that it would have replaced."""
+    root = scratch_folder(spark, "gate-full")
+    schema, part = ddl("p_partkey bigint, p_brand varchar(16), p_size int"), table(spark, sf, "part")
+    control = ControlTables(spark, f"{root}/control")
+    target = ReplaceTarget(spark, f"{root}/part", schema)
+    cfg = PipelineConfig(pipeline_id="ETL_PART_002", pipeline_name="part", source_table="part", target_table="part",
+                         strategy="FULL_LOAD", null_check_cols=("p_partkey",), min_rows_expected=10)
+    run_pipeline(spark, cfg, schema, target, control, "2024-02-01 01:00:00", part)
+    _quietly(lambda: run_pipeline(spark, cfg, schema, target, control, "2024-02-01 02:00:00", part.where("p_partkey < 5")))
+    return target.read()
+
+
+_IDS = {"purchase": "A_B", "view": "A B", "click": "A=5f=B", "signup": "A/B", "error": "A%5FB"}
+
+
+@query("a3_key_collision", """
+select event_id, event_type from events where event_type not in ('view', 'signup')""")
+def key_collision(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch per event type under ids that differ in special characters only, each written twice; two of
+    them are dropped."""
+    events = table(spark, sf, "events").select("event_id", "event_type")
+    target = AppendTarget(spark, scratch_folder(spark, "collision"), ddl("event_id bigint, event_type varchar(16)"))
+    for kind, name in _IDS.items():
+        for _ in range(2):
+            target.write(events.where(F.col("event_type") == kind), target.load_key(name, "2024-01-01"))
+    rest = events.where(~F.col("event_type").isin(*_IDS))
+    target.write(rest, target.load_key("AB", "2024-01-01"))
+    gone = [target.load_key(_IDS[kind], "2024-01-01") for kind in ("view", "signup")]
+    target.drop_batches(spark.createDataFrame([(k,) for k in gone], "load_key string"))
+    return target.read()
+
+
+@query("t27_backfill_numeric", "select event_id, event_type from events where event_id > 100")
+def backfilled_by_number(spark: SparkSession, sf: str) -> DataFrame:
+    """Marks that are numbers: three batches, back into the second, load again."""
+    from tidemark.plans.runner import backfill
+
+    root = scratch_folder(spark, "backfill-number")
+    schema, events = ddl("event_id bigint, event_type varchar(16)"), table(spark, sf, "events")
+    control = ControlTables(spark, f"{root}/control")
+    target = AppendTarget(spark, f"{root}/events", schema)
+    cfg = PipelineConfig(pipeline_id="ETL_%_002", pipeline_name="by id", source_table="events", target_table="events",
+                         strategy="INCREMENTAL", watermark_col="event_id", watermark_initial="100")
+    for i, top in enumerate((300, 600, 1 << 60)):
+        run_pipeline(spark, cfg, schema, target, control, f"2024-02-01 0{i}:00:00", events.where(F.col("event_id") <= top))
+    backfill(control, cfg, target, "450", NOW)
+    run_pipeline(spark, cfg, schema, target, control, "2024-02-01 05:00:00", events)
+    return target.read()
+
+
+@query("a5_null_key_retry", f"""{_ORDERS}
+select custkey, priority, status, orderkey from old""")
+def null_key_retry(spark: SparkSession, sf: str) -> DataFrame:
+    """A change set with incomplete keys, merged three times under one name."""
+    early, _ = orders_feed(spark, sf)
+    schema = ddl(_ORDERS_DDL)
+    target = MergeTarget(spark, scratch_folder(spark, "null-keys"), schema, ["custkey", "priority"], 8)
+    for hour in (1, 2, 3):
+        changes = cdc_changes(orders_config(), early.withColumn("gone", F.lit(False)), schema, f"2024-01-01 0{hour}:00:00").df
+        target.merge(changes, batch_id="orders@1")
+    return target.read().drop("loaded_at")
+
+
+def _small_batches(spark: SparkSession, sf: str, root: str) -> DataFrame:
+    """The events as a stream of four micro-batches, in no order of time."""
+    events = table(spark, sf, "events").withColumn("gone", F.lit(False))
+    events.repartition(4, "event_id").write.parquet(f"{root}/feed")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/feed")
+
+
+def _streamed_users(spark: SparkSession, sf: str, order_by: str, name: str) -> DataFrame:
+    """Two queries, each with its own checkpoint: the second replays all that the first has merged."""
+    from dataclasses import replace
+
+    root = scratch_folder(spark, name)
+    schema = ddl(_USERS_DDL)
+    target = MergeTarget(spark, f"{root}/users", schema, ["user_id"], 8)
+    stream = _small_batches(spark, sf, root)
+    for run in (1, 2):
+        stream_cdc(stream, replace(users_config(), dedup_order_by=order_by), schema, target,
+                   f"{root}/checkpoint{run}", NOW).awaitTermination()
+    return target.read()
+
+
+@query("s2_ties_and_replay", """
+select user_id, event_id, ts, event_type from events
+qualify row_number() over (partition by user_id order by event_type, event_id) = 1""")
+def stream_with_ties(spark: SparkSession, sf: str) -> DataFrame:
+    """An ascending order of few values: most changes tie, in and between micro-batches."""
+    return _streamed_users(spark, sf, "event_type", "stream-ties")
+
+
+@query("s2_numeric_order", """
+select user_id, event_id, ts, event_type from events
+qualify row_number() over (partition by user_id order by event_id % 7 desc, floor(value), event_id desc) = 1""")
+def stream_by_number(spark: SparkSession, sf: str) -> DataFrame:
+    """Three items of an order that is no time, in both directions."""
+    return _streamed_users(spark, sf, "event_id % 7 DESC, floor(value), event_id DESC", "stream-number")
