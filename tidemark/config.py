@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,9 +82,33 @@ class PipelineConfig:
             return f"write_mode {self.write_mode} ignored: {self.strategy} uses {expected}"
         return None
 
+    def to_params(self) -> str:
+        """The same document with the typed rules in it: ``from_params`` gives an equal configuration."""
+        from tidemark.functions.codec import encode
+
+        return json.dumps({
+            "identity": {"pipeline_name": self.pipeline_name, "domain": self.domain, "owner_email": self.owner_email},
+            "source": {"table": self.source_table, "filter": self.source_filter, "deduplicate": self.deduplicate,
+                       "dedup_key": ", ".join(self.dedup_keys) or None, "dedup_order_by": self.dedup_order_by},
+            "target": {"table": self.target_table, "write_mode": self.write_mode},
+            "strategy": {"type": self.strategy, "watermark_col": self.watermark_col,
+                         "watermark_initial": self.watermark_initial, "merge_keys": list(self.merge_keys),
+                         "delete_flag_col": self.delete_flag_col},
+            "transformations": {
+                "nl_rules": None, "rules": [encode(r) for r in self.rules],
+                "column_mappings": [{"source_col": m.source_col, "target_col": m.target_col, "expression": m.expression}
+                                    for m in self.mappings]},
+            "execution": dict(self.execution),
+            "quality": {"error_tolerance_pct": self.error_tolerance_pct, "null_check_cols": list(self.null_check_cols),
+                        "min_rows_expected": self.min_rows_expected, "notification_email": self.notification_email},
+            "hooks": {"pre_load_sql": self.pre_load_sql, "post_load_sql": self.post_load_sql},
+        })
+
     @classmethod
     def from_params(cls, pipeline_id: str, params: str | dict, rules: tuple = ()) -> PipelineConfig:
-        """From the eight-section JSON document; rules are supplied typed."""
+        """From the eight-section JSON document. Rules are those that it holds, unless given."""
+        from tidemark.functions.codec import decode_all
+
         p = json.loads(params) if isinstance(params, str) else params
         source, strategy = p.get("source", {}), p.get("strategy", {})
         quality, hooks = p.get("quality", {}), p.get("hooks", {})
@@ -109,7 +134,7 @@ class PipelineConfig:
                 Mapping(m["source_col"], m["target_col"], m.get("expression"))
                 for m in transformations.get("column_mappings") or ()
             ),
-            rules=tuple(rules),
+            rules=tuple(rules) or decode_all(transformations.get("rules")),
             execution=dict(p.get("execution", {})),
             error_tolerance_pct=float(quality.get("error_tolerance_pct", 1.0)),
             null_check_cols=tuple(quality.get("null_check_cols") or ()),
@@ -120,6 +145,22 @@ class PipelineConfig:
         )
 
 
+def config_rows(spark: SparkSession, configs: Sequence[PipelineConfig], now: str | None = None,
+                user: str | None = None) -> DataFrame:
+    """Rows of the config table for typed configurations, ready to be submitted."""
+    rows = [(c.pipeline_id, c.pipeline_name, c.domain, c.to_params(), c.source_table, c.target_table, c.strategy)
+            for c in configs]
+    df = spark.createDataFrame(rows, "pipeline_id string, pipeline_name string, domain string, "
+                                     "pipeline_params string, source_table string, target_table string, load_strategy string")
+    none = F.lit(None)
+    return df.select(
+        "*", none.cast("string").alias("generated_sql"), none.cast("string").alias("task_name"),
+        F.lit("PENDING").alias("status"), user_lit(user).alias("created_by"), now_lit(now).alias("created_at"),
+        now_lit(now).alias("updated_at"), none.cast("string").alias("approved_by"),
+        none.cast("timestamp_ntz").alias("approved_at"), none.cast("timestamp_ntz").alias("deployed_at"),
+        none.cast("string").alias("error_message"))
+
+
 def split_names(text: str | None) -> list[str]:
     return [part.strip() for part in (text or "").split(",") if part.strip()]
 

@@ -52,6 +52,10 @@ class Rule:
     def column(self) -> Column:
         return self.raw()
 
+    def failed(self) -> Column:
+        """Whether a filled input gave no outcome; only asked where ``casts``."""
+        return src(self.source).isNotNull() & self.raw().isNull()
+
     def output_width(self, source_widths: Mapping[str, int]) -> int | None:
         return None
 
@@ -71,9 +75,17 @@ class JsonField(Rule):
     dtype: str = "string"
     is_variant: bool = False
 
+    @property
+    def casts(self) -> bool:
+        return self.dtype != "string"
+
     def raw(self) -> Column:
         return json_path(src(self.col), self.path, self.dtype, self.is_variant)
 
+    def failed(self) -> Column:
+        # a missing key is no error, a value of another type is
+        return json_path(src(self.col), self.path, "string", self.is_variant).isNotNull() & self.raw().isNull()
+
 
 def json_fields(col: str, fields: Mapping[str, str], is_variant: bool = False) -> list[JsonField]:
     """Several columns out of one document. The shared parse is a common
@@ -274,6 +286,14 @@ class Band(Rule):
     else_: str | None = None
     cast: str | None = None
 
+    @property
+    def casts(self) -> bool:
+        return self.cast is not None
+
+    def failed(self) -> Column:
+        # a number outside all bands is no error, a text that is no number is
+        return src(self.col).isNotNull() & src(self.col).try_cast(self.cast).isNull()
+
     def raw(self) -> Column:
         value = src(self.col)
         if self.cast:

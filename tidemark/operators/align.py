@@ -67,8 +67,8 @@ def resolve(
 ) -> Projection:
     """Choose an expression per target column.
 
-    Order of preference: explicit mapping, rule, default of an audit column,
-    source column of the same name, source column of a similar name, typed
+    Order of preference: explicit mapping, rule, source column of the same
+    name, default of an audit column, source column of a similar name, typed
     NULL with a warning. Text copied into a column of another type is cast
     tolerantly and counts as a cast error where it fails. Works on schemas
     only, no data is read.
@@ -103,11 +103,11 @@ def resolve(
                 if name.lower() not in known:
                     warnings.append(Warn(f.name, "UNKNOWN_COLUMN", f"rule reads {name}"))
             if rule.casts:
-                checks[f.name] = src(rule.source).isNotNull() & rule.raw().isNull()
-        elif key in defaulted:
-            expr = defaulted[key]
+                checks[f.name] = rule.failed()
         elif (copied := field(source, f.name)) is not None:
             expr = src(copied.name)
+        elif key in defaulted:
+            expr = defaulted[key]
         elif (near := similar_name(f.name, free)) is not None:
             copied, expr = field(source, near), src(near)
         else:

@@ -16,6 +16,10 @@ from pyspark.sql import Window as W
 from tidemark.operators.dedup import order_items, ordering
 
 
+#: Rows up to which a code table is written into the expression.
+LITERAL_CODES = 200
+
+
 def join_configs(df: DataFrame, configs: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Inner join on the pipeline id, adding only the named config columns."""
     return df.join(configs.select("pipeline_id", *cols), "pipeline_id", "inner")
@@ -25,11 +29,16 @@ def absent(new: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``new`` whose key the target does not hold, one per key.
 
     Of several new rows with one key the one with the least hash stays, whatever the partitioning.
+    A key that is NULL in part equals no other, so such rows are all absent and all stay, as in SQL.
     """
     hashed = [f.name for f in new.schema.fields if "map<" not in f.dataType.simpleString()]
     first = W.partitionBy(*keys).orderBy(F.xxhash64(*hashed))
-    once = new.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return once.join(target.select(*keys), list(keys), "left_anti")
+    number = "_n" + "_" * max(len(c) for c in new.columns)  # longer than any column's name
+    complete = F.lit(True)
+    for k in keys:
+        complete = complete & F.col(k).isNotNull()
+    once = new.where(complete).withColumn(number, F.row_number().over(first)).where(F.col(number) == 1).drop(number)
+    return once.join(target.select(*keys), list(keys), "left_anti").select(*new.columns).unionByName(new.where(~complete))
 
 
 def insert_absent(new: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -48,7 +57,16 @@ def missing_columns(refs: DataFrame, columns: DataFrame) -> DataFrame:
 
 def decode_by_table(df: DataFrame, col: str, codes: DataFrame, code: str, label: str,
                     out: str) -> DataFrame:
-    """Decode through a code table with unique codes; unmapped gives NULL."""
+    """Decode through a code table with unique codes; unmapped gives NULL.
+
+    A table of at most ``LITERAL_CODES`` rows, counted by fetching no more than one row beyond, becomes a map
+    in the expression, so that ``df`` is neither joined nor shuffled. A larger one is joined.
+    """
+    same = codes.schema[code].dataType == df.schema[col].dataType
+    few = codes.select(code, label).where(F.col(code).isNotNull()).limit(LITERAL_CODES + 1).collect() if same else None
+    if few and len(few) <= LITERAL_CODES and len({r[0] for r in few}) == len(few):
+        pairs = [F.lit(v).cast(codes.schema[c].dataType) for r in few for c, v in ((code, r[0]), (label, r[1]))]
+        return df.withColumn(out, F.try_element_at(F.create_map(*pairs), F.col(col)))
     lookup = codes.select(F.col(code).alias("_code"), F.col(label).alias(out))
     return df.join(lookup, F.col(col) == F.col("_code"), "left").drop("_code")
 

@@ -29,6 +29,7 @@ def _table_shapes(columns: DataFrame, prefix: str) -> DataFrame:
         F.col("ordinal"), _name(F.col("column_name")).alias("name"),
         F.col("data_type").alias("type"), F.col("width"),
         F.coalesce(F.col("has_default"), F.lit(False)).alias("has_default"),
+        _squeezed(_name(F.col("column_name"))).alias("squeezed"),
     )
     return columns.groupBy(_name(F.col("table_name")).alias(f"{prefix}_table")).agg(
         F.array_sort(F.collect_list(entry)).alias(f"{prefix}_cols")
@@ -75,16 +76,17 @@ def _squeezed(c: Column) -> Column:
 
 
 def _similar(wanted: Column, available: Column) -> Column:
-    """Whether exactly one available name matches ``wanted`` loosely: the same
-    letters and digits, else equal up to leading or trailing words."""
-    exact = F.filter(available, lambda a: _squeezed(a) == _squeezed(wanted))
+    """Whether exactly one of the available columns is named loosely as ``wanted``: the same
+    letters and digits (squeezed once per column of a table, not per config), else equal up to
+    leading or trailing words."""
+    exact = F.filter(available, lambda a: a["squeezed"] == wanted["squeezed"])
 
     def extends(longer: Column, shorter: Column) -> Column:
         return F.startswith(longer, F.concat(shorter, F.lit("_"))) | F.endswith(
             longer, F.concat(F.lit("_"), shorter)
         )
 
-    near = F.filter(available, lambda a: extends(a, wanted) | extends(wanted, a))
+    near = F.filter(available, lambda a: extends(a["name"], wanted["name"]) | extends(wanted["name"], a["name"]))
     return F.when(F.size(exact) > 0, F.size(exact) == 1).otherwise(F.size(near) == 1)
 
 
@@ -127,12 +129,12 @@ def validate(configs: DataFrame, columns: DataFrame) -> DataFrame:
             F.filter("s_cols", lambda s: s["name"] == mark), lambda s: s["type"]
         ), F.lit(0),
     )
-    unmapped = F.filter(
-        F.transform(F.filter("t_cols", lambda t: ~t["has_default"]), lambda t: t["name"]),
-        lambda t: ~F.array_contains(mapped, t) & ~F.array_contains(ruled, t)
-        & ~F.array_contains(F.col("s_names"), t)
-        & ~_similar(t, F.array_except(F.col("s_names"), F.col("t_names"))),
-    )
+    # names are told apart first: only the few that are left are compared loosely
+    open_ = F.filter("t_cols", lambda t: (
+        ~t["has_default"] & ~F.array_contains(mapped, t["name"]) & ~F.array_contains(ruled, t["name"])
+        & ~F.array_contains(F.col("s_names"), t["name"])))
+    free = F.filter("s_cols", lambda s: ~F.array_contains(F.col("t_names"), s["name"]))
+    unmapped = F.transform(F.filter(open_, lambda t: ~_similar(t, free)), lambda t: t["name"])
     rule_inputs = F.flatten(F.transform("rules", lambda r: r["inputs"]))
     no_rules = _blank(F.col("params.transformations.nl_rules")) & (F.size("rules") == 0)
     none = F.array().cast("array<string>")

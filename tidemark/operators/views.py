@@ -132,9 +132,11 @@ def recent_outcomes(configs: DataFrame, k: int = 20) -> DataFrame:
     )
 
 
-def run_durations(run_log: DataFrame, now: str, days: int = 1, k: int | None = 20) -> DataFrame:
-    """Duration of the latest runs of a period; ``k`` is the length of the report."""
-    recent = since(run_log, "run_start_at", now, 24 * days).select(
+def run_durations(run_log: DataFrame, now: str, days: int = 1, k: int | None = 20,
+                  task_name: str | None = None) -> DataFrame:
+    """Duration of the latest runs of a period, of all tasks or of one; ``k`` is the length of the report."""
+    wanted = run_log if task_name is None else run_log.where(F.col("task_name") == task_name)
+    recent = since(wanted, "run_start_at", now, 24 * days).select(
         "run_id", "task_name", "status", "run_start_at", "run_end_at", "error_message",
         boundary_diff("second", "run_start_at", "run_end_at").alias("duration_secs"),
     )

@@ -144,6 +144,42 @@ def run_pipeline(
         raise
 
 
+class NotDeployed(RuntimeError):
+    """A stored configuration is unknown, or its status does not allow a run."""
+
+
+def run_stored(
+    spark: SparkSession,
+    control: ControlTables,
+    pipeline_id: str,
+    target_schema: T.StructType,
+    target: Target | None = None,
+    now: dt.datetime | str | None = None,
+    source: DataFrame | None = None,
+    **options,
+) -> RunResult:
+    """Run a pipeline from its stored configuration, rules included. It must be DEPLOYED; a run that
+    breaks moves it to FAILED, from where a reset and a new approval lead back. Without ``target`` it is a
+    folder named by the configuration, of the kind that its strategy needs."""
+    row = control.config(pipeline_id)
+    if row is None or row["status"] != "DEPLOYED":
+        raise NotDeployed(f"{pipeline_id} is {'unknown' if row is None else row['status']}")
+    cfg = PipelineConfig.from_params(pipeline_id, row["pipeline_params"])
+    if target is None:
+        target = {
+            "INCREMENTAL": lambda: AppendTarget(spark, cfg.target_table, target_schema),
+            "FULL_LOAD": lambda: ReplaceTarget(spark, cfg.target_table, target_schema),
+            "CDC": lambda: MergeTarget(spark, cfg.target_table, target_schema, cfg.merge_keys),
+        }[cfg.strategy]()
+    try:
+        return run_pipeline(spark, cfg, target_schema, target, control, now, source, **options)
+    except QualityError:
+        raise  # a stopped batch is logged; the pipeline stays deployed
+    except Exception as e:
+        control.event(pipeline_id, "fail", _clock(now), message=str(e)[:2000])
+        raise
+
+
 def _clock(now: dt.datetime | str | None) -> str:
     return str(now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
 

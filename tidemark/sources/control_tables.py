@@ -101,6 +101,11 @@ class ControlTables:
     def configs(self) -> DataFrame:
         return self.apply().configs
 
+    def config(self, pipeline_id: str):
+        """One pipeline's current row, or None."""
+        one = F.col("pipeline_id") == pipeline_id
+        return apply_events(self.log("configs").where(one), self.log("events").where(one)).configs.first()
+
     def decommission(self, pipeline_id: str, at: str) -> str:
         """Close a pipeline and remove its mark."""
         outcome = self.event(pipeline_id, "decommission", at)

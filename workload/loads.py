@@ -489,3 +489,29 @@ qualify row_number() over (partition by user_id order by event_id % 7 desc, floo
 def stream_by_number(spark: SparkSession, sf: str) -> DataFrame:
     """Three items of an order that is no time, in both directions."""
     return _streamed_users(spark, sf, "event_id % 7 DESC, floor(value), event_id DESC", "stream-number")
+
+
+@query("f8_submit_to_run", events_sql(_AFTER))
+def submit_to_run(spark: SparkSession, sf: str) -> DataFrame:
+    """From a submitted configuration to loaded rows: submit, approve, deploy, seed the mark, run twice. All
+    that the runs know comes from the stored document."""
+    from tidemark.config import config_rows
+    from tidemark.plans.runner import NotDeployed, run_stored
+
+    root = scratch_folder(spark, "submit-to-run")
+    control = ControlTables(spark, f"{root}/control")
+    schema, pid = ddl(EVENTS_DDL), "ETL_EVENTS_001"
+    control.submit(config_rows(spark, [events_config()], NOW, "ann"))
+    target = AppendTarget(spark, f"{root}/events_clean", schema)
+    source = table(spark, sf, "events")
+    try:
+        run_stored(spark, control, pid, schema, target, NOW, source)
+        raise AssertionError("ran before it was deployed")
+    except NotDeployed:
+        pass
+    control.event(pid, "approve", NOW, "bob", "LOAD", "TASK_EVENTS")
+    control.event(pid, "deploy", NOW)
+    control.seed_marks(NOW)
+    for hour in (1, 2):
+        run_stored(spark, control, pid, schema, target, f"2024-02-01 0{hour}:00:00", source)
+    return target.read()
