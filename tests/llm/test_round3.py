@@ -303,3 +303,61 @@ def test_repeats_in_a_long_text(spark, monkeypatch):
     every = [(1, prose(90, 900)), (2, prose(91, 40)), (3, prose(90, 900)[500:2500] + prose(92, 200) + prose(91, 40))]
     got = {r[0]: tuple(r[1:]) for r in suffix_dedup.report(table(spark, [(*r, "s") for r in every])).collect()}
     assert got == repeats(every)
+
+
+# hosts, samples, clashing names --------------------------------------------------------------------
+
+def test_registered_domains(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import url_filters as U
+    hosts = ["a.co.uk", "b.co.uk", "x.a.co.uk:8080", "co.uk", "a.b.example.com", "example.com", "localhost", "", "x.com:80"]
+    df = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", U.domain_of(F.col("h")).alias("d"), U.suffix_of(F.col("h")).alias("s"))
+    assert [(r["d"], r["s"]) for r in df.collect()] == [
+        ("a.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("a.co.uk", "co.uk"), ("co.uk", "co.uk"), ("example.com", "com"),
+        ("example.com", "com"), ("localhost", "localhost"), ("", ""), ("x.com", "com")]
+
+
+def test_reputation_decides_where_no_rule_does(spark):
+    from tidemark.llm import url_filters as U
+    urls = [f"http://bad.example.org/{i}" for i in range(40)] + [f"http://fine{i % 5}.example.org/{i}" for i in range(200)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    outcomes = pages.select(U.parts(pages.url)[0].alias("host"), (pages.page_id < 38).cast("int").alias("bad"))
+    got = U.judge(pages, [U.Rule("com/", "allow")], outcomes).collect()
+    assert {r["verdict"] for r in got if r["host"] == "bad.example.org"} == {"block"}
+    assert {r["verdict"] for r in got if r["host"] != "bad.example.org"} == {"allow"}
+    words = ["http://www.cheap-PILLS.example.org/x", "http://spills.example.org/", "http://x.example.org/a?ads=1", None]
+    df = spark.createDataFrame([(w,) for w in words], "url string")
+    assert [r["bad"] for r in U.outcomes_by_words(df).collect()] == [1, 0, 1, 0]
+
+
+def test_a_fit_keeps_one_text_per_id(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import base
+    docs = table(spark, [(1, f"text {i}", "s") for i in range(50)] + [(2, "b", "s"), (3, None, "s")])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0), (3, 1), (None, 1), (4, None)], "doc_id long, toxic int")
+    got = base.labelled_texts(docs, base.fit_sample(labels, "toxic", F.lit(True)), "test").collect()
+    assert sorted((r["doc_id"], r["label"], r["text"]) for r in got) == [(1, 1, "text 0"), (2, 0, "b"), (3, 1, "")]
+
+
+def test_equal_rows_do_not_leave_a_group_without_estimate(spark):
+    from tidemark.llm import quality_rules
+    same = prose(300, 80, [f"w{i}" for i in range(60)])
+    rows = [(7, same, "s")] * 3000
+    got = quality_rules.judge(table(spark, rows)).collect()
+    assert all(r["distance"] is not None for r in got if not r["base_failed"]) and not got[0]["base_failed"]
+
+
+def test_stages_let_any_column_name_through(spark):
+    from tidemark.llm import decontamination, jaccard_join, line_quality
+    a = prose(400, 60)
+    rows = [(1, a, 1), (2, a, 2), (3, "", 3), (4, None, 4), (None, prose(401, 50), 5)]
+    model = line_quality.fit(table(spark, []), spark.createDataFrame([], "doc_id long, quality int"), __import__("pyspark").sql.functions.lit(True))
+    bench = spark.createDataFrame([], "item_id long, text string")
+    for name in ("_own", "_k", "_n", "own", "key", "row", "n", "root", "set_id", "a.b", "_spans"):
+        df = spark.createDataFrame(rows, f"doc_id long, text string, `{name}` int")
+        got = sorted(r[2] for r in jaccard_join.one_of_each(df).collect())
+        assert got == [1, 3, 4, 5], name
+        assert line_quality.accept(df, model, 0.0).columns == df.columns == decontamination.drop(df, bench).columns
+    assert line_quality.accept(df, model, 0.0).count() == 5 and decontamination.drop(df, bench).count() == 5

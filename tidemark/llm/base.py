@@ -43,10 +43,13 @@ def fit_sample(labels: DataFrame, label: str, learn: Column, bound: int = FIT_RO
 
 
 def labelled_texts(docs: DataFrame, sample: DataFrame, purpose: str) -> DataFrame:
-    """(doc_id, label, text) of the sampled documents, stored. The sample is bounded, hence the hint."""
+    """(doc_id, label, text) of the sampled documents, stored. The sample is bounded, hence the hint.
+
+    An id with several rows counts with its least text, so the sample bounds texts as well as ids.
+    """
     small = F.broadcast(sample.withColumnRenamed("doc_id", "_id"))
     return stored(
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .join(small, F.col("doc_id") == F.col("_id")).select("doc_id", "label", "text"),
+        .join(small, F.col("doc_id") == F.col("_id")).groupBy("doc_id", "label").agg(F.min("text").alias("text")),
         purpose,
     )

@@ -251,7 +251,11 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark passage, all columns as they are."""
+    """The rows of ``docs`` whose text holds no benchmark passage, all columns as they are.
+
+    Null, empty and short texts stay, repeated rows are judged each, columns of any name come through, an
+    empty table gives no rows; with an empty benchmark all rows stay.
+    """
     out = docs
     for index in _blocks(benchmark):
         def run(batches: Iterable[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:

@@ -425,26 +425,29 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that are the first of their group (see ``groups``), all columns as they are.
 
-    First is the least (doc_id, text); of repeated rows all but one go. Rows without shingles stay.
+    First is the least (doc_id, set of shingles); of repeated rows all but one go, a tie between texts of one id
+    and set falls to the least text. Rows without shingles (null, empty or blank texts) stay. A null id is the
+    least; columns of any name come through; an empty table gives no rows.
     """
     rows = _labelled(docs, k, percent)
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(key.alias("k"), "set_id")).alias("f")).select(
-        F.col("f.k").alias("_k"), F.col("f.set_id").alias("_own"))
-    bare = rows.where("root is null").select(key.alias("_k"), F.lit(0).cast("long").alias("_own")).distinct()
+        F.col("f.k").alias("key"), F.col("f.set_id").alias("own"))
+    bare = rows.where("root is null").select(key.alias("key"), F.lit(0).cast("long").alias("own")).distinct()
 
     def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             tokens, at = shingle_sets(text_column(batch), k)
             ids = np.where(np.diff(at) > 0, _set_ids(tokens, at).view(np.int64), 0)
-            yield batch.append_column("_own", pa.array(ids, pa.int64()))
+            yield batch.append_column("own", pa.array(ids, pa.int64()))
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_own", T.LongType())])
-    keyed = docs.mapInArrow(named, schema).withColumn("_k", key)
-    kept = keyed.join(first.union(bare), ["_k", "_own"], "left_semi")
+    # each row travels as one struct, so that no column name of its own can clash
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), "text")
+    schema = T.StructType([*whole.schema.fields, T.StructField("own", T.LongType())])
+    kept = whole.mapInArrow(named, schema).join(first.union(bare), ["key", "own"], "left_semi")
     # equal rows share key and set, and lie in one partition already: one stays
-    return kept.withColumn("_n", F.row_number().over(W.partitionBy("_k", "_own").orderBy("text"))) \
-        .where((F.col("_n") == 1) | (F.col("_own") == 0)).select(docs.columns)
+    return kept.withColumn("n", F.row_number().over(W.partitionBy("key", "own").orderBy("text"))) \
+        .where((F.col("n") == 1) | (F.col("own") == 0)).select("row.*")
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -126,15 +126,18 @@ def fit(docs: DataFrame, learn: Column) -> Model:
         .where(F.col("_n") <= PER_LANGUAGE).orderBy("_n", *order).limit(FIT_ROWS)
     )
     small = F.broadcast(ids.select(F.col("doc_id").alias("_id")).distinct())  # at most FIT_ROWS ids
-    texts = stored(known.select("doc_id", "lang", "text").join(small, F.col("doc_id") == F.col("_id"), "left_semi"),
-                   "language-texts")
+    # one text, the least, per id and language: the bound on ids bounds texts
+    texts = stored(known.select("doc_id", "lang", "text").join(small, F.col("doc_id") == F.col("_id"), "left_semi")
+                   .groupBy("doc_id", "lang").agg(F.min("text").alias("text")), "language-texts")
 
     def present(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs_in, total = np.zeros(CELLS), 0
         for batch in (part for whole in batches for part in slices(whole)):
-            n, has = counts(text_column(batch).to_pylist())
-            docs_in += (n > 0).sum(0)
-            total += int(has.sum())
+            part = text_column(batch).to_pylist()
+            for i in range(0, len(part), _CHUNK):
+                n, has = counts(part[i: i + _CHUNK])
+                docs_in += (n > 0).sum(0)
+                total += int(has.sum())
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(-1, CELLS)), pa.array(np.concatenate([[total], docs_in]).astype(np.int64))],
             names=["cell", "n"])
@@ -147,8 +150,11 @@ def fit(docs: DataFrame, learn: Column) -> Model:
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "text"])
-        n, has = counts(rows["text"].tolist())
-        v = vectors(n[has], idf)
+        some = []
+        for i in range(0, len(rows), _CHUNK):
+            n, has = counts(rows["text"].iloc[i: i + _CHUNK].tolist())
+            some.append(vectors(n[has], idf))
+        v = np.concatenate(some) if some else np.zeros((0, CELLS))
         if not len(v):
             return pd.DataFrame({"lang": [], "centroid": [], "radius": []})
         c, own = cluster(v, CENTROIDS)

@@ -226,7 +226,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accept(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows of ``docs`` whose score is ``least`` or more, all columns as they are."""
+    """The rows of ``docs`` whose score is ``least`` or more, all columns as they are.
+
+    Null and empty texts have the score of quality 0, repeated rows are judged each, null ids are no matter,
+    columns of any name come through, an empty table gives no rows.
+    """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             mean, _, _ = model.quality(text_column(batch))

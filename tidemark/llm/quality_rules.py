@@ -232,14 +232,15 @@ def _step(spread: DataFrame, groups: DataFrame) -> DataFrame:
 def estimates(rows: DataFrame) -> DataFrame:
     """Robust centre and inverse per (lang, source), per lang and overall; ``rows``: doc_id, lang, source, x.
 
-    Groups of fewer than LEAST texts are left out, but not that of all texts.
+    Groups of fewer than LEAST texts are left out, but not that of all texts. The dice are thrown per row, so
+    equal rows are not drawn together: a sample holds about SAMPLE texts whatever a group is made of.
     """
     none = F.lit(None).cast("string")
     levels = F.array(
         F.struct(F.lit(0).alias("level"), F.col("lang"), F.col("source")),
         F.struct(F.lit(1).alias("level"), F.col("lang"), none.alias("source")),
         F.struct(F.lit(2).alias("level"), none.alias("lang"), none.alias("source")))
-    spread = rows.select(F.explode(levels).alias("g"), "x", F.xxhash64("doc_id", "x").alias("dice")).select("g.*", "x", "dice")
+    spread = rows.select(F.explode(levels).alias("g"), "x", F.xxhash64(F.monotonically_increasing_id()).alias("dice")).select("g.*", "x", "dice")
     members = stored(spread.groupBy(*_GROUP).agg(F.count("*").alias("members")).where(
         (F.col("level") == 2) | (F.col("members") >= LEAST)), "outlier-members")
     sample = _match(spread, members).where(F.pmod("dice", F.lit(1 << 30)) * F.col("members") < F.lit(SAMPLE << 30))

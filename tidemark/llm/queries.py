@@ -130,7 +130,9 @@ URL_RULES = [
 
 OP2_SQL = r"""
 with parts as (
-    select page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1),
+    select page_id, regexp_matches(translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '(^|[^a-z0-9])(adult|porn|casino|betting|pills|viagra|ads|malware|phishing)([^a-z0-9]|$)')::int bad,
+        translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
         regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) path from pages),
 ruled as (
@@ -142,10 +144,15 @@ ruled as (
         when (host = 'com' or suffix(host, '.com')) and prefix(path, '/') then 'com/' end rule from parts),
 marked as (
     select *, case when rule in ('www.example.com/en/', 'com/') then 'allow' when rule is not null then 'block' end ruled from ruled),
-hosts as (
-    select host, count(*)::double n, sum((coalesce(ruled, '') = 'block')::int)::double k,
-        array_to_string(string_split(host, '.')[-2:], '.') dom, string_split(host, '.')[-1] suf
+labels as (
+    select host, count(*)::double n, sum(bad)::double k, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') l,
+        array_to_string(l[-2:], '.') in ('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.nz', 'co.jp',
+            'ne.jp', 'or.jp', 'com.br', 'com.cn', 'com.mx', 'com.tr', 'co.in', 'co.kr', 'co.za') two
     from marked group by host),
+hosts as (
+    select host, n, k, array_to_string(case when two then l[-3:] else l[-2:] end, '.') dom,
+        array_to_string(case when two then l[-2:] else l[-1:] end, '.') suf
+    from labels),
 doms as (select dom, suf, sum(n) n, sum(k) k from hosts group by all),
 sufs as (select suf, sum(n) n, sum(k) k from doms group by all),
 s0 as (select *, (select (sum(k) + 0.5) / (sum(n) + 1) from sufs) p from sufs),

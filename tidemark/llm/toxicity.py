@@ -28,8 +28,9 @@ from tidemark.llm.base import fit_sample, labelled_texts, stored
 from tidemark.llm.textarrays import shingle_sets, slices, text_column
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: Size of the Dirichlet prior in documents, and standard errors below the estimate.
-PRIOR = 1000.0
+#: Size of the Dirichlet prior in documents at most, its share of the sample at most, and standard errors
+#: below the estimate. On few labels a larger prior would hide every word.
+PRIOR, PRIOR_SHARE = 1000.0, 0.1
 ERRORS = 2.5
 #: What a word outside the lexicon costs.
 COST = 0.1
@@ -122,13 +123,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic")
         F.sum(F.when(F.col("label") == 0, F.col("x.n")).otherwise(0)).alias("t0"),
     ).where((F.col("y1") >= 3) & (F.col("y1") * clean[0] > F.col("y0") * toxic[0])).toPandas()
     y1, y0 = counts["y1"].to_numpy(float), counts["y0"].to_numpy(float)
-    prior = PRIOR * (y1 + y0) / (clean[0] + toxic[0])
-    odds = (np.log((y1 + prior) / (toxic[0] + PRIOR - y1 - prior).clip(1e-9))
-            - np.log((y0 + prior) / (clean[0] + PRIOR - y0 - prior).clip(1e-9)))
+    size = min(PRIOR, PRIOR_SHARE * (clean[0] + toxic[0]))
+    prior = size * (y1 + y0) / (clean[0] + toxic[0])
+    odds = (np.log((y1 + prior) / (toxic[0] + size - y1 - prior).clip(1e-9))
+            - np.log((y0 + prior) / (clean[0] + size - y0 - prior).clip(1e-9)))
     bound = odds - ERRORS * np.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
     keep = bound > COST
     lexicon = dict(zip(counts["word"][keep], bound[keep].tolist(), strict=True))
-    share = (counts["t0"].to_numpy(float)[keep] + prior[keep] / PRIOR) / max(1, clean[1])
+    share = (counts["t0"].to_numpy(float)[keep] + prior[keep] / size) / max(1, clean[1])
     rate = _rate(share, bound[keep])
     apart = _apart(texts, once, lexicon)
     model = Model(lexicon, rate, 1.0, 1.0, 0.0)

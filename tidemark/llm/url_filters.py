@@ -61,13 +61,38 @@ def ruled(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     return out.withColumn("rule", rule).withColumn("ruled", verdict)
 
 
+# Public suffixes of two labels, and words whose presence in a url marks a bad outcome.
+TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp",
+                      "or.jp", "com.br", "com.cn", "com.mx", "com.tr", "co.in", "co.kr", "co.za")
+BAD_WORDS = ("adult", "porn", "casino", "betting", "pills", "viagra", "ads", "malware", "phishing")
+
+
+def _bare(host: Column) -> Column:
+    """A host without its port, which says nothing about who runs it."""
+    return F.regexp_replace(host, ":[0-9]*$", "")
+
+
+def _long_suffix(host: Column) -> Column:
+    return F.substring_index(_bare(host), ".", -2).isin(*TWO_LABEL_SUFFIXES)
+
+
 def domain_of(host: Column) -> Column:
-    """The last two labels of a host (registered domain under one-label suffixes)."""
-    return F.substring_index(host, ".", -2)
+    """The registered domain of a host: its suffix and the label before it."""
+    return F.when(_long_suffix(host), F.substring_index(_bare(host), ".", -3)).otherwise(
+        F.substring_index(_bare(host), ".", -2))
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """The last label of a host, or the last two where they are a suffix of two labels."""
+    return F.when(_long_suffix(host), F.substring_index(_bare(host), ".", -2)).otherwise(
+        F.substring_index(_bare(host), ".", -1))
+
+
+def outcomes_by_words(pages: DataFrame, words: tuple[str, ...] = BAD_WORDS) -> DataFrame:
+    """(host, bad) of each page: bad if its url holds one of the words, set off by anything but a-z and 0-9."""
+    lower = F.translate(F.coalesce("url", F.lit("")), _UPPER, _LOWER)
+    found = lower.rlike("(^|[^a-z0-9])(" + "|".join(words) + ")([^a-z0-9]|$)")
+    return pages.select(parts(F.col("url"))[0].alias("host"), found.cast("int").alias("bad"))
 
 
 def _strength(children: DataFrame) -> DataFrame:
@@ -118,15 +143,14 @@ def judge(pages: DataFrame, rules: list[Rule], outcomes: DataFrame | None = None
     """One row per row of ``pages`` (page_id, url): page_id, host, path, rule, verdict, and the host's
     ``low`` bound where no rule decides.
 
-    ``outcomes`` (host, bad) are the labelled pages; by default every page, bad if a rule blocks it, so
-    that a host's rate is the share of its pages that rules block. Null urls have an empty host and
-    count as one host. Repeated rows are judged each; other columns are not read;
-    an empty table gives no rows.
+    ``outcomes`` (host, bad) are the labelled pages, of these or of other pages; by default
+    ``outcomes_by_words``. The rules' own verdicts are no outcomes. A host is taken as written, with its port; domain and
+    suffix are found without it. Null urls have an empty host and count as one host. Repeated rows are judged
+    each; other columns are not read; an empty table gives no rows.
     """
     rows = ruled(pages, rules)
-    labels = rows.select("host", F.coalesce(F.col("ruled") == "block", F.lit(False)).cast("int").alias("bad"))
-    if outcomes is not None:
-        labels = labels.select("host", F.lit(None).cast("int").alias("bad")).union(outcomes.select("host", "bad"))
+    labels = rows.select("host", F.lit(None).cast("int").alias("bad")).union(
+        (outcomes_by_words(pages) if outcomes is None else outcomes).select("host", "bad"))
     known = reputation(labels).select(F.col("host").alias("_host"), "low")
     judged = rows.join(known, F.col("host") == F.col("_host"), "left")
     by_host = F.when(F.col("low") > THRESHOLD, "block").otherwise("allow")
