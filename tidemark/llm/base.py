@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import stored
+from tidemark.llm.textarrays import slices
 from tidemark.sources.tables import read
 
-__all__ = ["FIT_ROWS", "fit_sample", "fold", "labelled_texts", "stored", "table"]
+__all__ = ["FIT_ROWS", "fit_sample", "fold", "kept_in_worker", "kept_rows", "labelled_texts", "stored", "table"]
 
 #: Labelled documents that one classifier is fitted on, at most.
 FIT_ROWS = 16_000
@@ -53,3 +62,29 @@ def labelled_texts(docs: DataFrame, sample: DataFrame, purpose: str) -> DataFram
         .join(small, F.col("doc_id") == F.col("_id")).groupBy("doc_id", "label").agg(F.min("text").alias("text")),
         purpose,
     )
+
+
+def kept_in_worker(name: str, key: object, make: Callable):
+    """A value made once per Python worker and key; the latest of each name is kept. Functions travel by value,
+    so globals of these modules would not outlive a task."""
+    home = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker"))
+    held = getattr(home, name, None)
+    if held is None or held[0] != key:
+        held = (key, make())
+        setattr(home, name, held)
+    return held[1]
+
+
+def kept_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` whose texts (null: empty) ``keep`` says True of, all columns as they are.
+
+    Each row travels as one struct: whatever its columns are called, none clashes.
+    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            text = pc.fill_null(pc.struct_field(whole.column(0), "text"), "")
+            for part in slices(pa.record_batch([whole.column(0), text], names=["row", "text"])):
+                yield part.select(["row"]).filter(pa.array(keep(part.column(1)), pa.bool_()))
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")

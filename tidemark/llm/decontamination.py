@@ -9,7 +9,8 @@ Letters A-Z count as a-z and white space bytes as blanks. Items longer than WIND
 windows that overlap by half. Items longer than PIECE are also searched in pieces of PIECE bytes, one
 every STRIDE: a copied part of PIECE + STRIDE - 1 bytes holds a whole piece. Pieces count in texts where
 the item is not found by its whole text or windows. The items are taken in blocks of bounded size; each
-block is one pass over the documents, without a shuffle.
+block is one pass over the documents, without a shuffle. Tasks are sent a block's items and build their index
+from them, once per worker.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.base import kept_in_worker, kept_rows
 from tidemark.llm.textarrays import LOWER, SPACE, as_bytes, slices, text_column
 
 Q = 8
@@ -30,13 +32,13 @@ PIECE, STRIDE = 96, 32
 #: Edits per byte that a passage may have, and the shortest item that is evidence of anything.
 EDITS = 0.06
 SHORTEST = 24
-#: Benchmark bytes per pass.
-BLOCK_BYTES = 4 << 20
+#: Benchmark bytes per pass: an index takes some 80 bytes for each.
+BLOCK_BYTES = 1 << 20
 #: Shared q-grams looked at in one go (a text with more goes alone), and the numbers of (text, passage)
 #: that fit a key above the 34 bits of a band.
 HITS, PAIRS = 4 << 20, 1 << 29
 _U = np.uint64
-_TABLE_BITS = 21
+_TABLE_BITS = 23
 _FOLD = LOWER.copy()
 _FOLD[SPACE] = 0x20
 
@@ -208,18 +210,22 @@ def align(passage: np.ndarray, text: np.ndarray, low: int, high: int, k: int) ->
     return max(0, int(start[c])), int(end[c]), int(cost[c])
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes over the items, a bounded number of bytes each."""
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items, a bounded number of bytes at a time."""
     items, size = [], 0
     rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
     for r in rows.toLocalIterator():
         items.append((r["item_id"], r["text"]))
         size += len(r["text"].encode())
         if size >= BLOCK_BYTES:
-            yield Index.of(items)
+            yield items
             items, size = [], 0
     if items:
-        yield Index.of(items)
+        yield items
+
+
+def _index(items: list[tuple[int, str]]) -> Index:
+    return kept_in_worker("benchmark", items, lambda: Index.of(items))
 
 
 _HITS = "doc_id long, item_id long, start long, end long, edits long"
@@ -233,8 +239,9 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items count once, other columns are not read; empty tables give no rows.
     """
     out = docs.sparkSession.createDataFrame([], _HITS)
-    for index in _blocks(benchmark):
-        def run(batches: Iterable[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+    for items in _blocks(benchmark):
+        def run(batches: Iterable[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
+            index = _index(items)
             for batch in (part for whole in batches for part in slices(whole)):
                 found = index.search(text_column(batch))
                 ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
@@ -257,12 +264,11 @@ def drop(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     empty table gives no rows; with an empty benchmark all rows stay.
     """
     out = docs
-    for index in _blocks(benchmark):
-        def run(batches: Iterable[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for batch in (part for whole in batches for part in slices(whole)):
-                keep = np.ones(batch.num_rows, bool)
-                keep[[f[0] for f in index.search(text_column(batch))]] = False
-                yield batch.filter(pa.array(keep))
+    for items in _blocks(benchmark):
+        def clean(texts: pa.Array, items: list = items) -> np.ndarray:
+            keep = np.ones(len(texts), bool)
+            keep[[f[0] for f in _index(items).search(texts)]] = False
+            return keep
 
-        out = out.mapInArrow(run, docs.schema)
+        out = kept_rows(out, clean)
     return out

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import fit_sample, labelled_texts
+from tidemark.llm.base import fit_sample, kept_rows, labelled_texts
 from tidemark.llm.textarrays import LOWER, SPACE, as_bytes, slices, span_hashes, text_column, word_bounds
 from tidemark.llm.toxicity import logistic
 
@@ -154,7 +154,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality") -> Model:
-    """Learn from at most FIT_DOCS labelled documents with at most FIT_LINES lines each."""
+    """Learn from at most FIT_DOCS labelled documents, those of more than FIT_LINES lines left out of the fit."""
     texts = labelled_texts(docs, fit_sample(labels, label, learn, FIT_DOCS), "quality-texts")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,9 +231,4 @@ def accept(docs: DataFrame, model: Model, least: float) -> DataFrame:
     Null and empty texts have the score of quality 0, repeated rows are judged each, null ids are no matter,
     columns of any name come through, an empty table gives no rows.
     """
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
-            mean, _, _ = model.quality(text_column(batch))
-            yield batch.filter(pa.array(model.probability(mean) >= least))
-
-    return docs.mapInArrow(run, docs.schema)
+    return kept_rows(docs, lambda texts: model.probability(model.quality(texts)[0]) >= least)

@@ -20,18 +20,16 @@ from __future__ import annotations
 
 import json
 import re
-import sys
-import types
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import stored
+from tidemark.llm.base import kept_in_worker, stored
 from tidemark.llm.textarrays import as_bytes, equal_spans, slices, span_hashes, text_column
 
 #: Entries of the broadcast table and of a worker's cache, and the longest pre-token that either holds, in bytes.
@@ -44,14 +42,6 @@ STRETCH = 1 << 19
 _U = np.uint64
 
 
-def _kept(name: str, make: Callable):
-    """A value made once per worker process; functions travel by value, so module globals would not last."""
-    home = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
-
-
 # Classes of characters.
 SPACE, LETTER, NUMBER, OTHER, UNASSIGNED = range(5)
 
@@ -251,7 +241,7 @@ def _vocabulary(path: str | None) -> Vocabulary:
     import public_tokenizers as public
 
     where = path or public.path("byte_bpe_50k.json")
-    return _kept(f"vocabulary {where}", lambda: Vocabulary(where))
+    return kept_in_worker("vocabulary", where, lambda: Vocabulary(where))
 
 
 def frequent(docs: DataFrame, path: str | None = None, sample: int = SAMPLE) -> Table:
