@@ -128,3 +128,27 @@ def test_stored_runs_into_a_folder_of_their_strategy(spark, folder):
     assert run_stored(spark, control, cfg.pipeline_id, demo.TRANSACTIONS_CLEAN, now="2024-02-01",
                       source=demo.transactions_raw(spark)).rows == 13
     assert AppendTarget(spark, cfg.target_table, demo.TRANSACTIONS_CLEAN).read().count() == 13
+
+
+def test_declared_constraints_stop_a_run(spark, folder):
+    from tidemark.operators.quality import QualityError
+    from tidemark.plans.runner import run_pipeline
+    from tidemark.sources.targets import ReplaceTarget
+
+    schema = ddl("id bigint not null, v varchar(3)")
+    control = ControlTables(spark, f"{folder}/c")
+    cfg = PipelineConfig("P", "p", "s", "t", "FULL_LOAD", error_tolerance_pct=100.0)
+    target = ReplaceTarget(spark, f"{folder}/t", schema)
+    good = spark.createDataFrame([(1, "abc"), (2, None), (3, "äöü")], "id bigint, v string")
+    assert run_pipeline(spark, cfg, schema, target, control, "2024-02-01", good).rows == 3
+    for hour, (row, text) in enumerate((((None, "a"), "NOT_NULL_FAIL: col=id rows=1"), ((4, "abcd"), "WIDTH_FAIL: col=v rows=1"))):
+        with pytest.raises(QualityError, match=text):
+            run_pipeline(spark, cfg, schema, target, control, f"2024-02-02 0{hour}:00:00", good.union(
+                spark.createDataFrame([row], "id bigint, v string")))
+    assert target.read().count() == 3
+    # a deleted change may hold nothing but its key
+    cdc = PipelineConfig("Q", "q", "s", "t", "CDC", merge_keys=("id",), delete_flag_col="gone")
+    merged = MergeTarget(spark, f"{folder}/m", ddl("id bigint not null, v varchar(3) not null"), ["id"], 2)
+    rows = spark.createDataFrame([(1, "a", False), (2, None, True)], "id bigint, v string, gone boolean")
+    run_pipeline(spark, cdc, ddl("id bigint not null, v varchar(3) not null"), merged, control, "2024-02-03", rows)
+    assert merged.read().count() == 1

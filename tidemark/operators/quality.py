@@ -9,27 +9,47 @@ same code serves a lazy report and metrics observed while a batch is written.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.aggregates import null_counts
 from tidemark.operators.dedup import duplicate_keys
+from tidemark.schema import required, widths
 
 ROWS = "rows_loaded"
 
 
+@dataclass(frozen=True)
+class Declared:
+    """What a target declares of its columns: those that are NOT NULL, and text widths."""
+
+    required: tuple[str, ...] = ()
+    widths: tuple[tuple[str, int], ...] = ()
+
+    @classmethod
+    def of(cls, schema: T.StructType) -> Declared:
+        return cls(tuple(required(schema)), tuple(widths(schema).items()))
+
+
 class QualityError(RuntimeError):
     """A batch missed its thresholds."""
 
 
-def metrics(null_cols: Sequence[str] = (), cast_checks: Sequence[str] = ()) -> list[Column]:
+def metrics(null_cols: Sequence[str] = (), cast_checks: Sequence[str] = (),
+            declared: Declared = Declared(), live: Column | None = None) -> list[Column]:
     """Aggregates for ``agg`` or ``observe``. ``cast_checks`` names boolean
-    columns that are true where a cast lost a value."""
+    columns that are true where a cast lost a value; ``declared`` are the target's
+    constraints, counted over ``live`` rows (those that will be rows of the target)."""
+    live = F.lit(True) if live is None else live
     return [
         F.count(F.lit(1)).alias(ROWS),
         *[F.count_if(F.col(c).isNull()).alias(f"nulls__{c}") for c in null_cols],
         *[F.count_if(F.col(c)).alias(f"casts__{c}") for c in cast_checks],
+        *[F.count_if(live & F.col(c).isNull()).alias(f"required__{c}") for c in declared.required],
+        *[F.count_if(live & (F.length(F.col(c)) > w)).alias(f"wide__{c}") for c, w in declared.widths],
     ]
 
 
@@ -65,6 +85,17 @@ def cast_issue(name: str, errors: Column, loaded: Column, tolerance: float) -> C
     return F.when(pct > F.lit(float(tolerance)), text)
 
 
+def required_issue(name: str, nulls: Column) -> Column:
+    """A declared NOT NULL has no tolerance."""
+    text = F.concat(F.lit(f"NOT_NULL_FAIL: col={name} rows="), nulls.cast("string"), F.lit("; "))
+    return F.when(nulls > 0, text)
+
+
+def width_issue(name: str, wide: Column, width: int) -> Column:
+    text = F.concat(F.lit(f"WIDTH_FAIL: col={name} rows="), wide.cast("string"), F.lit(f" (width={width}); "))
+    return F.when(wide > 0, text)
+
+
 def qc_detail(issues: Sequence[Column]) -> tuple[Column, Column]:
     """Status and detail text: the issues in their order, or all passed."""
     text = F.concat_ws("", *issues) if issues else F.lit("")
@@ -82,6 +113,7 @@ def verdict(
     min_rows: int,
     cast_checks: Sequence[str] = (),
     rows_loaded: int | None = None,
+    declared: Declared = Declared(),
 ) -> DataFrame:
     """One row of ``metrics`` to ``rows_loaded``, ``status`` and ``detail``.
 
@@ -92,6 +124,8 @@ def verdict(
     issues = [min_rows_issue(loaded, min_rows)]
     issues += [null_issue(c, F.col(f"nulls__{c}"), loaded, tolerance) for c in null_cols]
     issues += [cast_issue(c, F.col(f"casts__{c}"), loaded, tolerance) for c in cast_checks]
+    issues += [required_issue(c, F.col(f"required__{c}")) for c in declared.required]
+    issues += [width_issue(c, F.col(f"wide__{c}"), w) for c, w in declared.widths]
     status, detail = qc_detail(issues)
     return row.select(loaded.cast("long").alias(ROWS), status, detail)
 

@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from tidemark.config import PipelineConfig
 from tidemark.operators import marks as M
 from tidemark.operators.align import Warn
-from tidemark.operators.merge import require_unique
-from tidemark.operators.quality import QualityError, gate, metrics, verdict
+from tidemark.operators.merge import DELETED, require_unique
+from tidemark.operators.quality import Declared, QualityError, gate, metrics, verdict
 from tidemark.plans.loads import (
     Prepared, cdc_changes, load_full, load_incremental, unique_by_dedup,
 )
@@ -81,7 +81,7 @@ def _hook(log: RunLog, which: str, sql: str | None) -> None:
     log.set(**{f"{which}_hook_status": status})
 
 
-def _observed(df: DataFrame, cfg: PipelineConfig, flags: list[str], write,
+def _observed(df: DataFrame, cfg: PipelineConfig, flags: list[str], declared: Declared, write,
               gather: bool = False) -> tuple[dict, str]:
     """Write; returns the metrics of exactly the written rows, and what ``write`` returns.
 
@@ -91,16 +91,17 @@ def _observed(df: DataFrame, cfg: PipelineConfig, flags: list[str], write,
     """
     seen = Observation()
     df = df.hint("rebalance") if gather else df
-    where = write(df.observe(seen, *metrics(cfg.null_check_cols, flags)))
+    live = ~F.coalesce(F.col(DELETED), F.lit(False)) if DELETED in df.columns else None
+    where = write(df.observe(seen, *metrics(cfg.null_check_cols, flags, declared, live)))
     return dict(seen.get), where
 
 
 def _verdict(spark: SparkSession, cfg: PipelineConfig, found: dict, flags: list[str],
-             rows: int, check_casts: bool) -> tuple[str, str]:
+             declared: Declared, rows: int, check_casts: bool) -> tuple[str, str]:
     counts = spark.range(0, 1, 1, 1).select(*[F.lit(v).alias(k) for k, v in found.items()])
     row = verdict(
         counts, cfg.null_check_cols, cfg.error_tolerance_pct, cfg.min_rows_expected,
-        flags if check_casts else (), rows_loaded=rows,
+        flags if check_casts else (), rows_loaded=rows, declared=declared,
     ).first()
     return row["status"], row["detail"]
 
@@ -119,7 +120,9 @@ def run_pipeline(
     batch_id: str | None = None,
 ) -> RunResult:
     """Run once. Raises what went wrong after logging it; a missed threshold
-    raises ``QualityError`` with the run logged as QUALITY_FAIL.
+    raises ``QualityError`` with the run logged as QUALITY_FAIL. So does a row that
+    breaks what ``target_schema`` declares: a NULL in a NOT NULL column, a text wider
+    than its column; they are counted in the same pass.
 
     ``batch_id`` names a change set: a merge that is run again under it gives the same rows, those
     with incomplete keys included. By default it is the pipeline with its mark, or with ``now``.
@@ -225,7 +228,7 @@ def _run(spark, cfg, target_schema, target, log: RunLog, clock, source, gate_ord
     earlier = (F.col("pipeline_id") == cfg.pipeline_id) & F.col("load_key").isNotNull()
     slice_only = incremental and bool(control.log("marks").where(earlier).take(1))
     span = {"load_key": key, "pipeline_id": cfg.pipeline_id, "mark_from": mark_from, "mark_to": upto}
-    rows, status, detail = _load(spark, cfg, batch, target, span, gate_order, check_casts,
+    rows, status, detail = _load(spark, cfg, batch, Declared.of(target_schema), target, span, gate_order, check_casts,
                                  nothing_new, slice_only, log, skip_unchanged, batch_id or key)
 
     if kind is not None:
@@ -240,7 +243,7 @@ def _run(spark, cfg, target_schema, target, log: RunLog, clock, source, gate_ord
     return RunResult(log.run_id, "SUCCESS", rows, detail, mark_from, mark_to, tuple(batch.warnings))
 
 
-def _load(spark, cfg, batch: Prepared, target: Target, span: dict, gate_order, check_casts, nothing_new,
+def _load(spark, cfg, batch: Prepared, declared: Declared, target: Target, span: dict, gate_order, check_casts, nothing_new,
           slice_only, log: RunLog, skip_unchanged, batch_id) -> tuple[int, str, str]:
     """Write, audit, publish; returns affected rows and the verdict.
 
@@ -252,7 +255,7 @@ def _load(spark, cfg, batch: Prepared, target: Target, span: dict, gate_order, c
     first = gate_order == "pre"
 
     def judge(found: dict, rows: int) -> tuple[str, str]:
-        status, detail = _verdict(spark, cfg, found, flags, rows, check_casts)
+        status, detail = _verdict(spark, cfg, found, flags, declared, rows, check_casts)
         log.set(quality_check_status=status, quality_check_detail=detail, rows_processed=rows)
         if first:
             gate(status, detail)
@@ -272,11 +275,12 @@ def _load(spark, cfg, batch: Prepared, target: Target, span: dict, gate_order, c
 
     if nothing_new:
         nothing = ["rows_loaded", *[f"nulls__{c}" for c in cfg.null_check_cols],
-                   *[f"casts__{c}" for c in flags]]
+                   *[f"casts__{c}" for c in flags], *[f"required__{c}" for c in declared.required],
+                   *[f"wide__{c}" for c, _ in declared.widths]]
         return 0, *judge(dict.fromkeys(nothing, 0), 0)
 
     if not isinstance(target, MergeTarget):
-        found, folder = _observed(batch.df, cfg, flags, target.stage, slice_only)
+        found, folder = _observed(batch.df, cfg, flags, declared, target.stage, slice_only)
         rows = found["rows_loaded"]
         where = span if isinstance(target, AppendTarget) else {}
         return rows, *audited(found, rows, lambda: target.publish(folder, rows=rows, **where),
@@ -284,7 +288,7 @@ def _load(spark, cfg, batch: Prepared, target: Target, span: dict, gate_order, c
 
     staged_at = scratch_folder(spark, f"stage-{cfg.pipeline_id}")
     try:
-        found, _ = _observed(batch.df, cfg, flags, lambda df: df.write.parquet(staged_at))
+        found, _ = _observed(batch.df, cfg, flags, declared, lambda df: df.write.parquet(staged_at))
         staged = spark.read.schema(batch.df.schema).parquet(staged_at)
         if not unique_by_dedup(cfg):
             require_unique(staged, cfg.merge_keys)

@@ -40,6 +40,11 @@ def widths(schema: T.StructType) -> dict[str, int]:
     return {f.name: w for f in schema.fields if (w := declared_width(f)) is not None}
 
 
+def required(schema: T.StructType) -> list[str]:
+    """Columns declared NOT NULL."""
+    return [f.name for f in schema.fields if not f.nullable]
+
+
 def plain_schema(schema: T.StructType) -> T.StructType:
     """Same columns with storage types, usable for reads and empty frames."""
     return T.StructType(

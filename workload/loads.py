@@ -512,6 +512,40 @@ def submit_to_run(spark: SparkSession, sf: str) -> DataFrame:
     control.event(pid, "approve", NOW, "bob", "LOAD", "TASK_EVENTS")
     control.event(pid, "deploy", NOW)
     control.seed_marks(NOW)
-    for hour in (1, 2):
-        run_stored(spark, control, pid, schema, target, f"2024-02-01 0{hour}:00:00", source)
+    for clock in (NOW, "2024-02-01 01:00:00"):
+        run_stored(spark, control, pid, schema, target, clock, source)
     return target.read()
+
+
+def _stopped_run(spark: SparkSession, name: str, schema, source: DataFrame) -> DataFrame:
+    """Log of a full load that the target's declarations stop."""
+    root = scratch_folder(spark, name)
+    control = ControlTables(spark, f"{root}/control")
+    target = ReplaceTarget(spark, f"{root}/table", schema)
+    cfg = PipelineConfig(pipeline_id="ETL_DECLARED", pipeline_name=name, source_table=name, target_table=name,
+                         strategy="FULL_LOAD")
+    _quietly(lambda: run_pipeline(spark, cfg, schema, target, control, NOW, source))
+    return control.run_log().select("status", "rows_processed", "quality_check_detail",
+                                    F.lit(target.read().count()).cast("long").alias("visible"))
+
+
+@query("q2_not_null_target", """
+select 'QUALITY_FAIL' as status, cast(count(*) as decimal(18,0)) as rows_processed,
+  'NOT_NULL_FAIL: col=custkey rows=' || count(*) filter (o_orderkey % 40 = 0) || '; ' as quality_check_detail,
+  cast(0 as bigint) as visible from orders""")
+def not_null_target(spark: SparkSession, sf: str) -> DataFrame:
+    """NULLs in a column that the target declares NOT NULL."""
+    source = table(spark, sf, "orders").selectExpr(
+        "o_orderkey as orderkey", "case when o_orderkey % 40 = 0 then null else o_custkey end as custkey")
+    return _stopped_run(spark, "not-null", ddl("orderkey bigint not null, custkey bigint not null"), source)
+
+
+@query("m9_width_in_run", """
+select 'QUALITY_FAIL' as status, cast(count(*) as decimal(18,0)) as rows_processed,
+  'WIDTH_FAIL: col=text rows=' || count(*) filter (length(text) > 500) || ' (width=500); WIDTH_FAIL: col=source rows='
+  || count(*) filter (length(source) > 4) || ' (width=4); ' as quality_check_detail, cast(0 as bigint) as visible from documents""")
+def width_in_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts wider than their columns, counted over whole texts."""
+    source = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    schema = ddl("doc_id bigint not null, text varchar(500), lang varchar(8), source varchar(4)")
+    return _stopped_run(spark, "widths", schema, source)
