@@ -40,6 +40,7 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 class Manifest:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, f"{path}/_manifest"
+        self._last: int | None = None
 
     def log(self) -> DataFrame:
         return read_or_empty(self.spark, self.path, T.StructType.fromDDL(MANIFEST_DDL))
@@ -50,9 +51,12 @@ class Manifest:
         return latest.where("live").drop("live")
 
     def _next(self) -> int:
-        """Above every entry, and the clock in microseconds where that is higher."""
-        last = self.log().agg(F.max("seq")).first()[0]
-        return max((last or 0) + 1, time.time_ns() // 1000)
+        """Above every entry, and the clock in microseconds where that is higher. The log is asked once;
+        a manifest has one writer at a time."""
+        if self._last is None:
+            self._last = self.log().agg(F.max("seq")).first()[0] or 0
+        self._last = max(self._last + 1, time.time_ns() // 1000)
+        return self._last
 
     def commit(self, entries: list[dict]) -> None:
         """Make parts (key, folder, …) current, in one file."""
