@@ -9,8 +9,8 @@
    the overlap of any two others from above. What stays open is compared in rounds with a few sets
    at a time, whose answers join groups again; only what is open after the last round is compared
    pair by pair.
-4. Folded hash histograms of the sets bound the overlap before whole sets move; the rest is verified
-   on the sets.
+4. Folded hash histograms of the sets bound the overlap before texts move; the rest is verified on the
+   sets, cut anew from the texts, which are smaller on the way.
 
 Results are exact up to collisions of 64-bit hashes.
 """
@@ -224,24 +224,42 @@ def _walk(percent: int):
     return run
 
 
-def _overlaps(percent: int):
-    """Overlap of the two sets of each row; rows that are not similar are kept with their overlap."""
+def _overlaps(k: int, percent: int):
+    """Overlap of the sets of the two texts of each row; rows that are not similar are kept with their overlap.
+
+    Texts are what travels: compressed, they take less than half the bytes of their hashed sets. A text that
+    stands in several rows of a slice is cut into shingles once.
+    """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            xv, yv = (c.flatten().to_numpy(zero_copy_only=False) for c in (x, y))
-            xo, yo = (c.value_lengths().to_numpy(zero_copy_only=False).cumsum() for c in (x, y))
-            xo, yo = np.concatenate([[0], xo]), np.concatenate([[0], yo])
-            out = np.array([len(np.intersect1d(xv[xo[i]: xo[i + 1]], yv[yo[i]: yo[i + 1]], assume_unique=True))
-                            for i in range(batch.num_rows)], np.int64)
-            nx, ny = np.diff(xo), np.diff(yo)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(out), pa.array(100 * out >= percent * (nx + ny - out))],
-                names=["a", "b", "ra", "rb", "overlap", "linked"])
+            size = pc.add(pc.binary_length(batch.column("x")), pc.binary_length(batch.column("y"))).to_numpy(zero_copy_only=False)
+            for part in _cut(batch, size, 8 << 20):
+                texts = pa.concat_arrays([part.column("x"), part.column("y")]).dictionary_encode()
+                where = texts.indices.to_numpy(zero_copy_only=False)
+                distinct = pa.record_batch([texts.dictionary], names=["text"])
+                found = [shingle_sets(text_column(some), k) for some in slices(distinct)]
+                sets = [tokens[at[i]: at[i + 1]] for tokens, at in found for i in range(len(at) - 1)]
+                xs, ys = ([sets[i] for i in half] for half in np.split(where, 2))
+                out = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(xs, ys, strict=True)], np.int64)
+                both = np.array([len(x) + len(y) for x, y in zip(xs, ys, strict=True)], np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("a", "b", "ra", "rb")), pa.array(out), pa.array(100 * out >= percent * (both - out))],
+                    names=["a", "b", "ra", "rb", "overlap", "linked"])
 
     return run
 
 
+def _cut(batch: pa.RecordBatch, size: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose sizes add up to about ``limit``; a larger row stands alone."""
+    ends = np.cumsum(size)
+    first = 0
+    while first < batch.num_rows:
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def _may_overlap(percent: int):
     """Pairs whose histograms allow the overlap."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,23 +314,19 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percen
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             tokens, at = shingle_sets(text_column(batch), k)
-            found = pa.RecordBatch.from_arrays(
-                [pa.array(_set_ids(tokens, at).view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens.view(np.int64)))],
-                names=["set_id", "tokens"])
             # a repeated id may have brought another row's text
-            yield found.filter(pc.equal(found.column(0), batch.column(0)))
+            yield batch.filter(pc.equal(pa.array(_set_ids(tokens, at).view(np.int64)), batch.column(0)))
 
     owners = reps.join(wanted, "set_id", "left_semi").select("set_id", "doc_id")
     texts = _asked_for(docs.select(F.col("doc_id").alias("_id"), "text"), owners)
-    sets = stored(
+    found = stored(
         texts.join(owners, F.col("_id").eqNullSafe(F.col("doc_id")))
-        .select("set_id", "text").mapInArrow(run, "set_id long, tokens array<long>"), "jaccard-sets")
+        .select("set_id", "text").mapInArrow(run, "set_id long, text string"), "jaccard-texts")
     both = (
-        passed.join(sets.withColumnsRenamed({"set_id": "a", "tokens": "x"}), "a")
-        .join(sets.withColumnsRenamed({"set_id": "b", "tokens": "y"}), "b").select("a", "b", "ra", "rb", "x", "y")
+        passed.join(found.withColumnsRenamed({"set_id": "a", "text": "x"}), "a")
+        .join(found.withColumnsRenamed({"set_id": "b", "text": "y"}), "b").select("a", "b", "ra", "rb", "x", "y")
     )
-    return stored(both.mapInArrow(_overlaps(percent), "a long, b long, ra long, rb long, overlap long, linked boolean"),
+    return stored(both.mapInArrow(_overlaps(k, percent), "a long, b long, ra long, rb long, overlap long, linked boolean"),
                   "jaccard-answers")
 
 
