@@ -43,6 +43,8 @@ BLOCK = 4
 FREQUENT = 32000
 #: Bits of the filter that holds back texts no pair asks for: 16 MB in 4 KB pieces, whatever the table's size.
 FILTER_BITS = 1 << 27
+#: Cells of open sets travel as signed bytes: the count of an empty cell and of a full one.
+_LEAST, _FULL = -128, 127
 #: A batch reports shingles that so many of its documents have.
 _SEEN = 2
 
@@ -341,8 +343,8 @@ def _open_pairs(members: DataFrame, heads: DataFrame | None, known: DataFrame, p
     y = (members if heads is None else heads).select("pivot", *[F.col(c).alias(f"y_{c}") for c in columns])
     need = F.ceil((F.col("x_n") + F.col("y_n")) * percent / F.lit(100 + percent))
     bound = F.least("x_o", "y_o") + F.least(F.col("x_n") - F.col("x_o"), F.col("y_n") - F.col("y_o"))
-    shared = F.aggregate(F.zip_with("x_cells", "y_cells", lambda u, v: F.when((u == 255) | (v == 255), need.cast("int")).otherwise(
-        F.least(u, v))), F.lit(0), lambda total, v: total + v)
+    shared = F.aggregate(F.zip_with("x_cells", "y_cells", lambda u, v: F.when((u == _FULL) | (v == _FULL), need.cast("int")).otherwise(
+        F.least(u, v).cast("int") - _LEAST)), F.lit(0), lambda total, v: total + v)
     alike = F.size("x_cells") == F.size("y_cells")
     in_order = F.col("x_s") < F.col("y_s")
     pairs = x.join(y, "pivot").where(
@@ -389,28 +391,29 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     answers = _verified(docs, reps, first, k, percent)
 
     # Long lists: what the answers to the pivots leave open. A pair is compared once per pivot, not per
-    # list, and not at all if the answers so far have both sets in one group.
+    # list, and not at all if the answers so far have both sets in one group. Half a hash names a list here:
+    # where two agree by chance, a pair more is compared.
     linked = answers.where("linked").select("a", "b")
     so_far = stored(components(linked, "jaccard-components"), "jaccard-groups").withColumnRenamed("node", "s")
     known = answers.select("a", "b", "overlap", "linked")
     known = known.union(answers.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap", "linked"))
     members = stored(
         walked.where("kind = 1").groupBy("a", "b").agg(
-            F.first("na").alias("na"), F.first("nb").alias("nb"), F.collect_set("token").alias("lists"))
+            F.first("na").alias("na"), F.first("nb").alias("nb"), F.collect_set(F.shiftright("token", 32).cast("int")).alias("lists"))
         .join(known, ["a", "b"], "left").where("a <> b").select(
             F.col("a").alias("pivot"), F.col("b").alias("s"), F.col("nb").alias("n"), F.col("overlap").alias("o"), "lists")
         .join(so_far, "s", "left").withColumn("root", F.coalesce("root", "s"))
         .join(reps.select(F.col("set_id").alias("s"), F.transform(
             F.sequence(F.lit(1), F.length("cells")),
-            lambda i: F.conv(F.hex(F.substring(F.col("cells"), i, F.lit(1))), 16, 10).cast("int")).alias("cells")), "s"),
+            lambda i: (F.conv(F.hex(F.substring(F.col("cells"), i, F.lit(1))), 16, 10).cast("int") + _LEAST).cast("tinyint")).alias("cells")), "s"),
         "jaccard-members")
     own = members.groupBy("s").agg(F.collect_set("pivot").alias("pivots"), F.array_distinct(F.flatten(F.collect_list("lists"))).alias("lists"))
     members = stored(members.drop("lists").join(own, "s"), "jaccard-open")
     known = known.select("a", "b")
     for i in range(ROUNDS):
         turn = F.row_number().over(W.partitionBy("pivot").orderBy(F.xxhash64("s", F.lit(i)), "s"))
-        heads = members.select("pivot", "s").withColumn("turn", turn).where(F.col("turn") <= HEADS).select("pivot", "s")
-        pairs = _open_pairs(members, members.join(heads, ["pivot", "s"], "left_semi"), known, percent)
+        heads = members.withColumn("turn", turn).where(F.col("turn") <= HEADS).drop("turn")
+        pairs = _open_pairs(members, heads, known, percent)
         answers = _verified(docs, reps, pairs, k, percent)
         known = known.union(answers.select("a", "b"))
         new = answers.where("linked").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
