@@ -1,10 +1,13 @@
+import os
 import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from brute import components, counts, repeats
+from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.llm import (
     decontamination, jaccard_join, language_id, license_scan, line_quality, packing, quality_rules, suffix_dedup,
     textarrays, toxicity, url_filters,
@@ -59,6 +62,65 @@ def test_one_of_each(spark):
     assert sorted(got) == sorted(want | {i for i, t in enumerate(texts) if not (t or "").strip()})
 
 
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    """Long texts do not meet in batches of 10,000 rows while near copies are sought; the session's setting comes back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("0123456789"), 1000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], names=["n"])
+
+    with session.lean(spark):
+        largest = texts.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+    assert largest < 6 << 20 and spark.conf.get(key) == before
+    with pytest.raises(ValueError), session.lean(spark):
+        raise ValueError
+    assert spark.conf.get(key) == before
+
+
+def test_one_of_each_sends_each_text_once(spark):
+    """The plan has one column of rows before Python, not a second one with their texts."""
+    docs = table(spark, corpus())
+    out = jaccard_join.one_of_each(docs, 5, 80)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    sent = [line for line in plan.splitlines() if "MapInArrow" in line]
+    assert len(sent) == 1 and "row#" in sent[0] and "text#" not in sent[0]
+    named = docs.withColumnRenamed("text", "TEXT").withColumn("row", F.lit(1))
+    assert jaccard_join.one_of_each(named, 5, 80).count() == out.count()
+
+
+def test_frequent_shingles_do_not_depend_on_batches(spark):
+    docs = table(spark, corpus()).coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    want = [x.tolist() for x in jaccard_join._frequent(docs, 4)]
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        got = [x.tolist() for x in jaccard_join._frequent(docs, 4)]
+    finally:
+        spark.conf.set(key, before)
+    assert want[0] and got == want
+
+
+def test_disk_of_groups(spark):
+    """Shuffles and stored results go as soon as nothing reads them: what is left is what the result is made from."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = blocks.getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).endswith(".data")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    made, before, value = session.scratch_made(), shuffled(), spark.conf.get(key)
+    jaccard_join.groups(table(spark, corpus()), 4, 85)
+    there = [os.path.basename(p).rsplit("-", 1)[0] for p in session._made[made:] if os.path.exists(p)]
+    assert set(there) <= {"jaccard-sizes", "jaccard-answers", "jaccard-components", "jaccard-groups", "jaccard-labels"}
+    assert not shuffled() - before
+    assert spark.conf.get(key) == value
+
+
 def test_repeats(spark, monkeypatch):
     texts = corpus()
     want = repeats(list(enumerate(texts)))

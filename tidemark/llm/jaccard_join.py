@@ -30,6 +30,7 @@ from pyspark.sql import Window as W
 from tidemark.llm.base import stored
 from tidemark.llm.components import components
 from tidemark.llm.textarrays import mix, shingle_sets, slices, text_column
+from tidemark.session import discard, lean
 
 _U = np.uint64
 #: Lists longer than this go through a pivot.
@@ -45,23 +46,31 @@ FREQUENT = 32000
 FILTER_BITS = 1 << 27
 #: Cells of open sets travel as signed bytes: the count of an empty cell and of a full one.
 _LEAST, _FULL = -128, 127
-#: A batch reports shingles that so many of its documents have.
-_SEEN = 2
+#: Shingles are counted in runs of so many; a run reports those that so many of its documents have.
+_RUN, _SEEN = 2 << 20, 2
 
 
 def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles, in order, and the rank of each, from counts over all documents.
 
-    Batches count their own shingles and report those that they see twice. The order matters for
-    speed alone; results are the same for any order.
+    Tasks count the shingles of runs of documents, however those come in batches, and report those that they
+    see twice. The order matters for speed alone; results are the same for any order.
     """
+    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, n = np.unique(np.concatenate(found), return_counts=True)
+        often = n >= _SEEN
+        return pa.RecordBatch.from_arrays(
+            [pa.array(tokens[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["token", "n"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_sets(text_column(part), k)[0] for part in slices(batch)]
-            tokens, n = np.unique(np.concatenate(found or [np.zeros(0, _U)]), return_counts=True)
-            often = n >= _SEEN
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["token", "n"])
+        found = []
+        for part in (part for batch in batches for part in slices(batch)):
+            found.append(shingle_sets(text_column(part), k)[0])
+            if sum(map(len, found)) >= _RUN:
+                yield counted(found)
+                found = []
+        if found:
+            yield counted(found)
 
     least = max(4, docs.count() // FREQUENT)
     counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -328,8 +337,10 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percen
         passed.join(found.withColumnsRenamed({"set_id": "a", "text": "x"}), "a")
         .join(found.withColumnsRenamed({"set_id": "b", "text": "y"}), "b").select("a", "b", "ra", "rb", "x", "y")
     )
-    return stored(both.mapInArrow(_overlaps(k, percent), "a long, b long, ra long, rb long, overlap long, linked boolean"),
-                  "jaccard-answers")
+    answers = stored(both.mapInArrow(_overlaps(k, percent), "a long, b long, ra long, rb long, overlap long, linked boolean"),
+                     "jaccard-answers")
+    discard(passed, found)
+    return answers
 
 
 def _open_pairs(members: DataFrame, heads: DataFrame | None, known: DataFrame, percent: int) -> DataFrame:
@@ -371,11 +382,13 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     groups of their sets; components are the same.
     """
     docs = docs.select("doc_id", "text")
-    sets = stored(sets_of(docs, k, percent), "jaccard-rows")
-    reps = sets.where("n_shingles > 0").groupBy("set_id").agg(
+    rows = stored(sets_of(docs, k, percent), "jaccard-rows")
+    reps = rows.where("n_shingles > 0").groupBy("set_id").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
         F.first("prefix").alias("prefix"), F.first("cells").alias("cells"))
     reps = stored(reps, "jaccard-sets-once")
+    sets = stored(rows.select("doc_id", "n_shingles", "set_id"), "jaccard-sizes")
+    discard(rows)
     entries = reps.select("set_id", "n_shingles", F.posexplode("prefix").alias("at", "token"))
     walked = stored(
         entries.select("token", "set_id", "n_shingles", F.col("at").cast("long").alias("at"))
@@ -408,35 +421,44 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
             lambda i: (F.conv(F.hex(F.substring(F.col("cells"), i, F.lit(1))), 16, 10).cast("int") + _LEAST).cast("tinyint")).alias("cells")), "s"),
         "jaccard-members")
     own = members.groupBy("s").agg(F.collect_set("pivot").alias("pivots"), F.array_distinct(F.flatten(F.collect_list("lists"))).alias("lists"))
-    members = stored(members.drop("lists").join(own, "s"), "jaccard-open")
+    narrow, members = members, stored(members.drop("lists").join(own, "s"), "jaccard-open")
+    discard(walked, narrow)
     known = known.select("a", "b")
     for i in range(ROUNDS):
         turn = F.row_number().over(W.partitionBy("pivot").orderBy(F.xxhash64("s", F.lit(i)), "s"))
         heads = members.withColumn("turn", turn).where(F.col("turn") <= HEADS).drop("turn")
         pairs = _open_pairs(members, heads, known, percent)
         answers = _verified(docs, reps, pairs, k, percent)
+        discard(pairs)
         known = known.union(answers.select("a", "b"))
         new = answers.where("linked").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
         if new.isEmpty():
             break
         linked = linked.union(new)
         step = components(new, "jaccard-components").select(F.col("node").alias("root"), F.col("root").alias("next"))
-        members = stored(
+        before, members = members, stored(
             members.join(step, "root", "left").withColumn("root", F.coalesce("next", "root")).drop("next"), "jaccard-open")
-    more = _verified(docs, reps, _open_pairs(members, None, known, percent), k, percent)
-    linked = linked.union(more.where("linked").select("ra", "rb").distinct())
-    return sets.select("doc_id", "n_shingles", "set_id"), linked
+        discard(before)
+    pairs = _open_pairs(members, None, known, percent)
+    more = _verified(docs, reps, pairs, k, percent)
+    discard(reps, members, pairs)
+    return sets, linked.union(more.where("linked").select("ra", "rb").distinct())
 
 
 def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Rows (doc_id, n_shingles, set_id, root), stored; root is null without shingles."""
-    sets, linked = links(docs, k, percent)
-    roots = components(linked, "jaccard-components").withColumnsRenamed({"node": "set_id"})
-    return stored(
-        sets.join(roots, "set_id", "left").select(
-            "doc_id", "n_shingles", "set_id",
-            F.when(F.col("n_shingles") > 0, F.coalesce("root", "set_id")).alias("root")),
-        "jaccard-labels")
+    """Rows (doc_id, n_shingles, set_id, root), stored; root is null without shingles.
+
+    Shuffles go with the job that read them, stored results once the last job has: what lies on disk at a time is
+    one job's shuffles and what later jobs read.
+    """
+    with lean(docs.sparkSession):
+        sets, linked = links(docs, k, percent)
+        roots = components(linked, "jaccard-components").withColumnsRenamed({"node": "set_id"})
+        return stored(
+            sets.join(roots, "set_id", "left").select(
+                "doc_id", "n_shingles", "set_id",
+                F.when(F.col("n_shingles") > 0, F.coalesce("root", "set_id")).alias("root")),
+            "jaccard-labels")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -452,18 +474,23 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         F.col("f.k").alias("key"), F.col("f.set_id").alias("own"))
     bare = rows.where("root is null").select(key.alias("key"), F.lit(0).cast("long").alias("own")).distinct()
 
-    def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
-            tokens, at = shingle_sets(text_column(batch), k)
-            ids = np.where(np.diff(at) > 0, _set_ids(tokens, at).view(np.int64), 0)
-            yield batch.append_column("own", pa.array(ids, pa.int64()))
+    names = docs.columns
+    place = names.index("text") if "text" in names else [c.lower() for c in names].index("text")
 
-    # each row travels as one struct, so that no column name of its own can clash
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), "text")
+    def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            text = pc.struct_field(whole.column(0), [place])
+            for batch in slices(pa.record_batch([*whole.columns, text], names=["row", "key", "text"])):
+                tokens, at = shingle_sets(text_column(batch), k)
+                ids = np.where(np.diff(at) > 0, _set_ids(tokens, at).view(np.int64), 0)
+                yield batch.select(["row", "key"]).append_column("own", pa.array(ids, pa.int64()))
+
+    # each row travels as one struct, so that no column name of its own can clash, and its text travels once
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
     schema = T.StructType([*whole.schema.fields, T.StructField("own", T.LongType())])
     kept = whole.mapInArrow(named, schema).join(first.union(bare), ["key", "own"], "left_semi")
     # equal rows share key and set, and lie in one partition already: one stays
-    return kept.withColumn("n", F.row_number().over(W.partitionBy("key", "own").orderBy("text"))) \
+    return kept.withColumn("n", F.row_number().over(W.partitionBy("key", "own").orderBy("row.text"))) \
         .where((F.col("n") == 1) | (F.col("own") == 0)).select("row.*")
 
 
